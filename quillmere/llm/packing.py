@@ -21,7 +21,7 @@ CACHE_WORDS = 400_000
 
 # Texts of these characters alone can be cut at a single space between two others: no token of
 # the byte-level pattern reaches over one, whatever the version of Unicode. Others go whole.
-_PLAIN = re.compile(r"[\n\x20-\x7E\xA1-ɏ]*")
+_PLAIN = re.compile(r"[\n\x20-\x7E\xA1-\u024F]*")
 
 
 class CachedTokenizer:

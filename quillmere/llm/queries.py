@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, sharding
+from . import bpe, exact_dedup, packing, sharding
 from .common import documents
 
 
@@ -13,6 +13,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -27,5 +31,5 @@ WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documen
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
 """
 
-QUERIES = {"op1_packing": op1_packing, "op7_exact_dedup": op7_exact_dedup, "op9_sharding": op9_sharding}
+QUERIES = {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op7_exact_dedup": op7_exact_dedup, "op9_sharding": op9_sharding}
 ORACLE_SQL = {"op7_exact_dedup": OP7_SQL}
