@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, quality_rules, sharding
+from . import bpe, exact_dedup, packing, quality_classifier, quality_rules, sharding
 from .common import documents
 
 
@@ -25,6 +25,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
@@ -35,5 +39,5 @@ WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documen
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
 """
 
-QUERIES = {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op5_quality_rules": op5_quality_rules, "op7_exact_dedup": op7_exact_dedup, "op9_sharding": op9_sharding}
+QUERIES = {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op5_quality_rules": op5_quality_rules, "op7_exact_dedup": op7_exact_dedup, "op8_quality_classifier": op8_quality_classifier, "op9_sharding": op9_sharding}
 ORACLE_SQL = {"op7_exact_dedup": OP7_SQL}
