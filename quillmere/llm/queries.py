@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, quality_classifier, quality_rules, sharding
+from . import bpe, exact_dedup, language, packing, quality_classifier, quality_rules, sharding
 from .common import documents
 
 
@@ -17,6 +17,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
@@ -39,5 +43,5 @@ WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documen
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
 """
 
-QUERIES = {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op5_quality_rules": op5_quality_rules, "op7_exact_dedup": op7_exact_dedup, "op8_quality_classifier": op8_quality_classifier, "op9_sharding": op9_sharding}
+QUERIES = {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op3_language": op3_language, "op5_quality_rules": op5_quality_rules, "op7_exact_dedup": op7_exact_dedup, "op8_quality_classifier": op8_quality_classifier, "op9_sharding": op9_sharding}
 ORACLE_SQL = {"op7_exact_dedup": OP7_SQL}
