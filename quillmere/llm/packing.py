@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -10,77 +11,65 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, cut_lineage, global_rank
 
 MAX_TOKENS = 2048
-#: Words that a worker remembers the ids of, before it forgets all and starts anew.
-CACHE_WORDS = 400_000
-
-# Texts of these characters alone can be cut at a single space between two others: no token of
-# the byte-level pattern reaches over one, whatever the version of Unicode. Others go whole.
+# For texts of these characters alone, both tokenizer libraries cut alike whatever their version
+# of Unicode; texts with others go to `tokenizers`.
 _PLAIN = re.compile(r"[\n\x20-\x7E\xA1-\u024F]*")
 
 
-class CachedTokenizer:
-    """The ids of texts by a tokenizers file, as little-endian unsigned 32-bit numbers.
+class Ids:
+    """The ids of texts by a byte-level tokenizers file, as little-endian unsigned 32-bit numbers.
 
-    Words are tokenized once and remembered, which is exact for the byte-level pattern where one
-    space or line feed stands between other characters: a word is tokenized with the space or
-    line feed before it. A text with any other white space, or with a character outside the
-    plain ranges, is tokenized whole.
+    Plain texts take the fast way: the file's own vocabulary as ranks in `tiktoken`. That gives
+    the same ids. Two neighbours that join to a token T cover T's bytes with no merge over their
+    edges, so they came about as they would in T alone; if T alone becomes T, its last merge is
+    theirs. It is checked that each token of the vocabulary does (`agrees`).
     """
 
     def __init__(self, path: str) -> None:
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
-        (self.line_feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _learn(self, words: list[str]) -> None:
-        """Tokenizes many words in two calls, apart at the line feeds between them."""
-        spaced = [w for w in words if w[0] != "\n"]
-        lined = [w for w in words if w[0] == "\n"]
-        for group, joined in ((spaced, "".join([f" {w}\n" for w in spaced])), (lined, "".join(lined) + "\n.")):
-            if not group:
-                continue
-            ids = self.whole(joined)
-            stops = np.flatnonzero(ids == self.line_feed)
-            if group is spaced:
-                starts = np.concatenate([[0], stops[:-1] + 1])
-            else:
-                starts, stops = stops[:-1], stops[1:]
-            raw = ids.tobytes()
-            self.words.update(zip(group, [raw[4 * i : 4 * j] for i, j in zip(starts.tolist(), stops.tolist(), strict=True)], strict=True))
-
-    def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or not _PLAIN.fullmatch(text):
-            return self.whole(text).tobytes()
-        first, *rest = text.replace("\n", " \n").split(" ")
-        missing = set(rest).difference(self.words)
-        if missing:
-            if len(self.words) > CACHE_WORDS:
-                self.words.clear()
-                missing = set(rest)
-            self._learn(list(missing))
-        return self.whole(first).tobytes() + b"".join(map(self.words.__getitem__, rest))
+        added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.shown = byte_characters()
+        byte_of = {c: b for b, c in enumerate(self.shown)}
+        self.ranks = {bytes(byte_of[c] for c in token): rank for token, rank in vocabulary.items() if token not in added}
+        self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
 
+    def __call__(self, text: str) -> np.ndarray:
+        if _PLAIN.fullmatch(text):
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str) -> CachedTokenizer:
-    import os
+    def agrees(self) -> bool:
+        """Whether the file's own merges turn the bytes of each token into that token."""
+        tokenize = self.tokenizer.model.tokenize
+        return all([x.id for x in tokenize("".join(self.shown[b] for b in token))] == [rank] for token, rank in self.ranks.items())
+
+
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in a byte-level file.
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return CachedTokenizer(path)
+    Printable bytes of Latin-1 stand for themselves; the others, in order, for U+0100 and on.
+    """
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (chr(0x100 + i) for i in range(256))
+    return [chr(b) if b in plain else next(others) for b in range(256)]
+
+
+@lru_cache(maxsize=2)
+def _tokenizer(path: str) -> Ids:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    return Ids(path)
 
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -89,17 +78,16 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def _cut(path: str, end_id: int, most: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         for batch in batches:
             out: list[tuple] = []
             docs = batch.column(0).to_pylist()
             for doc, text in zip(docs, batch.column(1), strict=True):
-                ids = tokenizer.ids(text.as_py() or "") + end
-                count = len(ids) // 4
+                ids = np.append(tokenizer(text.as_py() or ""), end)
                 start, piece = 0, 0
-                stop = count % most or most  # the first piece takes what is over
-                while start < count:
-                    out.append((doc, piece, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])))
+                stop = len(ids) % most or most  # the first piece takes what is over
+                while start < len(ids):
+                    out.append((doc, piece, start, stop - start, zlib.crc32(ids[start:stop])))
                     start, stop, piece = stop, stop + most, piece + 1
             columns = list(zip(*out, strict=True)) or [()] * 5
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
