@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -18,23 +18,27 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map
 
-#: Words and pre-tokens that a worker remembers, each, before it forgets them all; longer ones
-#: than LONGEST_KEPT characters are encoded every time.
-CACHE_WORDS, LONGEST_KEPT = 400_000, 64
+#: Pre-tokens that a worker remembers before it forgets them all; longer ones than LONGEST_KEPT
+#: characters are merged every time. Texts are encoded together up to so many characters.
+CACHE_PIECES, LONGEST_KEPT, GROUP_CHARS = 600_000, 64, 1 << 20
 #: Bits in one word of the bitmap; a second level has one bit for each word.
 _BITS = 8
 
 #: White space as the rank files' library has it: the property of that name.
 _WHITE_SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 _PLAIN = re.compile(r"[\n\x20-\x7E\xA1-\u024F]*")
+# The byte-level pattern, and the same for texts of plain characters alone, where
+# the standard library's classes agree with Unicode's but for the six numerals named.
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_PLAIN_PATTERN = r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_\xB2\xB3\xB9\xBC-\xBE]+| ?[\d\xB2\xB3\xB9\xBC-\xBE]+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+"
 
 
 class RankQueue:
-    """Positions by merge rank; the lowest rank first, and in it the leftmost position.
+    """Buckets of linked-list positions by merge rank; the lowest rank comes first.
 
     The bitmap has a bit for each rank with a bucket, in words, and above them a bit for each
     word that isn't zero: two find-first-sets give the next rank. Entries are never removed
-    when they go stale; whoever pops one checks it.
+    when they go stale; whoever takes a bucket checks them.
     """
 
     def __init__(self, ranks: int) -> None:
@@ -42,28 +46,22 @@ class RankQueue:
         self.top = 0
         self.buckets: dict[int, list[int]] = {}
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            word = rank >> _BITS
-            self.words[word] |= 1 << (rank & ((1 << _BITS) - 1))
-            self.top |= 1 << word
-        else:
-            heapq.heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int]:
+    def open(self, rank: int, positions: list[int]) -> None:
+        """Gives a rank without a bucket one."""
+        self.buckets[rank] = positions
+        word = rank >> _BITS
+        self.words[word] |= 1 << (rank & ((1 << _BITS) - 1))
+        self.top |= 1 << word
+
+    def take(self) -> tuple[int, list[int]]:
+        """The lowest rank and its bucket, which is closed."""
         word = (self.top & -self.top).bit_length() - 1
         bits = self.words[word]
         rank = (word << _BITS) | ((bits & -bits).bit_length() - 1)
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.words[word] = bits = bits & (bits - 1)
-            if not bits:
-                self.top &= self.top - 1
-        return rank, position
+        self.words[word] = bits = bits & (bits - 1)
+        if not bits:
+            self.top &= self.top - 1
+        return rank, self.buckets.pop(rank)
 
 
 class BytePairEncoder:
@@ -75,89 +73,120 @@ class BytePairEncoder:
             token, rank = line.split()
             self.ranks[base64.b64decode(token)] = int(rank)
         self.size = max(self.ranks.values()) + 1
+        self.ints = list(range(self.size))  # one object for each id, which all results share
         self.bytes_of = [b""] * self.size
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
         self.text_of = [str(i) for i in range(self.size)]
-        self.byte_rank = [self.ranks[bytes([b])] for b in range(256)]
+        self.byte_rank = np.array([self.ranks[bytes([b])] for b in range(256)])
         # the rank of a pair is that of the joined bytes, however the token first came about
-        self.pair_rank: dict[int, int] = {}
+        self.pair_rank: list[dict[int, int]] = [{} for _ in range(self.size)]
+        self.byte_pairs = np.full((256, 256), -1, np.int64)
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    self.pair_rank[left << 32 | right] = rank
+                    self.pair_rank[left][right] = self.ints[rank]
+            if len(token) == 2:
+                self.byte_pairs[token[0], token[1]] = rank
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{_WHITE_SPACE}").replace(r"\s", f"[{_WHITE_SPACE}]").replace(r"\S", f"[^{_WHITE_SPACE}]"))
-        self.queue = RankQueue(self.size)
+        self.plain_pattern = re.compile(_PLAIN_PATTERN) if pattern == _PATTERN else self.pattern
         self.pieces: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-
-    def encode_piece(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token; n bytes take about n log n steps, so long ones are no harm."""
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        tokens = [self.byte_rank[b] for b in piece]
-        n = len(tokens)
-        pair_rank, queue = self.pair_rank, self.queue
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """The ids of pre-tokens, merged side by side in one linked list and one queue.
+
+        No pair reaches from one piece into the next, so ranks interleave freely between pieces
+        while each piece sees its own lowest rank first, and in it the leftmost pair. n bytes
+        take about n log n steps, so a very long piece is no harm.
+        """
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        n = len(raw)
+        stops = np.cumsum([len(p) for p in pieces])
+        first_ranks = np.full(n, -1)
+        if n > 1:
+            first_ranks[:-1] = self.byte_pairs[raw[:-1], raw[1:]]
+            first_ranks[stops - 1] = -1
+        ints, pair_rank = self.ints, self.pair_rank
+        tokens = [ints[t] for t in self.byte_rank[raw].tolist()]
+        current = first_ranks.tolist()  # the rank of the pair that begins at a position
         following, before = list(range(1, n + 1)), list(range(-1, n))
-        current = [-1] * n  # the rank of the pair that begins at a position
-        for i in range(n - 1):
-            rank = pair_rank.get(tokens[i] << 32 | tokens[i + 1], -1)
-            if rank >= 0:
-                current[i] = rank
-                queue.push(rank, i)
+        for stop in stops.tolist():  # the list ends with each piece
+            following[stop - 1] = -1
+            if stop < n:
+                before[stop] = -1
+        queue = RankQueue(self.size)
+        buckets = queue.buckets
+        order = np.argsort(first_ranks, kind="stable")
+        order = order[np.searchsorted(first_ranks[order], 0) :]
+        heads = np.flatnonzero(np.concatenate([[True], np.diff(first_ranks[order]) > 0])) if len(order) else []
+        for bucket in np.split(order, heads[1:]) if len(order) else []:
+            queue.open(int(first_ranks[bucket[0]]), bucket.tolist())
         while queue.top:
-            rank, i = queue.pop()
-            if current[i] != rank:
-                continue  # stale: the pair has been merged or changed since
-            j = following[i]
-            tokens[i], tokens[j] = rank, -1
-            current[j] = -1
-            k = following[i] = following[j]
-            before[k] = i
-            for left, right in ((before[i], i), (i, k)):
-                if left < 0:
-                    continue
-                made = pair_rank.get(tokens[left] << 32 | tokens[right], -1) if right < n else -1
-                current[left] = made
-                if made >= 0:
-                    queue.push(made, left)
-        return [t for t in tokens if t >= 0]
-
-    def _pieces(self, text: str) -> tuple[int, ...]:
-        out: list[int] = []
-        for piece in self.pattern.findall(text):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = tuple(self.encode_piece(piece.encode()))
-                if len(piece) <= LONGEST_KEPT:
-                    if len(self.pieces) >= CACHE_WORDS:
-                        self.pieces.clear()
-                    self.pieces[piece] = ids
-            out += ids
-        return tuple(out)
-
-    def encode(self, text: str) -> list[int]:
-        """The ids of a text, each match of the pattern for itself.
-
-        Where one space or line feed stands between other characters, a match begins at it and
-        none reaches over it, so words can be looked up with what stands before them.
+            rank, bucket = queue.take()
+            bucket.sort()
+            merged = ints[rank]
+            pairs_of_merged = pair_rank[rank]
+            for nth, i in enumerate(bucket):
+                if current[i] != rank:
+                    continue  # stale: the pair has been merged or changed since
+                j = following[i]
+                k = following[j]
+                tokens[i], tokens[j] = merged, None
+                current[j] = -1
+                following[i] = k
+                lower = False
+                if k >= 0:
+                    before[k] = i
+                    made = current[i] = pairs_of_merged.get(tokens[k], -1)
+                    if made >= 0:
+                        lower = made < rank
+                        if made in buckets:
+                            buckets[made].append(i)
+                        else:
+                            queue.open(made, [i])
+                else:
+                    current[i] = -1
+                h = before[i]
+                if h >= 0:
+                    made = current[h] = pair_rank[tokens[h]].get(merged, -1)
+                    if made >= 0:
+                        lower = lower or made < rank
+                        if made in buckets:
+                            buckets[made].append(h)
+                        else:
+                            queue.open(made, [h])
+                if lower:  # a pair that comes before the rest of this bucket
+                    rest = bucket[nth + 1 :]
+                    if rank in buckets:
+                        buckets[rank] += rest
+                    elif rest:
+                        queue.open(rank, rest)
+                    break
+        out, start = [], 0
+        for stop in stops.tolist():
+            out.append(tuple([t for t in tokens[start:stop] if t is not None]))
+            start = stop
+        return out
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text, each match of the pattern for itself.
+
+        Pieces seen before are looked up; the others of all the texts are merged together.
         """
-        if not text:
-            return []
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or not _PLAIN.fullmatch(text):
-            return list(self._pieces(text))
-        first, *rest = text.replace("\n", " \n").split(" ")
-        words = self.words
-        missing = set(rest).difference(words)
-        if missing:
-            if len(words) >= CACHE_WORDS:
-                words.clear()
-                missing = set(rest)
-            for word in missing:
-                words[word] = self._pieces(word if word[0] == "\n" else f" {word}")
-        return [*self._pieces(first), *chain.from_iterable(map(words.__getitem__, rest))]
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        known = self.pieces
+        cut = [(self.plain_pattern if _PLAIN.fullmatch(t) else self.pattern).findall(t) for t in texts]
+        found = [list(map(known.get, pieces)) for pieces in cut]
+        lacking = [i for i, ids in enumerate(found) if None in ids]
+        new = list({p for i in lacking for p, ids in zip(cut[i], found[i], strict=True) if ids is None})
+        if new:
+            merged = dict(zip(new, self.encode_pieces([p.encode() for p in new]), strict=True))
+            known.update((p, ids) for p, ids in merged.items() if len(p) <= LONGEST_KEPT)
+            for i in lacking:
+                found[i] = [merged[p] if ids is None else ids for p, ids in zip(cut[i], found[i], strict=True)]
+        return [list(chain.from_iterable(ids)) for ids in found]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -168,18 +197,31 @@ def encoder(path: str, pattern: str) -> BytePairEncoder:
     return BytePairEncoder(path, pattern)
 
 
+def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about GROUP_CHARS characters."""
+    row = 0
+    while row < len(texts):
+        end, room = row + 1, GROUP_CHARS - len(texts[row])
+        while end < len(texts) and room > 0:
+            room -= len(texts[end])
+            end += 1
+        yield row, end
+        row = end
+
+
 def _digests(path: str, pattern: str):
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, pattern)
         for batch in batches:
-            counts, texts, backs = [], [], []
-            for text in batch.column(1):
-                ids = bpe.encode(text.as_py() or "")
-                counts.append(len(ids))
-                texts.append(hashlib.sha256(" ".join(map(bpe.text_of.__getitem__, ids)).encode()).hexdigest())
-                backs.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            counts, digests, backs = [], [], []
+            for row, end in _groups(texts):
+                for ids in bpe.encode(texts[row:end]):
+                    counts.append(len(ids))
+                    digests.append(hashlib.sha256(" ".join(map(bpe.text_of.__getitem__, ids)).encode()).hexdigest())
+                    backs.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(texts, pa.string()), pa.array(backs, pa.string())],
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(backs, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
@@ -190,8 +232,10 @@ def _ids(path: str, pattern: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, pattern)
         for batch in batches:
-            ids = [bpe.encode(text.as_py() or "") for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            for row, end in _groups(texts):
+                ids = pa.array(bpe.encode(texts[row:end]), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), ids], ["doc_id", "ids"])
 
     return encode
 
