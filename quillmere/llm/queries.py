@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language, packing, quality_classifier, quality_rules, sharding, suffix_dedup
+from . import bpe, exact_dedup, jaccard_join, language, packing, quality_classifier, quality_rules, sharding, suffix_dedup
 from .common import documents
 
 
@@ -30,6 +30,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(documents(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -48,5 +52,5 @@ WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documen
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
 """
 
-QUERIES = {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op3_language": op3_language, "op4_suffix_dedup": op4_suffix_dedup, "op5_quality_rules": op5_quality_rules, "op7_exact_dedup": op7_exact_dedup, "op8_quality_classifier": op8_quality_classifier, "op9_sharding": op9_sharding}
+QUERIES = {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op3_language": op3_language, "op4_suffix_dedup": op4_suffix_dedup, "op5_quality_rules": op5_quality_rules, "op6_jaccard_join": op6_jaccard_join, "op7_exact_dedup": op7_exact_dedup, "op8_quality_classifier": op8_quality_classifier, "op9_sharding": op9_sharding}
 ORACLE_SQL = {"op7_exact_dedup": OP7_SQL}

@@ -103,10 +103,10 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, n: int = 5) -> list[np.nd
         if words >= n:
             out.append(np.unique(joined[cut[i] : cut[i + 1]]))
         elif words:
-            whole = np.uint64(words)
-            for h in hashes[first[i] : first[i + 1]]:
-                whole = mix((whole * np.uint64(0xA0761D6478BD642F) + h).reshape(1))[0]
-            out.append(whole.reshape(1))
+            whole = np.full(1, words, np.uint64)
+            for at_word in range(first[i], first[i + 1]):
+                whole = mix(whole * np.uint64(0xA0761D6478BD642F) + hashes[at_word : at_word + 1])
+            out.append(whole)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
