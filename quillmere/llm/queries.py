@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, jaccard_join, language, packing, quality_classifier, quality_rules, sharding, suffix_dedup
+from . import bpe, exact_dedup, jaccard_join, language, licenses, packing, quality_classifier, quality_rules, sharding, suffix_dedup
 from .common import documents
 
 
@@ -46,11 +46,15 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
 OP7_SQL = """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
      g AS (SELECT text_sha256, max(doc_id) AS keep_id, CAST(count(*) AS BIGINT) AS group_size FROM d GROUP BY text_sha256)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
 """
 
-QUERIES = {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op3_language": op3_language, "op4_suffix_dedup": op4_suffix_dedup, "op5_quality_rules": op5_quality_rules, "op6_jaccard_join": op6_jaccard_join, "op7_exact_dedup": op7_exact_dedup, "op8_quality_classifier": op8_quality_classifier, "op9_sharding": op9_sharding}
+QUERIES = {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op3_language": op3_language, "op4_suffix_dedup": op4_suffix_dedup, "op5_quality_rules": op5_quality_rules, "op6_jaccard_join": op6_jaccard_join, "op7_exact_dedup": op7_exact_dedup, "op8_quality_classifier": op8_quality_classifier, "op9_sharding": op9_sharding, "op10_license_scan": op10_license_scan}
 ORACLE_SQL = {"op7_exact_dedup": OP7_SQL}
