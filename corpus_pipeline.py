@@ -1,5 +1,65 @@
-"""The training-data pipeline: stages over `documents`, each written and read again."""
+"""The training-data pipeline: stages over `documents`, each written and read again.
+
+Documents that the quality rules reject go; of equal texts the largest id stays, of similar ones
+the smallest; passages that an earlier document has are cut out; what is left is packed into
+sequences of token ids.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillmere.llm import exact_dedup, jaccard_join, packing, quality_rules, suffix_dedup
+from quillmere.llm.common import documents, written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the rules keep."""
+    return quality_rules.keep_good(docs, documents(spark, sf_dir, "labels"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text, with the largest id; of rows that repeat it, one."""
+    live = exact_dedup.live_groups(exact_dedup.digests(docs)).select(F.col("digest").alias("_live"), F.col("keep_id").alias("_keep_id"))
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    joined = docs.withColumn("_digest", digest).join(live, (F.col("_digest") == F.col("_live")) & F.col("doc_id").eqNullSafe(F.col("_keep_id")))
+    nth = F.row_number().over(Window.partitionBy("_digest").orderBy("doc_id"))
+    return joined.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones, with the smallest id."""
+    groups = jaccard_join.similar_groups(docs)
+    stays = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_stays")).distinct()
+    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without repeated passages; one of which nothing is left goes."""
+    found = suffix_dedup.remove_repeats(docs, as_text=True)
+    left = found.where("n_removed = 0 OR kept <> ''").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("kept").alias("_kept"))
+    others = docs.withColumn("_text_key", suffix_dedup.text_key()).drop("text")
+    joined = others.join(left, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")))
+    changed = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
+    return joined.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sequences, as one row for each piece of a document."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality rules", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("suffix-array dedup", passages), ("best-fit packing", pack)]
+
+#: The first stage's verdict comes from a fitted model, which SQL can't express.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table `documents`."""
+    docs = documents(spark, sf_dir)
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

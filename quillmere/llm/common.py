@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillmere.shipping import ship
 
@@ -28,22 +30,35 @@ def doc_key(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df, checkpointed in the shared folder that the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that the cluster names.
 
-    Without such a folder a local session gets a temporary one; any other session is refused,
-    since its executors could not read each other's files.
+    Without one a local session gets a temporary one; any other session is refused, since its
+    executors could not read each other's files.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not sc.master.startswith("local["):
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quillmere-checkpoint-"))
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quillmere-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df, checkpointed in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def arrow_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
+    """df, written as Parquet in the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def arrow_map(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
     """df.mapInArrow, on executors that have this package."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)

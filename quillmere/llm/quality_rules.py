@@ -224,3 +224,22 @@ def judge(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, id_col:
     weights = train(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return arrow_map(rows, _judge(weights, keep_at), _SCHEMA)
+
+
+def _passing(weights: np.ndarray, keep_at: float, text_at: int):
+    verdicts = _judge(weights, keep_at)
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.int64()), batch.column(text_at)], ["doc_id", "text"])
+            kept = [part.column(7) for part in verdicts(iter([text]))]
+            if kept:
+                yield batch.filter(pa.concat_arrays(kept))
+
+    return passing
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that `judge` keeps, with all their columns; nothing is shuffled."""
+    weights = train(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels)
+    return arrow_map(docs, _passing(weights, keep_at, docs.columns.index(text_col)), docs.schema)

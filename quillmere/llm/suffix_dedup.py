@@ -360,39 +360,50 @@ def merged(spans: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for doc, text, copy, spans in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            raw = (text or "").encode()
-            if copy and len(raw) >= LENGTH:
-                gone = [(0, len(raw))]
-            elif copy or not spans:
-                gone = []
-            else:
-                gone = merged(np.concatenate([np.frombuffer(s, "<i8") for s in spans]).reshape(-1, 2))
-            kept, at = [], 0
-            for start, end in gone:
-                kept.append(raw[at:start])
-                at = end
-            kept.append(raw[at:])
-            left = b"".join(kept)
-            out.append((doc, len(raw), sum(b - a for a, b in gone), len(gone), hashlib.sha256(left).hexdigest(), left, [{"start": a, "end": b} for a, b in gone]))
-        columns = list(zip(*out, strict=True)) or [()] * 7
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-        names = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-
-
-_RESULT = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>"
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans.
+def _removal(as_text: bool):
+    """as_text: what is left comes as text, without the parts of characters that a cut has left."""
+
+    def removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, key, text, copy, spans in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                raw = (text or "").encode()
+                if copy and len(raw) >= LENGTH:
+                    gone = [(0, len(raw))]
+                elif copy or not spans:
+                    gone = []
+                else:
+                    gone = merged(np.concatenate([np.frombuffer(s, "<i8") for s in spans]).reshape(-1, 2))
+                kept, at = [], 0
+                for start, end in gone:
+                    kept.append(raw[at:start])
+                    at = end
+                kept.append(raw[at:])
+                left = b"".join(kept)
+                out.append((doc, key, len(raw), sum(b - a for a, b in gone), len(gone), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if as_text else left, [{"start": a, "end": b} for a, b in gone]))
+            columns = list(zip(*out, strict=True)) or [()] * 8
+            types = [*[pa.int64()] * 5, pa.string(), pa.string() if as_text else pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+            names = ["doc", "key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    return removal
+
+
+_RESULT = "doc long, key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {}, spans array<struct<start:long,end:long>>"
+
+
+def text_key(text_col: str = "text"):
+    """What tells the texts of one document id apart in the result, should there be several."""
+    return F.xxhash64(F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+    """One row for each document: doc_id, text_key, n_bytes, n_removed, n_spans, kept_sha256,
+    kept, spans.
 
     A byte goes if a string of LENGTH bytes over it also starts in a document with a smaller id.
     Strings are judged on the input, and never reach over a text's end. `kept` is what is left,
-    as bytes; a cut may part a character. Null counts as empty; shorter texts than LENGTH lose
+    as bytes, since a cut may part a character; as_text gives a text without such parts. Null counts as empty; shorter texts than LENGTH lose
     nothing. A null id counts as larger than all others. Rows with the same id never take
     anything from each other, so of repeated rows all or none lose a byte. Other columns are not
     read. An empty table gives an empty result.
@@ -421,7 +432,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     segments = segments.withColumn("salt", salt).repartition(partitions, "bucket", "salt").drop("salt").sortWithinPartitions("bucket")
     spans = arrow_map(segments, _span_rows, "doc long, key long, spans binary").groupBy("doc", "key").agg(F.collect_list("spans").alias("spans"))
 
-    judged = texts.join(info, ["doc", "key"]).join(spans, ["doc", "key"], "left").select("doc", "text", "copy", "spans")
-    result = arrow_map(judged, _removal, _RESULT)
+    judged = texts.join(info, ["doc", "key"]).join(spans, ["doc", "key"], "left").select("doc", "key", "text", "copy", "spans")
+    result = arrow_map(judged, _removal(as_text), _RESULT.format("string" if as_text else "binary"))
     doc_id = F.when(F.col("doc") != F.lit((1 << 63) - 1), F.col("doc")).alias("doc_id")
-    return result.select(doc_id, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans")
+    return result.select(doc_id, F.col("key").alias("text_key"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans")
