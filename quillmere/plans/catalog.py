@@ -1,18 +1,14 @@
-"""The catalogue: query name -> Spark callable, and the oracle SQL of each."""
+"""The catalogue: importing the modules of queries fills it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quillmere.operators import analytics, edges, features, models, summary, text, warehouse
+from quillmere.plans.registry import CATALOG
+from quillmere.sources import roundtrips
+from quillmere.streaming import queries as streaming
 
-from pyspark.sql import DataFrame, SparkSession
+MODULES = (summary, text, edges, warehouse, analytics, features, models, roundtrips, streaming)
 
-from quillmere.operators import summary
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-for module in (summary,):
-    QUERIES |= module.QUERIES
-    ORACLE_SQL |= module.ORACLE_SQL
+QUERIES = CATALOG.queries
+ORACLE_SQL = CATALOG.oracle
+OPERATORS = CATALOG.operators
