@@ -1 +1,540 @@
-"""To come."""
+"""Relational analytics: names, jobs, ratings, sales, orders, and the small operators around them."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quillmere.plans.registry import query
+
+
+def total_of(column: str, *parts: str) -> Column:
+    """A sum over the whole partition."""
+    return F.sum(column).over(Window.partitionBy(*parts))
+
+
+def cents(column: Column) -> Column:
+    """Two decimals; the little more keeps halves of a cent from falling with the order of sums."""
+    return F.round(column + F.lit(1e-7), 2)
+
+
+def r4(column: Column) -> Column:
+    return F.round(column, 4)
+
+
+# --- names by year: (year, name, gender, cnt) from the sold parts ---------------------------------
+
+_NAMES_SQL = "SELECT year(l_shipdate) AS year, p_name AS name, l_returnflag AS gender, CAST(sum(l_quantity) AS BIGINT) AS cnt FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2, 3"
+
+
+def names(t) -> DataFrame:
+    sold = t("lineitem").join(t("part"), F.col("p_partkey") == F.col("l_partkey"))
+    keys = (F.year("l_shipdate").alias("year"), F.col("p_name").alias("name"), F.col("l_returnflag").alias("gender"))
+    return sold.groupBy(*keys).agg(F.sum("l_quantity").cast("long").alias("cnt"))
+
+
+@query("A7", f"SELECT CAST(year AS BIGINT) AS year, gender, CAST(sum(cnt) AS BIGINT) AS cnt FROM ({_NAMES_SQL}) n GROUP BY 1, 2")
+def names_sum_by_gender_year(t) -> DataFrame:
+    return names(t).groupBy(F.col("year").cast("long").alias("year"), "gender").agg(F.sum("cnt").alias("cnt"))
+
+
+@query("A7 A12", f"SELECT name, CAST(sum(cnt) AS BIGINT) AS cnt FROM ({_NAMES_SQL}) n GROUP BY name ORDER BY cnt DESC, name LIMIT 10")
+def names_top_overall(t) -> DataFrame:
+    return names(t).groupBy("name").agg(F.sum("cnt").alias("cnt")).orderBy(F.desc("cnt"), "name").limit(10)
+
+
+@query("W8 W9 X4", f"""SELECT period, gender, name, cnt FROM (SELECT period, gender, name, cnt, row_number() OVER (PARTITION BY period, gender ORDER BY cnt DESC, name) AS r FROM (
+SELECT CAST(floor((year - 1995) / 2) AS BIGINT) AS period, gender, name, CAST(sum(cnt) AS BIGINT) AS cnt FROM ({_NAMES_SQL}) n GROUP BY 1, 2, 3) p WHERE period < 3) q WHERE r = 1""")
+def names_top_per_period(t) -> DataFrame:
+    """The top name of each period of equal width; what lies beyond the last whole one is left out."""
+    period = F.floor((F.col("year") - 1995) / 2).cast("long").alias("period")
+    sums = names(t).groupBy(period, "gender", "name").agg(F.sum("cnt").alias("cnt")).where("period < 3")
+    nth = F.row_number().over(Window.partitionBy("period", "gender").orderBy(F.desc("cnt"), "name"))
+    return sums.withColumn("r", nth).where("r = 1").drop("r")
+
+
+@query("W4 W5 W6", f"""SELECT CAST(year AS BIGINT) AS year, gender, CAST(sum(CASE WHEN run <= 50 THEN 1 ELSE 0 END) AS BIGINT) AS names FROM (SELECT year, gender, 100.0 * sum(cnt) OVER (PARTITION BY year, gender ORDER BY cnt DESC, name ROWS UNBOUNDED PRECEDING) / sum(cnt) OVER (PARTITION BY year, gender) AS run FROM ({_NAMES_SQL}) n) s GROUP BY year, gender""")
+def names_half_coverage(t) -> DataFrame:
+    """How many of the most frequent names make up half of a year's total."""
+    part = Window.partitionBy("year", "gender")
+    run = 100 * F.sum("cnt").over(part.orderBy(F.desc("cnt"), "name").rowsBetween(Window.unboundedPreceding, 0)) / total_of("cnt", "year", "gender")
+    shared = names(t).select("year", "gender", run.alias("run"))
+    return shared.groupBy(F.col("year").cast("long").alias("year"), "gender").agg(F.sum((F.col("run") <= 50).cast("long")).alias("names"))
+
+
+@query("F11 P5 A6", f"SELECT CAST(year AS BIGINT) AS year, left(lower(name), 1) AS first_letter, right(lower(name), 1) AS last_letter, CAST(sum(cnt) AS BIGINT) AS cnt FROM ({_NAMES_SQL}) n WHERE year IN (1996, 1998, 2000) GROUP BY 1, 2, 3")
+def names_letters(t) -> DataFrame:
+    rows = names(t).where(F.col("year").isin(1996, 1998, 2000))
+    low = F.lower("name")
+    return rows.groupBy(F.col("year").cast("long").alias("year"), F.substring(low, 1, 1).alias("first_letter"), F.right(low, F.lit(1)).alias("last_letter")).agg(F.sum("cnt").alias("cnt"))
+
+
+@query("A7 P5", f"SELECT CAST(year AS BIGINT) AS year, name, CAST(sum(cnt) AS BIGINT) AS cnt FROM ({_NAMES_SQL}) n WHERE name IN ('small ring', 'red widget', 'blue bolt') GROUP BY 1, 2")
+def names_trend(t) -> DataFrame:
+    some = names(t).where(F.col("name").isin("small ring", "red widget", "blue bolt"))
+    return some.groupBy(F.col("year").cast("long").alias("year"), "name").agg(F.sum("cnt").alias("cnt"))
+
+
+# --- jobs: (company, country, salary from/to, technologies) from parts and their suppliers ---------
+
+_JOBS_SQL = """SELECT p_partkey AS job, s_name AS company, n_name AS country, p_retailprice AS salary_from, CASE WHEN p_size > 10 THEN p_retailprice + 10 * p_size END AS salary_to, p_name || ' ' || lower(p_type) AS technologies
+FROM part JOIN (SELECT l_partkey, min(l_suppkey) AS suppkey FROM lineitem GROUP BY l_partkey) l ON l_partkey = p_partkey JOIN supplier ON s_suppkey = suppkey JOIN nation ON n_nationkey = s_nationkey"""
+
+
+def jobs(t) -> DataFrame:
+    first = t("lineitem").groupBy("l_partkey").agg(F.min("l_suppkey").alias("suppkey"))
+    joined = t("part").join(first, F.col("l_partkey") == F.col("p_partkey")).join(t("supplier"), F.col("s_suppkey") == F.col("suppkey")).join(t("nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    upper = F.when(F.col("p_size") > 10, F.col("p_retailprice") + 10 * F.col("p_size"))
+    return joined.select(
+        F.col("p_partkey").alias("job"), F.col("s_name").alias("company"), F.col("n_name").alias("country"), F.col("p_retailprice").alias("salary_from"),
+        upper.alias("salary_to"), F.split(F.concat_ws(" ", "p_name", F.lower("p_type")), " ").alias("technologies"),
+    )
+
+
+_TECH_SQL = f"SELECT job, country, unnest(string_split(technologies, ' ')) AS technology FROM ({_JOBS_SQL}) j"
+
+
+@query("Y1 A6 W7", f"""SELECT country, technology, n FROM (SELECT country, technology, n, row_number() OVER (PARTITION BY country ORDER BY n DESC, technology) AS r FROM (SELECT country, technology, CAST(count(*) AS BIGINT) AS n FROM ({_TECH_SQL}) x GROUP BY 1, 2) c) d WHERE r <= 3""")
+def tech_top3_per_country(t) -> DataFrame:
+    rows = jobs(t).select("country", F.explode_outer("technologies").alias("technology")).where("technology IS NOT NULL")
+    counts = rows.groupBy("country", "technology").agg(F.count(F.lit(1)).alias("n"))
+    nth = F.row_number().over(Window.partitionBy("country").orderBy(F.desc("n"), "technology"))
+    return counts.withColumn("r", nth).where("r <= 3").drop("r")
+
+
+@query("O4 J10", f"SELECT technology, CAST(count(*) AS BIGINT) AS n FROM ({_TECH_SQL}) x GROUP BY 1 ORDER BY n DESC, technology LIMIT 30")
+def tech_top30(t) -> DataFrame:
+    return jobs(t).select(F.explode("technologies").alias("technology")).groupBy("technology").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "technology").limit(30)
+
+
+@query("A11 P10", f"SELECT country, max(salary_from) AS max_from, max(salary_to) AS max_to, round(avg(salary_from), 4) AS mean_from, round(avg(salary_to), 4) AS mean_to FROM ({_JOBS_SQL}) j GROUP BY country HAVING max(salary_to) IS NOT NULL")
+def salary_max_mean_by_country(t) -> DataFrame:
+    means = (r4(F.avg(f"salary_{x}")).alias(f"mean_{x}") for x in ("from", "to"))
+    return jobs(t).groupBy("country").agg(F.max("salary_from").alias("max_from"), F.max("salary_to").alias("max_to"), *means).dropna()
+
+
+@query("F15 F17", """SELECT p_partkey, cur AS currency, lo, hi, round(coalesce(hi, lo) * rate, 2) AS usd FROM (SELECT p_partkey, left(s, 1) AS cur,
+CAST(replace(regexp_extract(s, '^.([0-9]+k?)', 1), 'k', '000') AS BIGINT) AS lo, CAST(nullif(replace(regexp_extract(s, '-.([0-9]+k?)$', 1), 'k', '000'), '') AS BIGINT) AS hi FROM
+(SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '$' || CAST(p_size AS VARCHAR) || 'k-$' || CAST(p_size + 5 AS VARCHAR) || 'k' WHEN 1 THEN '€' || CAST(p_size * 1000 AS VARCHAR) ELSE '£' || CAST(p_size AS VARCHAR) || 'k' END AS s FROM part) a) b
+JOIN (VALUES ('$', 1.0), ('€', 1.1), ('£', 1.3)) r(cur, rate) USING (cur)""")
+def salary_parse(t) -> DataFrame:
+    """Currency, bounds and a value in dollars from text such as $20k-$25k."""
+    size = F.col("p_size")
+    text = (
+        F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("$"), size.cast("string"), F.lit("k-$"), (size + 5).cast("string"), F.lit("k")))
+        .when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("€"), (size * 1000).cast("string")))
+        .otherwise(F.concat(F.lit("£"), size.cast("string"), F.lit("k")))
+    )
+    number = lambda pattern: F.nullif(F.replace(F.regexp_extract("s", pattern, 1), F.lit("k"), F.lit("000")), F.lit("")).cast("long")
+    rows = t("part").select("p_partkey", text.alias("s")).select("p_partkey", F.substring("s", 1, 1).alias("currency"), number("^.([0-9]+k?)").alias("lo"), number("-.([0-9]+k?)$").alias("hi"))
+    rates = rows.sparkSession.createDataFrame([("$", 1.0), ("€", 1.1), ("£", 1.3)], "currency string, rate double")
+    return rows.join(F.broadcast(rates), "currency").select("p_partkey", "currency", "lo", "hi", F.round(F.coalesce("hi", "lo") * F.col("rate"), 2).alias("usd"))
+
+
+# --- repositories: aggregates of customers' orders -------------------------------------------------
+
+_REPOS_SQL = "SELECT o_custkey AS repository, CAST(count(*) AS BIGINT) AS commits, round(sum(o_totalprice), 2) AS stars, max(o_orderdate) AS updated FROM orders GROUP BY o_custkey"
+
+
+def repositories(t) -> DataFrame:
+    return t("orders").groupBy(F.col("o_custkey").alias("repository")).agg(F.count(F.lit(1)).alias("commits"), F.round(F.sum("o_totalprice"), 2).alias("stars"), F.max("o_orderdate").alias("updated"))
+
+
+@query("A12 A13 D7 F21", f"""SELECT CAST(count(*) AS BIGINT) AS repositories, CAST(sum(CASE WHEN commits = 1 THEN 1 ELSE 0 END) AS BIGINT) AS single, round(avg(commits), 4) AS mean_commits, round(stddev_samp(commits), 4) AS std_commits, round(corr(commits, stars), 4) AS correlation,
+CASE WHEN corr(commits, stars) > 0.7 THEN 'strong' WHEN corr(commits, stars) > 0.3 THEN 'moderate' ELSE 'weak' END AS described, round(avg(date_diff('day', updated, TIMESTAMP '2001-12-31')), 4) AS mean_days,
+(SELECT repository FROM ({_REPOS_SQL}) m ORDER BY commits DESC, repository LIMIT 1) AS busiest FROM ({_REPOS_SQL}) r""")
+def repo_stats(t) -> DataFrame:
+    days = F.datediff(F.lit("2001-12-31").cast("date"), F.col("updated").cast("date"))
+    correlation = F.corr("commits", "stars")
+    return repositories(t).agg(
+        F.count(F.lit(1)).alias("repositories"), F.sum((F.col("commits") == 1).cast("long")).alias("single"), r4(F.avg("commits")).alias("mean_commits"),
+        r4(F.stddev_samp("commits")).alias("std_commits"), r4(correlation).alias("correlation"),
+        F.when(correlation > 0.7, "strong").when(correlation > 0.3, "moderate").otherwise("weak").alias("described"), r4(F.avg(days)).alias("mean_days"),
+        F.max_by("repository", F.struct("commits", -F.col("repository"))).alias("busiest"),
+    )
+
+
+# --- ratings: users, movies, ratings from 1 to 5 ---------------------------------------------------
+
+_RATINGS_SQL = "SELECT o_custkey AS user_id, l_partkey AS movie_id, CAST(1 + l_quantity % 5 AS INTEGER) AS rating, CAST(epoch(o_orderdate) AS BIGINT) AS ts FROM orders JOIN lineitem ON l_orderkey = o_orderkey"
+_SPREAD_SQL = f"SELECT movie_id, min(rating) AS low, max(rating) AS high, CAST(count(*) AS BIGINT) AS n FROM ({_RATINGS_SQL}) r GROUP BY movie_id"
+
+
+def ratings(t) -> DataFrame:
+    joined = t("orders").join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    seconds = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
+    return joined.select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("movie_id"), (1 + F.col("l_quantity") % 5).cast("int").alias("rating"), seconds.alias("ts"))
+
+
+def rating_spread(t) -> DataFrame:
+    return ratings(t).groupBy("movie_id").agg(F.min("rating").alias("low"), F.max("rating").alias("high"), F.count(F.lit(1)).alias("n"))
+
+
+def _titled(t, rows: DataFrame) -> DataFrame:
+    return rows.join(t("part"), F.col("p_partkey") == F.col("movie_id"))
+
+
+@query("A9 J7", f"SELECT movie_id, p_name AS title, n FROM ({_SPREAD_SQL}) s JOIN part ON p_partkey = movie_id WHERE low >= 2")
+def likes_all(t) -> DataFrame:
+    return _titled(t, rating_spread(t).where("low >= 2")).select("movie_id", F.col("p_name").alias("title"), "n")
+
+
+@query("A9 J7", f"SELECT movie_id, p_name AS title, n FROM ({_SPREAD_SQL}) s JOIN part ON p_partkey = movie_id WHERE high <= 4")
+def dislikes_all(t) -> DataFrame:
+    return _titled(t, rating_spread(t).where("high <= 4")).select("movie_id", F.col("p_name").alias("title"), "n")
+
+
+@query("A10 O5", f"SELECT p_name AS title, round(avg(rating), 4) AS mean, CAST(count(*) AS BIGINT) AS n FROM ({_RATINGS_SQL}) r JOIN part ON p_partkey = movie_id GROUP BY p_name HAVING count(*) >= 50 ORDER BY mean DESC, title LIMIT 20")
+def best_movies(t) -> DataFrame:
+    """Ratings are summed by movie before the join with titles, so the join sees each movie once."""
+    sums = ratings(t).groupBy("movie_id").agg(F.sum("rating").alias("s"), F.count(F.lit(1)).alias("c"))
+    named = _titled(t, sums).groupBy(F.col("p_name").alias("title")).agg(r4(F.sum("s") / F.sum("c")).alias("mean"), F.sum("c").alias("n"))
+    return named.where("n >= 50").orderBy(F.desc("mean"), "title").limit(20)
+
+
+@query("A21", f"SELECT movie_id, round(avg(rating) - (SELECT avg(rating) FROM ({_RATINGS_SQL}) g), 4) AS deviation FROM ({_RATINGS_SQL}) r GROUP BY movie_id")
+def rating_deviation(t) -> DataFrame:
+    """A movie's mean less the mean of all; the latter comes from the same partial sums."""
+    sums = ratings(t).groupBy("movie_id").agg(F.sum("rating").alias("s"), F.count(F.lit(1)).alias("c"))
+    overall = F.broadcast(sums.agg((F.sum("s") / F.sum("c")).alias("mean")))  # one row
+    return sums.join(overall).select("movie_id", r4(F.col("s") / F.col("c") - F.col("mean")).alias("deviation"))
+
+
+@query("A20", f"SELECT round(avg(CASE WHEN abs(m - 3) <= 0.5 THEN 1.0 ELSE 0.0 END), 4) AS share FROM (SELECT user_id, avg(rating) AS m FROM ({_RATINGS_SQL}) r GROUP BY user_id) u")
+def share_within(t) -> DataFrame:
+    means = ratings(t).groupBy("user_id").agg(F.avg("rating").alias("m"))
+    return means.agg(r4(F.avg((F.abs(F.col("m") - 3) <= 0.5).cast("double"))).alias("share"))
+
+
+@query("A18", "SELECT array_to_string(list_sort(list_distinct(flatten(list(string_split(p_name, ' '))))), ',') AS genres FROM part")
+def genre_union(t) -> DataFrame:
+    """All words of a set-valued column; sets are united by a distinct, not by collecting every row."""
+    words = t("part").select(F.explode(F.split("p_name", " ")).alias("w"))
+    return words.agg(F.array_join(F.array_sort(F.collect_set("w")), ",").alias("genres"))
+
+
+@query("Y1 F10", "SELECT genre, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS genre FROM part) g GROUP BY genre")
+def genre_counts(t) -> DataFrame:
+    return t("part").select(F.explode(F.split("p_name", " ")).alias("genre")).groupBy("genre").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("E16 E17 E18", f"SELECT user_id, movie_id, CAST(arg_max(rating, ts * 10 + rating) AS INTEGER) AS rating FROM ({_RATINGS_SQL}) r GROUP BY user_id, movie_id UNION ALL SELECT -1, p_partkey, CAST(NULL AS INTEGER) FROM part WHERE p_partkey < 3")
+def interaction_matrix(t) -> DataFrame:
+    """The last rating of each user and movie, in long form, with a new user's empty rows."""
+    known = ratings(t).groupBy("user_id", "movie_id").agg(F.max_by("rating", F.struct("ts", "rating")).alias("rating"))
+    new = t("part").where("p_partkey < 3").select(F.lit(-1).cast("long").alias("user_id"), F.col("p_partkey").alias("movie_id"), F.lit(None).cast("int").alias("rating"))
+    return known.unionByName(new)
+
+
+# --- daily sales of stores -------------------------------------------------------------------------
+
+_SALES_SQL = "SELECT l_suppkey AS store, CAST(l_shipdate AS DATE) AS day, round(sum(l_extendedprice), 2) AS sales FROM lineitem GROUP BY 1, 2"
+
+
+def sales(t) -> DataFrame:
+    return t("lineitem").groupBy(F.col("l_suppkey").alias("store"), F.col("l_shipdate").cast("date").alias("day")).agg(F.round(F.sum("l_extendedprice"), 2).alias("sales"))
+
+
+@query("A8 J6", f"SELECT CAST(month(day) AS BIGINT) AS month, n_name AS nation, round(avg(sales) + 1e-7, 2) AS mean FROM ({_SALES_SQL}) s JOIN supplier ON s_suppkey = store JOIN nation ON n_nationkey = s_nationkey GROUP BY 1, 2")
+def sales_by_dimension(t) -> DataFrame:
+    stores = t("supplier").join(t("nation"), F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("store"), F.col("n_name").alias("nation"))
+    return sales(t).join(stores, "store").groupBy(F.month("day").cast("long").alias("month"), "nation").agg(cents(F.avg("sales")).alias("mean"))
+
+
+_STORE = Window.partitionBy("store").orderBy("day")
+
+
+@query("W1 W2", f"SELECT store, day, sales, lag(sales) OVER w AS prev_sales, round(sales - lag(sales) OVER w, 2) AS diff FROM ({_SALES_SQL}) s WINDOW w AS (PARTITION BY store ORDER BY day)")
+def sales_lag_diff(t) -> DataFrame:
+    before = F.lag("sales").over(_STORE)
+    return sales(t).select("store", "day", "sales", before.alias("prev_sales"), F.round(F.col("sales") - before, 2).alias("diff"))
+
+
+_LAGS = (1, 7, 30, 180)
+
+
+@query("W3", f"SELECT store, day, {', '.join(f'lag(sales, {k}) OVER w AS lag_{k}, round(lag(sales, {k}) OVER w - lag(sales, {k + 1}) OVER w, 2) AS diff_{k}' for k in _LAGS)} FROM ({_SALES_SQL}) s WINDOW w AS (PARTITION BY store ORDER BY day)")
+def sales_lags_k(t) -> DataFrame:
+    """Many lags over one window: one shuffle and one sort for all."""
+    lags = [F.lag("sales", k).over(_STORE).alias(f"lag_{k}") for k in _LAGS]
+    diffs = [F.round(F.lag("sales", k).over(_STORE) - F.lag("sales", k + 1).over(_STORE), 2).alias(f"diff_{k}") for k in _LAGS]
+    return sales(t).select("store", "day", *lags, *diffs)
+
+
+# Month names as promotion lists write them; September is "Sept".
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sept", "Oct", "Nov", "Dec")
+_MONTH_LIST = ", ".join(f"'{m}'" for m in MONTHS)
+_PROMO_SQL = f"""SELECT store, day, s_suppkey % 4 > 0 AS promo2, 1995 + s_suppkey % 4 AS since_year, 1 + s_suppkey * 7 % 50 AS since_week,
+CASE s_suppkey % 3 WHEN 0 THEN 'Jan,Apr,Jul,Oct' WHEN 1 THEN 'Feb,May,Aug,Nov' ELSE 'Mar,Jun,Sept,Dec' END AS months,
+CASE WHEN s_suppkey % 5 > 0 THEN s_suppkey * 10 END AS distance, CASE WHEN s_suppkey % 6 > 0 THEN 1994 + s_suppkey % 6 END AS open_year, 1 + s_suppkey % 12 AS open_month FROM ({_SALES_SQL}) s JOIN supplier ON s_suppkey = store"""
+
+
+def promoted(t) -> DataFrame:
+    key = F.col("s_suppkey")
+    joined = sales(t).join(t("supplier"), F.col("store") == key)
+    months = F.when(key % 3 == 0, "Jan,Apr,Jul,Oct").when(key % 3 == 1, "Feb,May,Aug,Nov").otherwise("Mar,Jun,Sept,Dec")
+    return joined.select(
+        "store", "day", (key % 4 > 0).alias("promo2"), (1995 + key % 4).alias("since_year"), (1 + key * 7 % 50).alias("since_week"), months.alias("months"),
+        F.when(key % 5 > 0, key * 10).alias("distance"), F.when(key % 6 > 0, 1994 + key % 6).alias("open_year"), (1 + key % 12).alias("open_month"),
+    )
+
+
+@query("D5", f"SELECT store, day, promo2 AND (year(day) > since_year OR (year(day) = since_year AND weekofyear(day) >= since_week)) AND contains(',' || months || ',', ',' || list_extract([{_MONTH_LIST}], CAST(month(day) AS INTEGER)) || ',') AS active FROM ({_PROMO_SQL}) p")
+def promo_active(t) -> DataFrame:
+    """Started (the ISO week is compared as it is, with the calendar year), and in a listed month."""
+    year, week = F.year("day"), F.weekofyear("day")
+    begun = (year > F.col("since_year")) | ((year == F.col("since_year")) & (week >= F.col("since_week")))
+    name = F.element_at(F.array(*(F.lit(m) for m in MONTHS)), F.month("day"))
+    return promoted(t).select("store", "day", (F.col("promo2") & begun & F.array_contains(F.split("months", ","), name)).alias("active"))
+
+
+@query("D6", f"SELECT store, day, distance IS NOT NULL AND (open_year IS NULL OR year(day) > open_year OR (year(day) = open_year AND month(day) >= open_month)) AS active FROM ({_PROMO_SQL}) p")
+def competition_active(t) -> DataFrame:
+    year = F.year("day")
+    opened = F.col("open_year").isNull() | (year > F.col("open_year")) | ((year == F.col("open_year")) & (F.month("day") >= F.col("open_month")))
+    return promoted(t).select("store", "day", (F.col("distance").isNotNull() & F.coalesce(opened, F.lit(False))).alias("active"))
+
+
+@query("M16 G5", f"""SELECT CAST(count(*) AS BIGINT) AS days, round(avg(error), 4) AS rmspe FROM (SELECT day, sqrt(avg(CASE WHEN sales = 0 THEN 0 ELSE power((sales - prev) / sales, 2) END)) AS error FROM
+(SELECT day, sales, lag(sales) OVER (PARTITION BY store ORDER BY day) AS prev FROM ({_SALES_SQL}) s) p WHERE prev IS NOT NULL GROUP BY day) e""")
+def rmspe_baseline(t) -> DataFrame:
+    """The last row's sales as the forecast: the mean over days of each day's error."""
+    rows = sales(t).select("day", "sales", F.lag("sales").over(_STORE).alias("prev")).where("prev IS NOT NULL")
+    error = F.when(F.col("sales") == 0, 0.0).otherwise(F.pow((F.col("sales") - F.col("prev")) / F.col("sales"), 2))
+    by_day = rows.groupBy("day").agg(F.sqrt(F.avg(error)).alias("error"))
+    return by_day.agg(F.count(F.lit(1)).alias("days"), r4(F.avg("error")).alias("rmspe"))
+
+
+@query("G6", f"SELECT round(sqrt(avg(power(ln(1 + prev) - ln(1 + sales), 2))), 4) AS rmsle FROM (SELECT sales, lag(sales) OVER (PARTITION BY store ORDER BY day) AS prev FROM ({_SALES_SQL}) s) p WHERE prev IS NOT NULL")
+def rmsle(t) -> DataFrame:
+    rows = sales(t).select("sales", F.lag("sales").over(_STORE).alias("prev")).where("prev IS NOT NULL")
+    return rows.agg(r4(F.sqrt(F.avg(F.pow(F.log1p("prev") - F.log1p("sales"), 2)))).alias("rmsle"))
+
+
+@query("D4 D8 D9", """SELECT o_orderkey, CAST(dayofyear(o_orderdate) AS INTEGER) AS day_of_year, CAST(date_diff('day', (SELECT min(o_orderdate) FROM orders), o_orderdate) AS INTEGER) AS day_number, CAST(weekofyear(o_orderdate) AS INTEGER) AS week,
+CAST(month(o_orderdate) AS INTEGER) AS month, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(o_orderdate + INTERVAL 30 DAY AS DATE) AS due, CAST(epoch(o_orderdate) AS BIGINT) AS seconds FROM orders""")
+def date_parts(t) -> DataFrame:
+    orders = t("orders")
+    first = F.broadcast(orders.agg(F.min("o_orderdate").cast("date").alias("first")))  # one row
+    day = F.col("o_orderdate").cast("date")
+    return orders.join(first).select(
+        "o_orderkey", F.dayofyear(day).alias("day_of_year"), F.datediff(day, "first").alias("day_number"), F.weekofyear(day).alias("week"), F.month(day).alias("month"),
+        F.year(day).alias("year"), F.date_add(day, 30).alias("due"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("seconds"),
+    )
+
+
+# --- retail orders ---------------------------------------------------------------------------------
+
+_LINES_SQL = "SELECT o_custkey AS user_id, o_orderkey AS order_id, l_partkey AS item, l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount, o_totalprice AS stated FROM orders JOIN lineitem ON l_orderkey = o_orderkey"
+
+
+def lines(t) -> DataFrame:
+    joined = t("orders").join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.select(
+        F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("order_id"), F.col("l_partkey").alias("item"), F.col("l_quantity").alias("quantity"),
+        F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), F.col("o_totalprice").alias("stated"),
+    )
+
+
+@query("A22 A24 X3 W10", f"""SELECT user_id, CAST(count(*) AS BIGINT) AS orders, CAST(sum(n) AS BIGINT) AS items, round(avg(n), 4) AS mean_items, round(avg(amount) + 1e-7, 2) AS mean_amount, round(max(amount) + 1e-7, 2) AS max_amount, round(sum(saved) + 1e-7, 2) AS saved,
+round(sum(stated), 2) AS stated FROM (SELECT user_id, order_id, count(*) AS n, sum(price * (1 - discount)) AS amount, sum(price * discount) AS saved, min(stated) AS stated FROM ({_LINES_SQL}) l GROUP BY user_id, order_id) o GROUP BY user_id""")
+def order_profile_per_user(t) -> DataFrame:
+    """Rows to orders to users; orders are grouped by user too, so only the first step shuffles rows."""
+    orders = lines(t).groupBy("user_id", "order_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("price") * (1 - F.col("discount"))).alias("amount"), F.sum(F.col("price") * F.col("discount")).alias("saved"), F.min("stated").alias("stated")
+    )
+    return orders.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("orders"), F.sum("n").alias("items"), r4(F.avg("n")).alias("mean_items"), cents(F.avg("amount")).alias("mean_amount"),
+        cents(F.max("amount")).alias("max_amount"), cents(F.sum("saved")).alias("saved"), F.round(F.sum("stated"), 2).alias("stated"),
+    )
+
+
+@query("A25", f"SELECT order_id, round(sum(price * quantity), 2) AS computed, round(avg(stated), 2) AS stated, round(sum(price * quantity) - avg(stated), 2) AS difference FROM ({_LINES_SQL}) l GROUP BY order_id")
+def order_reconciliation(t) -> DataFrame:
+    computed = F.sum(F.col("price") * F.col("quantity"))
+    return lines(t).groupBy("order_id").agg(F.round(computed, 2).alias("computed"), F.round(F.avg("stated"), 2).alias("stated"), F.round(computed - F.avg("stated"), 2).alias("difference"))
+
+
+@query("A23", f"SELECT user_id, q AS mode FROM (SELECT user_id, CAST(quantity AS INTEGER) AS q, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, CAST(quantity AS INTEGER)) AS r FROM ({_LINES_SQL}) l GROUP BY 1, 2) m WHERE r = 1")
+def mode_per_user(t) -> DataFrame:
+    return lines(t).groupBy("user_id").agg(F.mode(F.col("quantity").cast("int"), True).alias("mode"))
+
+
+@query("A27 X5", f"SELECT item, CAST(sum(quantity) AS BIGINT) AS quantity FROM ({_LINES_SQL}) l WHERE item = (SELECT item FROM ({_LINES_SQL}) p ORDER BY round(price / quantity, 4) DESC, item LIMIT 1) GROUP BY item")
+def priciest_item_quantity(t) -> DataFrame:
+    rows = lines(t)
+    top = rows.select("item", r4(F.col("price") / F.col("quantity")).alias("unit")).orderBy(F.desc("unit"), "item").limit(1)
+    return rows.join(F.broadcast(top.select("item")), "item", "left_semi").groupBy("item").agg(F.sum("quantity").cast("long").alias("quantity"))  # one row
+
+
+@query("A14 A15", "SELECT CAST(count(o_totalprice) AS BIGINT) AS n, round(avg(o_totalprice), 2) AS mean, round(stddev_samp(o_totalprice), 2) AS std, min(o_totalprice) AS low, round(quantile_cont(o_totalprice, 0.25), 2) AS q1, round(quantile_cont(o_totalprice, 0.5), 2) AS median, round(quantile_cont(o_totalprice, 0.75), 2) AS q3, round(quantile_cont(o_totalprice, 0.99), 2) AS p99, max(o_totalprice) AS high FROM orders")
+def describe_quantiles(t) -> DataFrame:
+    price = F.col("o_totalprice")
+    quantiles = {"q1": 0.25, "median": 0.5, "q3": 0.75, "p99": 0.99}
+    return t("orders").agg(
+        F.count(price).alias("n"), F.round(F.avg(price), 2).alias("mean"), F.round(F.stddev_samp(price), 2).alias("std"), F.min(price).alias("low"),
+        *(F.round(F.percentile(price, F.lit(p)), 2).alias(name) for name, p in quantiles.items()), F.max(price).alias("high"),
+    )
+
+
+@query("A16 X1", "SELECT CAST(floor(10 * log10(o_totalprice)) AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS n, round(sum(exp(ln(1 + o_totalprice)) - 1), 0) AS total FROM orders GROUP BY 1")
+def histogram(t) -> DataFrame:
+    price = F.col("o_totalprice")
+    return t("orders").groupBy(F.floor(10 * F.log10(price)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.expm1(F.log1p(price))), 0).alias("total"))
+
+
+@query("A17 A31 S16 U8", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT user_id) AS BIGINT) AS users, CAST(count(DISTINCT event_type) AS BIGINT) AS types, CAST(count(DISTINCT props) AS BIGINT) AS props FROM events")
+def distinct_counts(t) -> DataFrame:
+    return t("events").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), F.countDistinct("event_type").alias("types"), F.countDistinct("props").alias("props"))
+
+
+@query("S16 U8", "SELECT DISTINCT event_type AS tag FROM events")
+def settings_distinct(t) -> DataFrame:
+    return t("events").select(F.col("event_type").alias("tag")).distinct()
+
+
+@query("Y3 S10", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(length(props) AS INTEGER) AS size FROM events")
+def json_extract_events(t) -> DataFrame:
+    return t("events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.length("props").alias("size"))
+
+
+@query("R11 K14", "SELECT event_type AS topic, arg_max(value, event_id) AS last_value, CAST(max(event_id) AS BIGINT) AS last_offset FROM events GROUP BY event_type")
+def last_value_per_topic(t) -> DataFrame:
+    return t("events").groupBy(F.col("event_type").alias("topic")).agg(F.max_by("value", "event_id").alias("last_value"), F.max("event_id").alias("last_offset"))
+
+
+@query("W11", """SELECT user_id, event_type, CAST(count(*) AS BIGINT) AS length, min(event_id) AS first_event FROM (SELECT *, sum(change) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM
+(SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = event_type THEN 0 ELSE 1 END AS change FROM events) c) r GROUP BY user_id, run, event_type""")
+def run_lengths(t) -> DataFrame:
+    """Runs of events of one type: where the type changes, a new run begins."""
+    by_time = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    change = F.when(F.lag("event_type").over(by_time) == F.col("event_type"), 0).otherwise(1)
+    numbered = t("events").select("user_id", "event_type", "event_id", "ts", change.alias("change")).withColumn("run", F.sum("change").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("user_id", "run", "event_type").agg(F.count(F.lit(1)).alias("length"), F.min("event_id").alias("first_event")).drop("run")
+
+
+@query("W10 W15", "SELECT user_id, CAST(row_number() OVER w AS BIGINT) AS nth, event_id, first_value(event_type) OVER w AS first_type FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def record_numbering(t) -> DataFrame:
+    by_time = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return t("events").select("user_id", F.row_number().over(by_time).cast("long").alias("nth"), "event_id", F.first("event_type").over(by_time).alias("first_type"))
+
+
+@query("W10", "SELECT user_id, arg_min(event_type, event_id) AS first_type FROM events GROUP BY user_id")
+def first_per_key(t) -> DataFrame:
+    return t("events").groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("first_type"))
+
+
+@query("W12 G12", """SELECT arg_max(prev, jump * 1000000 - r) AS elbow, max(jump) AS jump FROM (SELECT lag(v) OVER (ORDER BY v) AS prev, round(v - lag(v) OVER (ORDER BY v), 4) AS jump, row_number() OVER (ORDER BY v) AS r FROM (SELECT DISTINCT c_acctbal AS v FROM customer) c) d""")
+def elbow_jump(t) -> DataFrame:
+    """Where a sorted curve jumps most. Each value's neighbour is found inside ranges of values;
+    a range's first value has its neighbour at the end of the range before."""
+    values = t("customer").select(F.col("c_acctbal").alias("v")).distinct().withColumn("range", F.floor(F.col("v") / 1000).cast("long"))
+    inside = values.withColumn("prev", F.lag("v").over(Window.partitionBy("range").orderBy("v")))
+    ends = values.groupBy("range").agg(F.max("v").alias("end"))
+    # one row for each range of 1000, so the order over all of them is short
+    before = ends.select("range", F.lag("end").over(Window.orderBy("range")).alias("end_before"))
+    jumps = inside.join(before, "range").select(F.coalesce("prev", "end_before").alias("prev"), "v").withColumn("jump", r4(F.col("v") - F.col("prev")))
+    return jumps.agg(F.max_by("prev", F.struct("jump", -F.col("v"))).alias("elbow"), F.max("jump").alias("jump"))
+
+
+@query("O3 O7 O8", "SELECT * FROM (SELECT 'low' AS which, c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey LIMIT 10) a UNION ALL SELECT * FROM (SELECT 'high', c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10) b")
+def single_key_sorts(t) -> DataFrame:
+    rows = t("customer").select("c_custkey", "c_acctbal")
+    low = rows.orderBy("c_acctbal", "c_custkey").limit(10).select(F.lit("low").alias("which"), "*")
+    return low.unionAll(rows.orderBy(F.desc("c_acctbal"), "c_custkey").limit(10).select(F.lit("high").alias("which"), "*"))
+
+
+@query("P4", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 10 AND l_discount >= 0.05 AND l_returnflag = 'R'")
+def bool_filters(t) -> DataFrame:
+    return t("lineitem").where("l_quantity > 10 AND l_discount >= 0.05 AND l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("P1 P2 P6 P11 P13 P16", "SELECT lang, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN text IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nulls, CAST(sum(CASE WHEN regexp_matches(text, '[0-9]{4}') THEN 1 ELSE 0 END) AS BIGINT) AS numbered FROM documents WHERE lang IN ('en', 'de') GROUP BY lang")
+def project_filter_nulls(t) -> DataFrame:
+    docs = t("documents").select(*[c for c in t("documents").columns if c in ("lang", "text")]).where(F.col("lang").isin("en", "de"))
+    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text").isNull()).alias("nulls"), F.count_if(F.col("text").rlike("[0-9]{4}")).alias("numbered"))
+
+
+@query("U4 U5 U6 P12 Y2 O6", """SELECT p_partkey, array_to_string(list_sort(list_intersect(a, b)), ',') AS common, array_to_string(list_sort(list_distinct(list_concat(a, b))), ',') AS united, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ',') AS rest,
+array_to_string(list_reverse_sort(list_distinct([p_size % 7, p_size % 5, p_size % 3, p_size % 2]))[1:2], ',') AS largest FROM (SELECT p_partkey, p_size, string_split(p_name, ' ') AS a, ['red', 'bolt', 'ring'] AS b FROM part) s WHERE len(list_intersect(a, b)) > 0""")
+def array_set_ops(t) -> DataFrame:
+    a, b = F.split("p_name", " "), F.array(*(F.lit(w) for w in ("red", "bolt", "ring")))
+    size = F.col("p_size")
+    largest = F.slice(F.reverse(F.array_sort(F.array_distinct(F.array(size % 7, size % 5, size % 3, size % 2)))), 1, 2)
+    joined = lambda c: F.array_join(F.array_sort(c), ",")
+    return t("part").where(F.size(F.array_intersect(a, b)) > 0).select(
+        "p_partkey", joined(F.array_intersect(a, b)).alias("common"), joined(F.array_union(a, b)).alias("united"), joined(F.array_except(a, b)).alias("rest"), F.array_join(largest, ",").alias("largest")
+    )
+
+
+@query("W14 X6", """SELECT p_partkey, array_to_string(list_reverse(w), ' ') AS reversed, array_to_string(flatten(list_transform(w, lambda x: [x, '0'])), ' ') AS interleaved, CAST(list_sum(list_transform(range(1, p_size + 1), lambda i: i * i)) AS BIGINT) AS squares,
+CAST(list_position(string_split(p_name, ' '), 'ring') AS INTEGER) AS ring_at FROM (SELECT *, string_split(p_name, ' ') AS w FROM part) p""")
+def array_reshape(t) -> DataFrame:
+    words = F.split("p_name", " ")
+    squares = F.aggregate(F.sequence(F.lit(1), F.col("p_size")), F.lit(0).cast("long"), lambda total, i: total + (i * i).cast("long"))
+    ring = F.array_position(words, "ring").cast("int")
+    return t("part").select(
+        "p_partkey", F.array_join(F.reverse(words), " ").alias("reversed"), F.array_join(F.flatten(F.transform(words, lambda x: F.array(x, F.lit("0")))), " ").alias("interleaved"),
+        squares.alias("squares"), F.nullif(ring, F.lit(0)).alias("ring_at"),
+    )
+
+
+@query("F10 F12 F16", """SELECT s_suppkey, string_split(path, '/')[2] AS second, coalesce(string_split(path, '/')[4], 'None') AS fourth, trim(string_split(string_split(string_split(address, ',')[-1], '/')[1], '-')[1]) AS country, CAST(replace(coalesce(pct, '100%'), '%', '') AS DOUBLE) / 100 AS fraction
+FROM (SELECT s_suppkey, n_name || '/' || s_name || '/x' AS path, s_name || ', street, ' || n_name || ' / north - east' AS address, CASE WHEN s_suppkey % 3 > 0 THEN CAST(s_suppkey % 100 AS VARCHAR) || '%' END AS pct FROM supplier JOIN nation ON n_nationkey = s_nationkey) a""")
+def category_levels(t) -> DataFrame:
+    rows = t("supplier").join(t("nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    path = F.split(F.concat_ws("/", "n_name", "s_name", F.lit("x")), "/")
+    address = F.concat("s_name", F.lit(", street, "), "n_name", F.lit(" / north - east"))
+    country = F.split_part(F.split_part(F.element_at(F.split(address, ","), -1), F.lit("/"), F.lit(1)), F.lit("-"), F.lit(1))
+    percent = F.when(F.col("s_suppkey") % 3 > 0, F.concat((F.col("s_suppkey") % 100).cast("string"), F.lit("%")))
+    fraction = F.rtrim(F.coalesce(percent, F.lit("100%")), F.lit("%")).cast("double") / 100
+    return rows.select("s_suppkey", F.get(path, 1).alias("second"), F.coalesce(F.get(path, 3), F.lit("None")).alias("fourth"), F.trim(country).alias("country"), fraction.alias("fraction"))
+
+
+@query("F13 F14 F19 F21 V8", r"""SELECT c_custkey, regexp_extract(name, '.*, ((the )?\S*)\. .*', 1) AS title, CAST(regexp_matches(replace(ticket, '.', ''), '^(.*) .*') OR ticket = 'LINE' AS INTEGER) AS prefixed, len(regexp_split_to_array(trim(name), '\s+')) > 3 AS long_name
+FROM (SELECT c_custkey, c_mktsegment || ', ' || CASE c_custkey % 3 WHEN 0 THEN 'Mr' WHEN 1 THEN 'the Countess' ELSE 'Dr' END || '. ' || c_name AS name, CASE c_custkey % 4 WHEN 0 THEN 'LINE' WHEN 1 THEN 'A./5. 2115' ELSE CAST(c_custkey AS VARCHAR) END AS ticket FROM customer) c""")
+def name_features(t) -> DataFrame:
+    key = F.col("c_custkey")
+    honorific = F.when(key % 3 == 0, "Mr").when(key % 3 == 1, "the Countess").otherwise("Dr")
+    ticket = F.when(key % 4 == 0, "LINE").when(key % 4 == 1, "A./5. 2115").otherwise(key.cast("string"))
+    rows = t("customer").select("c_custkey", F.concat("c_mktsegment", F.lit(", "), honorific, F.lit(". "), "c_name").alias("name"), ticket.alias("ticket"))
+    prefixed = F.replace("ticket", F.lit("."), F.lit("")).rlike("^(.*) .*") | (F.col("ticket") == "LINE")
+    return rows.select("c_custkey", F.regexp_extract("name", r".*, ((the )?\S*)\. .*", 1).alias("title"), prefixed.cast("int").alias("prefixed"), (F.size(F.split(F.trim("name"), r"\s+")) > 3).alias("long_name"))
+
+
+@query("J5 J6 J8 J9 J11", """SELECT r_name AS region, CAST(count(*) AS BIGINT) AS orders, round(sum(o_totalprice), 2) AS total, CAST(count(DISTINCT c_custkey) AS BIGINT) AS customers FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY r_name""")
+def multiway_joins(t) -> DataFrame:
+    """Dimensions join last, over sums by customer."""
+    sums = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("s"))
+    named = sums.join(t("customer"), "c_custkey").join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(t("region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    return named.groupBy(F.col("r_name").alias("region")).agg(F.sum("n").alias("orders"), F.round(F.sum("s"), 2).alias("total"), F.count(F.lit(1)).alias("customers"))
+
+
+@query("S3 S4 S5 U3", """SELECT source, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT k) AS BIGINT) AS keys FROM (SELECT 'orders' AS source, o_custkey AS k FROM orders UNION ALL SELECT 'events', user_id FROM events UNION ALL SELECT 'customer', c_custkey FROM customer) u GROUP BY source""")
+def multi_source_union(t) -> DataFrame:
+    parts = [t(name).select(F.lit(name).alias("source"), F.col(key).alias("k")) for name, key in (("orders", "o_custkey"), ("events", "user_id"), ("customer", "c_custkey"))]
+    united = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return united.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("k").alias("keys"))
+
+
+# --- extensions: not among the reference's operators ------------------------------------------------
+
+
+@query("ext", "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def ext_tumbling(t) -> DataFrame:
+    window = F.window(F.col("ts").cast("timestamp"), "1 day")
+    return t("events").groupBy(window, "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.col("window.start").cast("date").alias("day"), "event_type", "n", "total")
+
+
+@query("ext", """SELECT user_id, CAST(count(*) AS BIGINT) AS sessions, CAST(max(n) AS BIGINT) AS longest FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM
+(SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS f FROM events) a) b GROUP BY user_id, s) c GROUP BY user_id""")
+def ext_session(t) -> DataFrame:
+    session = F.session_window(F.col("ts").cast("timestamp"), "6 hours")
+    sessions = t("events").groupBy("user_id", session).agg(F.count(F.lit(1)).alias("n"))
+    return sessions.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest"))
+
+
+@query("ext", "SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS n, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def ext_rollup(t) -> DataFrame:
+    return t("lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("long").alias("quantity"))
