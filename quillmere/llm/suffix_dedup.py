@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,13 +24,13 @@ from .common import arrow_map, chunks, doc_key
 from .textscan import mix
 
 #: The length of a repeated string, and of an anchor.
-LENGTH, GRAM = 50, 12
+LENGTH, GRAM = 50, 20
 #: A difference cover: any two residues modulo PERIOD meet the cover after the same number of steps.
 PERIOD = 31
 COVER = (0, 1, 3, 8, 12, 18)
 #: Suffixes that are sorted at once, about.
 BLOCK = 250_000
-#: Anchor and suffix buckets for each shuffle partition.
+#: Suffix buckets for each shuffle partition.
 BUCKETS = 8
 _HEAD = 32  # bytes sorted before ties go to the cover's ranks; PERIOD at least
 
@@ -43,7 +44,7 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     two = x[:-1] * np.uint64(0x9E3779B97F4A7C15) + x[1:]
     four = two[:-2] * np.uint64(0xC2B2AE3D27D4EB4F) + two[2:]
     eight = four[:-4] * np.uint64(0x165667B19E3779F9) + four[4:]
-    ids = mix(eight[:-4] * np.uint64(0xD6E8FEB86659FD93) + four[8:])
+    ids = mix((eight[:-12] * np.uint64(0xD6E8FEB86659FD93) + eight[8:-4]) * np.uint64(0xA0761D6478BD642F) + four[16:])
     least = (ids << np.uint64(32)) | np.arange(len(ids), dtype=np.uint64)
     span, wide = 1, LENGTH - GRAM + 1
     while 2 * span <= wide:
@@ -116,29 +117,65 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[di
         yield held[0]["bucket"], held
 
 
-def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text key, anchors of it that another text has too), for each bucket."""
-    for bucket, rows in _by_bucket(batches):
-        keys = np.concatenate([np.repeat(np.frombuffer(r["keys"], "<i8"), np.frombuffer(r["counts"], "<u4")) for r in rows])
-        ids = np.concatenate([np.frombuffer(r["ids"], "<u4") for r in rows])
-        order = np.lexsort((keys, ids))
-        keys, ids = keys[order], ids[order]
-        fresh = np.concatenate([[True], (np.diff(keys) != 0) | (np.diff(ids) != 0)])
-        keys, ids = keys[fresh], ids[fresh]
-        same = np.diff(ids) == 0
-        shared = np.zeros(len(ids), bool)
-        shared[1:] |= same
-        shared[:-1] |= same
-        keys, ids = keys[shared], ids[shared]
-        order = np.argsort(keys, kind="stable")
-        keys, ids = keys[order], ids[order].astype(np.uint64) | np.uint64(bucket) << np.uint64(32)
-        heads = np.flatnonzero(np.concatenate([[True], np.diff(keys) != 0])) if len(keys) else np.zeros(0, np.int64)
-        ends = np.concatenate([heads[1:], [len(keys)]]) if len(keys) else heads
-        blobs = [ids[i:j].astype("<u8").tobytes() for i, j in zip(heads.tolist(), ends.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(keys[heads], pa.int64()), pa.array(blobs, pa.binary())], ["key", "shared"])
-
-
-def _segment_rows(buckets: int):
+def _shared_rows(targets: int):
+    """The anchors that two texts have: a row for each target, which holds a share of the texts."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, held in _by_bucket(batches):
+            keys = np.concatenate([np.repeat(np.frombuffer(r["keys"], "<i8"), np.frombuffer(r["counts"], "<u4")) for r in held])
+            ids = np.concatenate([np.frombuffer(r["ids"], "<u4") for r in held])
+            order = np.lexsort((keys, ids))
+            keys, ids = keys[order], ids[order]
+            fresh = np.concatenate([[True], (np.diff(keys) != 0) | (np.diff(ids) != 0)])
+            keys, ids = keys[fresh], ids[fresh]
+            same = np.diff(ids) == 0
+            shared = np.zeros(len(ids), bool)
+            shared[1:] |= same
+            shared[:-1] |= same
+            keys, ids = keys[shared], ids[shared]
+            order = np.lexsort((keys, keys % targets))
+            keys, ids = keys[order], ids[order]
+            target = keys % targets
+            out = []
+            for t in np.unique(target).tolist():
+                part = keys[target == t]
+                heads = np.flatnonzero(np.concatenate([[True], np.diff(part) != 0]))
+                counts = np.diff(np.concatenate([heads, [len(part)]])).astype("<u4")
+                out.append((t, bucket, part[heads].tobytes(), counts.tobytes(), ids[target == t].tobytes()))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            types = [pa.int32(), pa.int32(), *[pa.binary()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["target", "bucket", "keys", "counts", "ids"])
+
+    return rows
+
+
+def _gathered_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text key, all its shared anchors) from the rows of one target's texts."""
+    keys, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for batch in batches:
+        for row in batch.to_pylist():
+            keys.append(np.repeat(np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["counts"], "<u4")))
+            ids.append(np.frombuffer(row["ids"], "<u4").astype(np.uint64) | np.uint64(row["bucket"]) << np.uint64(32))
+    keys, ids = np.concatenate(keys), np.concatenate(ids)
+    order = np.argsort(keys, kind="stable")
+    keys, ids = keys[order], ids[order]
+    heads = np.flatnonzero(np.concatenate([[True], np.diff(keys) != 0]))[: len(keys)]
+    ends = np.concatenate([heads[1:], [len(keys)]])[: len(heads)]
+    for at in range(0, len(heads), 10_000):
+        some = slice(at, at + 10_000)
+        blobs = [ids[i:j].astype("<u8").tobytes() for i, j in zip(heads[some].tolist(), ends[some].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(keys[heads[some]], pa.int64()), pa.array(blobs, pa.binary())], ["key", "shared"])
+
+
+def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, key, text) with the text's bytes compressed, as they are to be shuffled."""
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        packed = [press.compress((t or "").encode()) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc", "key", "packed"])
+
+
+def _segment_rows(buckets: int, suffix_buckets: int):
     """(doc, key, text, shared anchors) to a row for each bucket: the bytes around those anchors.
 
     Of equal segments in a batch only that of the least document goes on. The others repeat it
@@ -149,22 +186,24 @@ def _segment_rows(buckets: int):
         for batch in batches:
             docs, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             shared = batch.column(3).to_pylist()
+            texts = pa.array([zstandard.decompress(p) for p in batch.column(2).to_pylist()], pa.large_binary())
             groups: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
-            for row, end, data, bounds in chunks(batch.column(2)):
+            for row, end, data, bounds in chunks(texts):
                 ids, place, first, last = anchors(data, bounds)
                 if not len(ids):
                     continue
                 short = _short(ids, buckets)
+                deal = (mix(ids) % np.uint64(suffix_buckets)).astype(np.int64).tolist()
                 owner = np.searchsorted(bounds, place, "right") - 1
                 edges = np.searchsorted(owner, np.arange(end - row + 1))
                 raw = data.tobytes()
                 for i in range(end - row):
                     part = slice(edges[i], edges[i + 1])
-                    wanted = np.concatenate([np.frombuffer(s, "<u8") for s in shared[row + i]])
+                    wanted = np.frombuffer(shared[row + i], "<u8")
                     hit = np.flatnonzero(np.isin(short[part], wanted)) + edges[i]
                     base = int(bounds[i])
-                    for b, lo, hi in zip((short[hit] >> np.uint64(32)).tolist(), first[hit].tolist(), last[hit].tolist(), strict=True):
-                        groups.setdefault(b, {}).setdefault(raw[lo : hi + LENGTH], []).append((row + i, lo - base))
+                    for j, lo, hi in zip(hit.tolist(), first[hit].tolist(), last[hit].tolist(), strict=True):
+                        groups.setdefault(deal[j], {}).setdefault(raw[lo : hi + LENGTH], []).append((row + i, lo - base))
             out = []
             whole: dict[int, list[int]] = {}
             for b, contents in groups.items():
@@ -179,7 +218,7 @@ def _segment_rows(buckets: int):
                             places.append(lo)
                             sent.append(content)
                 ids_of = [np.array([column[i] for i in owners_], "<i8").tobytes() for column in (docs, keys)]
-                out.append((b, *ids_of, np.array(places, "<i8").tobytes(), np.array([len(c) for c in sent], "<i8").tobytes(), b"".join(sent)))
+                out.append((b, *ids_of, np.array(places, "<i8").tobytes(), np.array([len(c) for c in sent], "<i8").tobytes(), zstandard.compress(b"".join(sent))))
             for i, spans in whole.items():
                 out.append((-1, *(np.array([c[i]], "<i8").tobytes() for c in (docs, keys)), np.array(spans, "<i8").tobytes(), b"", b""))
             columns = list(zip(*out, strict=True)) or [()] * 6
@@ -235,19 +274,25 @@ class SuffixSorter:
         return np.where(left <= 0, np.uint64(0), value >> np.minimum(drop, np.uint64(63)) << np.minimum(drop, np.uint64(63)))
 
     def _rank_cover(self) -> None:
-        """Ranks of the cover's positions, comparing eight bytes more until all differ."""
-        at = np.flatnonzero(np.isin(np.arange(self.size) % PERIOD, COVER))
+        """Ranks of the cover's positions, comparing eight bytes more of those still tied."""
+        at = np.flatnonzero(np.isin(np.arange(PERIOD), COVER)[np.arange(self.size) % PERIOD])
         longest = int((self.stops[self.segment[at]] - at).max(initial=0))
-        group = np.zeros(len(at), np.int64)
+        opens = np.zeros(len(at) + 1, bool)  # where a group of equal beginnings begins
+        opens[[0, -1]] = True
         for nth in range(-(-longest // 8)):
-            order = np.lexsort((self.word(at, nth), group))
-            value, g = self.word(at[order], nth), group[order]
-            group[order] = np.cumsum(np.concatenate([[False], (np.diff(g) != 0) | (value[1:] != value[:-1])]))
-            if len(at) and group.max() == len(at) - 1:
+            tied = np.flatnonzero(~(opens[:-1] & opens[1:]))
+            if not len(tied):
                 break
-        left = self.stops[self.segment[at]] - at  # the shorter of two with the same bytes comes first
-        order = np.lexsort((at, left, group))
-        self.rank[at[order]] = np.arange(len(at))
+            group, value = np.cumsum(opens[:-1])[tied], self.word(at[tied], nth)
+            order = np.lexsort((value, group))
+            at[tied] = at[tied][order]
+            group, value = group[order], value[order]
+            opens[tied[1:]] |= (np.diff(group) == 0) & (value[1:] != value[:-1])
+        tied = np.flatnonzero(~(opens[:-1] & opens[1:]))
+        # the shorter of two with the same bytes comes first, then the earlier
+        left = self.stops[self.segment[at[tied]]] - at[tied]
+        at[tied] = at[tied][np.lexsort((at[tied], left, np.cumsum(opens[:-1])[tied]))]
+        self.rank[at] = np.arange(len(at))
 
     def sort(self, at: np.ndarray) -> np.ndarray:
         """The suffixes in order."""
@@ -320,26 +365,27 @@ def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = [r["places"] for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(keys), pa.array(spans, pa.binary())], schema=schema)
             continue
-        raw = b"".join(r["bytes"] for r in rows)
+        raw = b"".join(zstandard.decompress(r["bytes"]) for r in rows)
         stops = np.cumsum(sizes)
+        docs_, places_ = docs.tolist(), places.tolist()
         contents: dict[bytes, list[int]] = {}
         for i, (start, stop) in enumerate(zip((stops - sizes).tolist(), stops.tolist(), strict=True)):
             contents.setdefault(raw[start:stop], []).append(i)
-        least = [min(docs[held]) for held in contents.values()]
-        data = np.frombuffer(b"".join(contents), np.uint8)
+        least = [min([docs_[i] for i in held]) for held in contents.values()]
         once = np.array([len(c) for c in contents])
-        marks = repeated_windows(np.array(least), once, data)
+        hit = np.flatnonzero(repeated_windows(np.array(least), once, np.frombuffer(b"".join(contents), np.uint8)))
+        of = np.searchsorted(np.cumsum(once), hit, "right")
+        hit = hit - (np.cumsum(once) - once)[of]
+        heads = np.flatnonzero(np.concatenate([[True], (np.diff(hit) > 1) | (np.diff(of) != 0)]))[: len(hit)]
+        tails = np.concatenate([heads[1:], [len(hit)]])[: len(heads)] - 1
+        runs: dict[int, list[tuple[int, int]]] = {}
+        for nth, start, end in zip(of[heads].tolist(), hit[heads].tolist(), (hit[tails] + LENGTH).tolist(), strict=True):
+            runs.setdefault(nth, []).append((start, end))
         spans_of: dict[int, list[int]] = {}
-        start = 0
-        for (content, held), low in zip(contents.items(), least, strict=True):
-            hit = np.flatnonzero(marks[start : start + len(content)])
-            start += len(content)
-            heads = np.flatnonzero(np.concatenate([[True], np.diff(hit) > 1]))[: len(hit)]
-            tails = np.concatenate([heads[1:], [len(hit)]])[: len(heads)] - 1
-            runs = list(zip(hit[heads].tolist(), (hit[tails] + LENGTH).tolist(), strict=True))
+        for nth, ((content, held), low) in enumerate(zip(contents.items(), least, strict=True)):
             for i in held:
-                for a, b in [(0, len(content))] if docs[i] > low else runs:
-                    spans_of.setdefault(i, []).extend((int(places[i]) + a, int(places[i]) + b))
+                for start, end in [(0, len(content))] if docs_[i] > low else runs.get(nth, ()):
+                    spans_of.setdefault(i, []).extend((places_[i] + start, places_[i] + end))
         by_text: dict[tuple[int, int], list[int]] = {}
         for i, spans in spans_of.items():
             by_text.setdefault((int(docs[i]), int(keys[i])), []).extend(spans)
@@ -366,8 +412,8 @@ def _removal(as_text: bool):
     def removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, key, text, copy, spans in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                raw = (text or "").encode()
+            for doc, key, packed, copy, spans in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                raw = zstandard.decompress(packed)
                 if copy and len(raw) >= LENGTH:
                     gone = [(0, len(raw))]
                 elif copy or not spans:
@@ -412,7 +458,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = BUCKETS * partitions
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(doc_key(id_col).alias("doc"), F.unhex(F.sha2(text, 256)).alias("sha"), text.alias("text"))
     rows = rows.withColumn("key", F.xxhash64("sha"))
@@ -420,19 +465,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = narrow.groupBy("sha").agg(F.min("doc").alias("least"), F.first("key").alias("key"))
     info = narrow.distinct().join(least.select("sha", "least"), "sha").select("doc", "key", (F.col("least") < F.col("doc")).alias("copy"))
 
-    dealt = arrow_map(rows.select("key", "text"), _anchor_rows(buckets), "bucket int, keys binary, counts binary, ids binary")
+    dealt = arrow_map(rows.select("key", "text"), _anchor_rows(partitions), "bucket int, keys binary, counts binary, ids binary")
     dealt = dealt.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    shared = arrow_map(dealt, _shared_rows, "key long, shared binary").groupBy("key").agg(F.collect_list("shared").alias("shared"))
+    shared = arrow_map(dealt, _shared_rows(partitions), "target int, bucket int, keys binary, counts binary, ids binary")
+    shared = arrow_map(shared.repartition(partitions, "target"), _gathered_rows, "key long, shared binary")
     places = shared.join(least.select("key", F.col("least").alias("doc")), "key")
 
-    texts = rows.select("doc", "key", "text").repartition(partitions, "doc", "key")
-    around = texts.join(places, ["doc", "key"]).select("doc", "key", "text", "shared")
-    segments = arrow_map(around, _segment_rows(buckets), "bucket int, docs binary, keys binary, places binary, sizes binary, bytes binary")
+    texts = arrow_map(rows.select("doc", "key", "text"), _packed_rows, "doc long, key long, packed binary").repartition(partitions, "doc", "key")
+    around = texts.join(places, ["doc", "key"]).select("doc", "key", "packed", "shared")
+    segments = arrow_map(around, _segment_rows(partitions, BUCKETS * partitions), "bucket int, docs binary, keys binary, places binary, sizes binary, bytes binary")
     salt = F.when(F.col("bucket") < 0, F.xxhash64("docs", "keys")).otherwise(F.lit(0))
     segments = segments.withColumn("salt", salt).repartition(partitions, "bucket", "salt").drop("salt").sortWithinPartitions("bucket")
     spans = arrow_map(segments, _span_rows, "doc long, key long, spans binary").groupBy("doc", "key").agg(F.collect_list("spans").alias("spans"))
 
-    judged = texts.join(info, ["doc", "key"]).join(spans, ["doc", "key"], "left").select("doc", "key", "text", "copy", "spans")
+    judged = texts.join(info, ["doc", "key"]).join(spans, ["doc", "key"], "left").select("doc", "key", "packed", "copy", "spans")
     result = arrow_map(judged, _removal(as_text), _RESULT.format("string" if as_text else "binary"))
     doc_id = F.when(F.col("doc") != F.lit((1 << 63) - 1), F.col("doc")).alias("doc_id")
     return result.select(doc_id, F.col("key").alias("text_key"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans")
