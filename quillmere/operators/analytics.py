@@ -242,12 +242,14 @@ def sales_by_dimension(t) -> DataFrame:
     return sales(t).join(stores, "store").groupBy(F.month("day").cast("long").alias("month"), "nation").agg(cents(F.avg("sales")).alias("mean"))
 
 
-_STORE = Window.partitionBy("store").orderBy("day")
+def by_store():
+    return Window.partitionBy("store").orderBy("day")
+
 
 
 @query("W1 W2", f"SELECT store, day, sales, lag(sales) OVER w AS prev_sales, round(sales - lag(sales) OVER w, 2) AS diff FROM ({_SALES_SQL}) s WINDOW w AS (PARTITION BY store ORDER BY day)")
 def sales_lag_diff(t) -> DataFrame:
-    before = F.lag("sales").over(_STORE)
+    before = F.lag("sales").over(by_store())
     return sales(t).select("store", "day", "sales", before.alias("prev_sales"), F.round(F.col("sales") - before, 2).alias("diff"))
 
 
@@ -257,8 +259,8 @@ _LAGS = (1, 7, 30, 180)
 @query("W3", f"SELECT store, day, {', '.join(f'lag(sales, {k}) OVER w AS lag_{k}, round(lag(sales, {k}) OVER w - lag(sales, {k + 1}) OVER w, 2) AS diff_{k}' for k in _LAGS)} FROM ({_SALES_SQL}) s WINDOW w AS (PARTITION BY store ORDER BY day)")
 def sales_lags_k(t) -> DataFrame:
     """Many lags over one window: one shuffle and one sort for all."""
-    lags = [F.lag("sales", k).over(_STORE).alias(f"lag_{k}") for k in _LAGS]
-    diffs = [F.round(F.lag("sales", k).over(_STORE) - F.lag("sales", k + 1).over(_STORE), 2).alias(f"diff_{k}") for k in _LAGS]
+    lags = [F.lag("sales", k).over(by_store()).alias(f"lag_{k}") for k in _LAGS]
+    diffs = [F.round(F.lag("sales", k).over(by_store()) - F.lag("sales", k + 1).over(by_store()), 2).alias(f"diff_{k}") for k in _LAGS]
     return sales(t).select("store", "day", *lags, *diffs)
 
 
@@ -300,7 +302,7 @@ def competition_active(t) -> DataFrame:
 (SELECT day, sales, lag(sales) OVER (PARTITION BY store ORDER BY day) AS prev FROM ({_SALES_SQL}) s) p WHERE prev IS NOT NULL GROUP BY day) e""")
 def rmspe_baseline(t) -> DataFrame:
     """The last row's sales as the forecast: the mean over days of each day's error."""
-    rows = sales(t).select("day", "sales", F.lag("sales").over(_STORE).alias("prev")).where("prev IS NOT NULL")
+    rows = sales(t).select("day", "sales", F.lag("sales").over(by_store()).alias("prev")).where("prev IS NOT NULL")
     error = F.when(F.col("sales") == 0, 0.0).otherwise(F.pow((F.col("sales") - F.col("prev")) / F.col("sales"), 2))
     by_day = rows.groupBy("day").agg(F.sqrt(F.avg(error)).alias("error"))
     return by_day.agg(F.count(F.lit(1)).alias("days"), r4(F.avg("error")).alias("rmspe"))
@@ -308,7 +310,7 @@ def rmspe_baseline(t) -> DataFrame:
 
 @query("G6", f"SELECT round(sqrt(avg(power(ln(1 + prev) - ln(1 + sales), 2))), 4) AS rmsle FROM (SELECT sales, lag(sales) OVER (PARTITION BY store ORDER BY day) AS prev FROM ({_SALES_SQL}) s) p WHERE prev IS NOT NULL")
 def rmsle(t) -> DataFrame:
-    rows = sales(t).select("sales", F.lag("sales").over(_STORE).alias("prev")).where("prev IS NOT NULL")
+    rows = sales(t).select("sales", F.lag("sales").over(by_store()).alias("prev")).where("prev IS NOT NULL")
     return rows.agg(r4(F.sqrt(F.avg(F.pow(F.log1p("prev") - F.log1p("sales"), 2)))).alias("rmsle"))
 
 

@@ -1 +1,224 @@
-"""To come."""
+"""Feature engineering and evaluation as closed formulas over columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quillmere.plans.registry import query
+
+#: The held-out share of a split is one part in this many.
+PARTS = 5
+
+
+def r4(column: Column) -> Column:
+    return F.round(column, 4)
+
+
+@query("A19", "SELECT c_nationkey, CAST(count(CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 1 END) AS BIGINT) AS automobile, CAST(count(CASE WHEN c_mktsegment = 'BUILDING' THEN 1 END) AS BIGINT) AS building, CAST(count(CASE WHEN c_mktsegment = 'MACHINERY' THEN 1 END) AS BIGINT) AS machinery FROM customer GROUP BY c_nationkey")
+def pivot_counts(t) -> DataFrame:
+    """The pivoted values are named, which spares a pass to find them."""
+    kinds = ("AUTOMOBILE", "BUILDING", "MACHINERY")
+    wide = t("customer").groupBy("c_nationkey").pivot("c_mktsegment", list(kinds)).agg(F.count("c_custkey"))
+    return wide.select("c_nationkey", *(F.coalesce(F.col(k), F.lit(0)).cast("long").alias(k.lower()) for k in kinds))
+
+
+_SIZES = "CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 13 = 0 THEN 0 ELSE p_size END"
+
+
+@query("E10", f"""SELECT p_partkey, CAST(coalesce(size, 0) AS DOUBLE) AS as_written_zero, round(coalesce(size, avg(size) OVER (PARTITION BY p_type, p_brand), avg(size) OVER ()), 4) AS as_written, round(coalesce(nullif(size, 0), avg(nullif(size, 0)) OVER (PARTITION BY p_type, p_brand), avg(nullif(size, 0)) OVER ()), 4) AS as_intended
+FROM (SELECT *, {_SIZES} AS size FROM part) p""")
+def mean_by_category_impute(t) -> DataFrame:
+    """Missing values take their category's mean, or that of all. Zeros count as values as written,
+    and as missing as intended."""
+    rows = t("part").withColumn("size", F.expr(_SIZES)).withColumn("filled", F.nullif("size", F.lit(0)))
+    means = rows.groupBy("p_type", "p_brand").agg(F.avg("size").alias("m1"), F.avg("filled").alias("m2"))
+    overall = F.broadcast(rows.agg(F.avg("size").alias("o1"), F.avg("filled").alias("o2")))  # one row
+    joined = rows.join(means, ["p_type", "p_brand"]).join(overall)
+    return joined.select(
+        "p_partkey", F.coalesce("size", F.lit(0)).cast("double").alias("as_written_zero"), r4(F.coalesce("size", "m1", "o1")).alias("as_written"), r4(F.coalesce("filled", "m2", "o2")).alias("as_intended")
+    )
+
+
+@query("G13", "SELECT round(corr(p_retailprice, p_size), 4) AS price_size, round(corr(p_retailprice, p_partkey), 4) AS price_key FROM part")
+def corr_fare_class(t) -> DataFrame:
+    return t("part").agg(r4(F.corr("p_retailprice", F.col("p_size").cast("double"))).alias("price_size"), r4(F.corr("p_retailprice", F.col("p_partkey").cast("double"))).alias("price_key"))
+
+
+@query("E8 J11", "SELECT p_partkey, CAST(i AS BIGINT) AS type_index, 1.0::DOUBLE AS value FROM part JOIN (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS i FROM (SELECT DISTINCT p_type FROM part) d) x USING (p_type)")
+def onehot_long(t) -> DataFrame:
+    """Labels by alphabetical index, one-hot in long form."""
+    kinds = t("part").select("p_type").distinct()
+    indexed = kinds.select("p_type", (F.row_number().over(Window.orderBy("p_type")) - 1).cast("long").alias("type_index"))
+    return t("part").join(F.broadcast(indexed), "p_type").select("p_partkey", "type_index", F.lit(1.0).alias("value"))  # a row for each type
+
+
+@query("E9 E11 E12 E13", f"""SELECT p_partkey, round((x - avg(x) OVER ()) / stddev_pop(x) OVER (), 4) AS scaled_size, round((p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER (), 4) AS scaled_price, round(x + p_retailprice, 4) AS total FROM
+(SELECT p_partkey, p_retailprice, CAST(coalesce(size, (SELECT size FROM (SELECT {_SIZES} AS size FROM part) m WHERE size IS NOT NULL GROUP BY size ORDER BY count(*) DESC, size LIMIT 1)) AS DOUBLE) AS x FROM (SELECT *, {_SIZES} AS size FROM part) s) p""")
+def impute_scale_sum(t) -> DataFrame:
+    """The mode for missing values, then population z-scores, and a sum of columns."""
+    rows = t("part").withColumn("size", F.expr(_SIZES))
+    mode = F.broadcast(rows.where("size IS NOT NULL").agg(F.mode("size", True).alias("mode")))  # one row
+    filled = rows.join(mode).withColumn("x", F.coalesce("size", "mode").cast("double"))
+    stats = F.broadcast(filled.agg(*(f(c).alias(f"{n}_{c}") for n, f in (("m", F.avg), ("s", F.stddev_pop)) for c in ("x", "p_retailprice"))))  # one row
+    z = lambda c: r4((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}"))
+    return filled.join(stats).select("p_partkey", z("x").alias("scaled_size"), z("p_retailprice").alias("scaled_price"), r4(F.col("x") + F.col("p_retailprice")).alias("total"))
+
+
+@query("A28 X7", "SELECT label, CAST(pos AS INTEGER) AS pos, round(avg(v), 4) AS mean FROM (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) e GROUP BY label, pos")
+def vector_mean_by_group(t) -> DataFrame:
+    rows = t("embeddings").select("label", F.posexplode("embedding").alias("pos", "v"))
+    return rows.groupBy("label", "pos").agg(r4(F.avg(F.col("v").cast("double"))).alias("mean"))
+
+
+_NORMED = "SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings"
+
+
+@query("X8 X9 E20 E21", f"SELECT vec_id, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 4) AS norm, round(0.299 * e[1] + 0.587 * e[2] + 0.114 * e[3], 4) AS gray, round(list_sum(e[1:32]) / 32, 4) AS half_mean FROM ({_NORMED}) n")
+def normalise_vectors(t) -> DataFrame:
+    """Norm, a weighted sum of three channels, and the mean under a mask of the first half."""
+    v = t("embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    gray = 0.299 * F.col("e")[0] + 0.587 * F.col("e")[1] + 0.114 * F.col("e")[2]
+    masked = F.transform("e", lambda x, i: F.when(i < 32, x).otherwise(0.0))
+    return v.select("vec_id", r4(F.sqrt(total(F.transform("e", lambda x: x * x)))).alias("norm"), r4(gray).alias("gray"), r4(total(masked) / 32).alias("half_mean"))
+
+
+def _distances(left: DataFrame, right: DataFrame) -> DataFrame:
+    gap = F.aggregate(F.zip_with("e1", "e2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    return left.join(F.broadcast(right)).where("v1 <> v2").select("v1", "v2", F.sqrt(gap).alias("d"))
+
+
+def _queries(t) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and as queries those whose id is divisible by 100: a stated query set against
+    all rows. The queries are what is broadcast, in blocks where there are many."""
+    wide = lambda n: t("embeddings").select(F.col("vec_id").alias(f"v{n}"), F.transform("embedding", lambda x: x.cast("double")).alias(f"e{n}"))
+    return wide(2), wide(1).where("v1 % 100 = 0")
+
+
+_DIST_SQL = f"SELECT a.vec_id AS v1, b.vec_id AS v2, sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS d FROM ({_NORMED}) a, ({_NORMED}) b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id"
+
+
+@query("J15", f"SELECT v1, CAST(count(*) AS BIGINT) AS n, round(min(d), 4) AS nearest, round(max(d), 4) AS farthest, round(avg(d), 4) AS mean FROM ({_DIST_SQL}) x GROUP BY v1")
+def pairwise_distance(t) -> DataFrame:
+    rows, queries = _queries(t)
+    d = F.col("d")
+    return _distances(rows, queries).groupBy("v1").agg(F.count(F.lit(1)).alias("n"), r4(F.min(d)).alias("nearest"), r4(F.max(d)).alias("farthest"), r4(F.avg(d)).alias("mean"))
+
+
+@query("J16 G11", f"SELECT v1, CAST(r AS INTEGER) AS r, v2, round(d, 4) AS d FROM (SELECT v1, v2, d, row_number() OVER (PARTITION BY v1 ORDER BY round(d, 6), v2) AS r FROM ({_DIST_SQL}) x) y WHERE r <= 5")
+def knn_neighbours(t) -> DataFrame:
+    """The five nearest of each query; Spark keeps only rows under the rank limit before it shuffles."""
+    rows, queries = _queries(t)
+    nth = F.row_number().over(Window.partitionBy("v1").orderBy(F.round("d", 6), "v2"))
+    return _distances(rows, queries).withColumn("r", nth).where("r <= 5").select("v1", "r", "v2", r4(F.col("d")).alias("d"))
+
+
+_TABLE = "SELECT label AS a, CAST(CASE WHEN embedding[1] > 0 THEN 1 ELSE 0 END + CASE WHEN embedding[2] > 0 THEN 2 ELSE 0 END AS INTEGER) AS b FROM embeddings"
+
+
+def _labelled(t) -> DataFrame:
+    e = F.col("embedding")
+    return t("embeddings").select(F.col("label").alias("a"), ((e[0] > 0).cast("int") + 2 * (e[1] > 0).cast("int")).alias("b"))
+
+
+@query("G9", f"""SELECT round((nij - ni * nj / n) / ((ni + nj) / 2 - ni * nj / n), 4) AS rand_index FROM (SELECT (SELECT sum(c * (c - 1) / 2.0) FROM (SELECT count(*) AS c FROM ({_TABLE}) t GROUP BY a, b) x) AS nij, (SELECT sum(c * (c - 1) / 2.0) FROM (SELECT count(*) AS c FROM ({_TABLE}) t GROUP BY a) x) AS ni,
+(SELECT sum(c * (c - 1) / 2.0) FROM (SELECT count(*) AS c FROM ({_TABLE}) t GROUP BY b) x) AS nj, (SELECT count(*) * (count(*) - 1) / 2.0 FROM ({_TABLE}) t) AS n) s""")
+def adjusted_rand(t) -> DataFrame:
+    """From the contingency table, whose margins are sums of its cells."""
+    cells = _labelled(t).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    pairs = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
+    parts = [cells.agg(pairs("c").alias("nij"), F.sum("c").alias("m"))]
+    parts += [cells.groupBy(k).agg(F.sum("c").alias("c")).agg(pairs("c").alias(n)) for k, n in (("a", "ni"), ("b", "nj"))]
+    one = parts[0].join(F.broadcast(parts[1])).join(F.broadcast(parts[2]))  # one row each
+    expected = F.col("ni") * F.col("nj") / (F.col("m") * (F.col("m") - 1) / 2)
+    return one.select(r4((F.col("nij") - expected) / ((F.col("ni") + F.col("nj")) / 2 - expected)).alias("rand_index"))
+
+
+@query("A30", f"SELECT a, CAST(sum(CASE WHEN b = 0 THEN 1 ELSE 0 END) AS BIGINT) AS p0, CAST(sum(CASE WHEN b = 1 THEN 1 ELSE 0 END) AS BIGINT) AS p1, CAST(sum(CASE WHEN b = 2 THEN 1 ELSE 0 END) AS BIGINT) AS p2, CAST(sum(CASE WHEN b = 3 THEN 1 ELSE 0 END) AS BIGINT) AS p3 FROM ({_TABLE}) t GROUP BY a")
+def confusion_matrix(t) -> DataFrame:
+    wide = _labelled(t).groupBy("a").pivot("b", [0, 1, 2, 3]).count()
+    return wide.select("a", *(F.coalesce(F.col(str(i)), F.lit(0)).alias(f"p{i}") for i in range(4)))
+
+
+@query("G17", "SELECT label AS cluster, CAST(count(*) AS BIGINT) AS size FROM embeddings GROUP BY label")
+def cluster_sizes(t) -> DataFrame:
+    return t("embeddings").groupBy(F.col("label").alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
+
+
+# A fixed score stands in for a model's: the sigmoid of a vector's first two entries.
+_SCORED = "SELECT vec_id, CASE WHEN label >= 5 THEN 1.0 ELSE 0.0 END AS y, 1 / (1 + exp(-(3 * CAST(embedding[1] AS DOUBLE) - 2 * CAST(embedding[2] AS DOUBLE)))) AS p FROM embeddings"
+
+
+def _scored(t) -> DataFrame:
+    e = lambda i: F.col("embedding")[i].cast("double")
+    return t("embeddings").select("vec_id", F.when(F.col("label") >= 5, 1.0).otherwise(0.0).alias("y"), (1 / (1 + F.exp(-(3 * e(0) - 2 * e(1))))).alias("p"))
+
+
+@query("G16", f"SELECT round(avg(-(y * ln(q) + (1 - y) * ln(1 - q))), 4) AS loss, round(avg(-(y * ln(q) + (1 - y) * ln(1 - q))) + 0.01 * (3 + 2) + 0.01 * (9 + 4), 4) AS penalised FROM (SELECT y, greatest(1e-5, least(1 - 1e-5, p)) AS q FROM ({_SCORED}) s) c")
+def log_loss(t) -> DataFrame:
+    q = F.greatest(F.lit(1e-5), F.least(F.lit(1 - 1e-5), F.col("p")))
+    loss = F.avg(-(F.col("y") * F.ln(q) + (1 - F.col("y")) * F.ln(1 - q)))
+    return _scored(t).agg(r4(loss).alias("loss"), r4(loss + 0.01 * (3 + 2) + 0.01 * (9 + 4)).alias("penalised"))
+
+
+@query("G4 G7 G15 V9", f"SELECT CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END), 4) AS accuracy, round(avg(power(y - p, 2)), 4) AS mse, CAST(sum(CASE WHEN p >= 0.5 AND y = 1 THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM ({_SCORED}) s")
+def classification_metrics(t) -> DataFrame:
+    p, y = F.col("p"), F.col("y")
+    right = ((p >= 0.5) == (y == 1)).cast("double")
+    return _scored(t).agg(F.count(F.lit(1)).alias("n"), r4(F.avg(right)).alias("accuracy"), r4(F.avg(F.pow(y - p, 2))).alias("mse"), F.sum(((p >= 0.5) & (y == 1)).cast("long")).alias("hits"))
+
+
+@query("G8 O7", f"""SELECT round((SELECT avg(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0.0 END) FROM ({_SCORED}) a, ({_SCORED}) b WHERE a.y = 1 AND b.y = 0), 4) AS auc, round((SELECT avg(y) FROM (SELECT y FROM ({_SCORED}) s ORDER BY p DESC, vec_id LIMIT 10) k), 4) AS precision_at_10,
+round((SELECT sum(y) FROM (SELECT y FROM ({_SCORED}) s ORDER BY p DESC, vec_id LIMIT 10) k) / (SELECT sum(y) FROM ({_SCORED}) s), 4) AS recall_at_10""")
+def ranking_metrics(t) -> DataFrame:
+    """The area under the curve by ranks within and before ranges of scores: no pair is made."""
+    rows = _scored(t).withColumn("bin", F.floor(F.col("p") * 1000))
+    tied = rows.groupBy("bin", "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    within = Window.partitionBy("bin").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    inside = tied.withColumn("lower", F.coalesce(F.sum("neg").over(within), F.lit(0.0)))
+    bins = tied.groupBy("bin").agg(F.sum("neg").alias("n"))  # at most 1001 rows
+    offsets = bins.select("bin", F.coalesce(F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
+    wins = inside.join(F.broadcast(offsets), "bin").agg((F.sum(F.col("pos") * (F.col("lower") + F.col("before") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"), F.sum("pos").alias("all"))
+    top = rows.orderBy(F.desc("p"), "vec_id").limit(10).agg(F.avg("y").alias("precision"), F.sum("y").alias("hits"))
+    return wins.join(F.broadcast(top)).select(r4(F.col("auc")).alias("auc"), r4(F.col("precision")).alias("precision_at_10"), r4(F.col("hits") / F.col("all")).alias("recall_at_10"))
+
+
+@query("X2", "SELECT vec_id, round(1 / (1 + exp(-CAST(embedding[1] AS DOUBLE))), 4) AS sigmoid, round(greatest(-0.1, least(0.1, CAST(embedding[1] AS DOUBLE))), 4) AS clipped FROM embeddings")
+def sigmoid_clip(t) -> DataFrame:
+    x = F.col("embedding")[0].cast("double")
+    return t("embeddings").select("vec_id", r4(1 / (1 + F.exp(-x))).alias("sigmoid"), r4(F.greatest(F.lit(-0.1), F.least(F.lit(0.1), x))).alias("clipped"))
+
+
+@query("X10", "SELECT label, round(0.05 * ln(0.05 / q) + 0.95 * ln(0.95 / (1 - q)), 4) AS kl FROM (SELECT label, greatest(0.01, least(0.99, avg(1 / (1 + exp(-CAST(embedding[1] AS DOUBLE)))))) AS q FROM embeddings GROUP BY label) a")
+def kl_divergence(t) -> DataFrame:
+    """How far a unit's mean activation is from the wanted sparsity."""
+    mean = F.avg(1 / (1 + F.exp(-F.col("embedding")[0].cast("double"))))
+    q = F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col("q")))
+    kl = 0.05 * F.ln(0.05 / q) + 0.95 * F.ln(0.95 / (1 - q))
+    return t("embeddings").groupBy("label").agg(mean.alias("q")).select("label", r4(kl).alias("kl"))
+
+
+@query("G1 G2 U7", f"SELECT CASE WHEN c_custkey % {PARTS} = 0 THEN 'test' ELSE 'train' END AS part, CAST(count(*) AS BIGINT) AS n, round(avg(c_acctbal), 4) AS mean FROM customer GROUP BY 1")
+def hash_split(t) -> DataFrame:
+    """A split by the key, which every engine and every run makes alike."""
+    part = F.when(F.col("c_custkey") % PARTS == 0, "test").otherwise("train").alias("part")
+    return t("customer").groupBy(part).agg(F.count(F.lit(1)).alias("n"), r4(F.avg("c_acctbal")).alias("mean"))
+
+
+@query("A29 M6", """SELECT threshold, round(gini, 4) AS gini FROM (SELECT v AS threshold, ((n * (1 - power(p / n, 2) - power(1 - p / n, 2))) + CASE WHEN total - n > 0 THEN (total - n) * (1 - power((pos - p) / (total - n), 2) - power(1 - (pos - p) / (total - n), 2)) ELSE 0 END) / total AS gini FROM
+(SELECT v, CAST(sum(c) OVER (ORDER BY v) AS DOUBLE) AS n, CAST(sum(s) OVER (ORDER BY v) AS DOUBLE) AS p, CAST(sum(c) OVER () AS DOUBLE) AS total, CAST(sum(s) OVER () AS DOUBLE) AS pos FROM (SELECT p_size AS v, count(*) AS c, sum(CASE WHEN p_retailprice > 1000 THEN 1 ELSE 0 END) AS s FROM part GROUP BY p_size) g) w) x ORDER BY round(gini, 9), threshold LIMIT 1""")
+def split_search_gini(t) -> DataFrame:
+    """The best split of one feature: class counts up to each value, then the least impurity.
+
+    Rows are counted by value first; the running sums are over distinct values of a small domain.
+    """
+    counts = t("part").groupBy(F.col("p_size").alias("v")).agg(F.count(F.lit(1)).alias("c"), F.sum((F.col("p_retailprice") > 1000).cast("long")).alias("s"))
+    upto = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = counts.select("v", *(F.sum(c).over(w).cast("double").alias(n) for c, w, n in (("c", upto, "n"), ("s", upto, "p"), ("c", whole, "total"), ("s", whole, "pos"))))
+    impurity = lambda p, n: n * (1 - F.pow(p / n, 2) - F.pow(1 - p / n, 2))
+    rest = F.col("total") - F.col("n")
+    gini = (impurity(F.col("p"), F.col("n")) + F.when(rest > 0, impurity(F.col("pos") - F.col("p"), F.nullif(rest, F.lit(0.0)))).otherwise(0.0)) / F.col("total")
+    return sums.select(F.col("v").alias("threshold"), gini.alias("g")).orderBy(F.round("g", 9), "threshold").limit(1).select("threshold", r4(F.col("g")).alias("gini"))

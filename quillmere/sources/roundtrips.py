@@ -1 +1,64 @@
-"""To come."""
+"""Readers and writers of files: what is written is read again with a declared schema."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmere.functions.transformers import TokenJoiner
+from quillmere.plans.registry import session_query
+from quillmere.sources.shared import fresh_path
+from quillmere.sources.tables import table
+
+
+@session_query("S7 S8 S9 S11 S34 K8 C1", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment || ', \"' || c_nationkey || '\"' AS note, CAST(c_custkey % 3 AS INTEGER) AS part FROM customer")
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quoted and escaped fields, line feeds in them, and a key that only the path has."""
+    path = fresh_path(spark, "csv")
+    note = F.concat("c_mktsegment", F.lit(', "'), F.col("c_nationkey").cast("string"), F.lit('"'))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.lit("\n")).alias("c_name"), "c_acctbal", note.alias("note"), (F.col("c_custkey") % 3).cast("int").alias("part"))
+    rows.write.partitionBy("part").csv(path, header=True, quote='"', escape='"')
+    schema = "c_custkey long, c_name string, c_acctbal double, note string"
+    read = spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', multiLine=True)
+    part = F.regexp_extract(F.input_file_name(), r"part=(\d+)", 1).cast("int")
+    return read.select("c_custkey", F.rtrim(F.replace("c_name", F.lit("\n"), F.lit(""))).alias("c_name"), "c_acctbal", "note", part.alias("part"))
+
+
+@session_query("S2 S12 K1 K2 K9 F7", "SELECT n_name || chr(9) || CAST(n_nationkey AS VARCHAR) AS line, CAST(length(n_name) AS INTEGER) AS letters, n_name || ' x' AS joined FROM nation")
+def text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tab-separated lines in a fixed number of files, written in two appends."""
+    path = fresh_path(spark, "text")
+    lines = table(spark, sf_dir, "nation").select("n_nationkey", F.concat_ws("\t", "n_name", F.col("n_nationkey").cast("string")).alias("value"))
+    for part in ("n_nationkey < 10", "n_nationkey >= 10"):
+        lines.where(part).select("value").repartition(3, "value").write.mode("append").text(path)
+    read = spark.read.text(path, pathGlobFilter="part-*").select(F.col("value").alias("line"), F.split_part("value", F.lit("\t"), F.lit(1)).alias("name"))
+    joined = TokenJoiner(inputCol="words", outputCol="joined").transform(read.withColumn("words", F.array("name", F.lit("x"))))
+    return joined.select("line", F.length("name").alias("letters"), "joined")
+
+
+@session_query("K3 K4 K6 S15", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
+def orc_bucketed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table partitioned by status, bucketed and sorted by customer; reading one status prunes.
+
+    Rows are dealt by bucket key first, so that each task writes few buckets.
+    """
+    name = f"quillmere_orders_{fresh_path(spark, '').rsplit('-', 1)[1][:12]}"
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    dealt = rows.repartition(25, "o_custkey")
+    dealt.write.mode("overwrite").format("orc").partitionBy("o_orderstatus").bucketBy(25, "o_custkey").sortBy("o_custkey").saveAsTable(name)
+    return spark.table(name).where("o_orderstatus = 'F'")
+
+
+@session_query("S14 S10", "SELECT c_custkey AS id, c_name AS name, CAST(2 AS INTEGER) AS commits, c_acctbal AS stars FROM customer")
+def json_lines_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of tab-joined JSON documents: fields, and the lengths of arrays."""
+    path = fresh_path(spark, "json")
+    head = F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))
+    rest = F.to_json(F.struct(F.array(F.lit(1), F.lit(2)).alias("commits"), F.col("c_acctbal").alias("stars")))
+    table(spark, sf_dir, "customer").select(F.concat_ws("\t", head, rest)).write.text(path)
+    parts = spark.read.text(path).select(F.split("value", "\t").alias("p"))
+    one, two = F.get("p", 0), F.get("p", 1)
+    return parts.select(
+        F.get_json_object(one, "$.id").cast("long").alias("id"), F.get_json_object(one, "$.name").alias("name"),
+        F.json_array_length(F.get_json_object(two, "$.commits")).alias("commits"), F.get_json_object(two, "$.stars").cast("double").alias("stars"),
+    )

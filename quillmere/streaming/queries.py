@@ -1 +1,126 @@
-"""To come."""
+"""Structured Streaming: the running summary and its surroundings, on files as the source.
+
+Each query runs its stream over all that is there (`availableNow`) and returns the sink's rows.
+Checkpoints and sinks are in the shared folder. A Kafka source or sink differs in `kafka_source`
+and `kafka_sink` alone.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmere.operators.summary import COUNTS, IS_WATCHED, SUMMARY_SQL, WATCHED, score_of, scored_posts, summarise, with_mean
+from quillmere.plans.registry import session_query
+from quillmere.sources.shared import fresh_path
+from quillmere.sources.tables import table
+
+#: The micro-batch intervals of the three programs.
+INTERVALS = {"streamer": "1 second", "analyzer": "10 seconds", "aggregator": "30 seconds"}
+
+
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream; a glob stands for the file, as a stream reads folders."""
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+
+
+def kafka_source(spark: SparkSession, servers: str, topic: str) -> DataFrame:
+    """A topic's values as text; needs Kafka's connector among the session's packages."""
+    stream = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
+    return stream.load().select(F.col("value").cast("string").alias("value"))
+
+
+def kafka_sink(rows: DataFrame, servers: str, topic: str, checkpoint: str):
+    """Writes rows as JSON values to a topic."""
+    values = rows.select(F.to_json(F.struct("*")).alias("value"))
+    return values.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint)
+
+
+def run(stream: DataFrame, batch: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    """Runs a stream to the end of its input, a batch at a time, and stops it."""
+    checkpoint = fresh_path(stream.sparkSession, "stream")
+    writer = stream.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    started = writer.start()
+    try:
+        started.awaitTermination()
+    finally:
+        started.stop()
+
+
+def to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """The stream's rows as a table: appended, or the last complete result.
+
+    A batch overwrites its own folder, so one that is repeated after a failure counts once.
+    """
+    spark = stream.sparkSession
+    path = fresh_path(spark, "sink")
+    done: list[int] = []
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        done.append(number)
+
+    run(stream, batch, mode)
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    folders = done if mode == "append" else done[-1:]
+    return spark.read.schema(stream.schema).parquet(*(f"{path}/batch={n}" for n in folders))
+
+
+@session_query("R1 R2 R3 R6 R8", SUMMARY_SQL.format(where=IS_WATCHED))
+def stream_sentiment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running summary of watched tags; the state store holds the sums."""
+    posts = scored_posts(events_stream(spark, sf_dir).where(F.col("event_type").isin(*WATCHED)))
+    return to_table(summarise(posts), "complete")
+
+
+@session_query("Y4 Y5 Y6 R5", "SELECT event_id AS id, event_type AS tag, CAST(least(4, greatest(0, floor(value / 20))) AS INTEGER) AS sentiment FROM events")
+def stream_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows to JSON values and back, and an array of them to rows again."""
+    events = events_stream(spark, sf_dir)
+    post = F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("tag"), score_of(F.col("value")).alias("sentiment"))
+    values = events.select(F.to_json(F.array(post)).alias("value"))
+    parsed = values.select(F.explode(F.from_json("value", "array<struct<id:long,tag:string,sentiment:int>>")).alias("p"))
+    return to_table(parsed.select("p.*"))
+
+
+@session_query("R4 R9 K5 S17 K7 R13", "SELECT event_id AS id, event_type AS tag, CAST(least(4, greatest(0, floor(value / 20))) AS INTEGER) AS sentiment FROM events WHERE event_type <> 'error'")
+def stream_append_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored posts appended to a table partitioned by tag; an empty batch writes nothing."""
+    path = fresh_path(spark, "posts")
+    rows = events_stream(spark, sf_dir).where("event_type <> 'error'")
+    scored = rows.select(F.col("event_id").alias("id"), F.col("event_type").alias("tag"), score_of(F.col("value")).alias("sentiment"))
+
+    def batch(posts: DataFrame, number: int) -> None:
+        if not posts.isEmpty():
+            posts.write.mode("overwrite").partitionBy("tag").parquet(f"{path}/batch={number}")
+
+    run(scored, batch)
+    read = spark.read.option("basePath", path).schema("id long, sentiment int, batch int, tag string").parquet(path)
+    return read.select("id", "tag", "sentiment")
+
+
+@session_query("R7 R10 R12 U1", SUMMARY_SQL.format(where=IS_WATCHED))
+def stream_reinit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State that starts from the stored history and goes on with what the stream brings.
+
+    History and stream are parted by id, so nothing counts twice. Each batch merges into a new
+    version of the table, which is read when the stream has stopped.
+    """
+    history = table(spark, sf_dir, "events").where("event_id % 2 = 0")
+    versions = [fresh_path(spark, "summary")]
+    summarise(scored_posts(history.where(F.col("event_type").isin(*WATCHED)))).write.parquet(versions[-1])
+
+    def batch(events: DataFrame, number: int) -> None:
+        state = spark.read.parquet(versions[-1]).drop("mean")
+        new = summarise(scored_posts(events.where(F.col("event_type").isin(*WATCHED)))).drop("mean")
+        merged = with_mean(state.unionByName(new).groupBy("tag").agg(*(F.sum(c).alias(c) for c in COUNTS)))
+        path = fresh_path(spark, "summary")
+        merged.write.parquet(path)
+        versions.append(path)
+
+    run(events_stream(spark, sf_dir).where("event_id % 2 = 1"), batch)
+    return spark.read.parquet(versions[-1])
