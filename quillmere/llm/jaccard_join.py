@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,50 +25,67 @@ from .textscan import LOWER, mix, shingle_sets, span_hashes, windows, word_spans
 
 #: Words in a shingle; two sets link from OVER / UNDER of their union on.
 WORDS, OVER, UNDER = 5, 4, 5
-#: Log2 of the counters that estimate how frequent shingles are, and the parts they travel in.
-COUNTER_BITS, COUNTER_PARTS = 20, 64
+#: Log2 of the least and the most bits of the map of repeated shingles, and of its parts. It
+#: has BITS_PER_ROW for each document in between.
+LEAST_BITS, MOST_BITS, PART_BITS, BITS_PER_ROW = 20, 27, 6, 64
 #: Sets of a block that one task compares with each other, or with as many of another part.
 PART = 4_096
 #: Points in a leaf of the tree, and children of a node.
 FAN = 32
-BUCKETS = 4
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of hashed shingles in the partition, in parts."""
-    counts = np.zeros(1 << COUNTER_BITS, np.int64)
-    for batch in batches:
-        for _, _, data, bounds in chunks(batch.column(0)):
-            lower = LOWER[data]
-            starts, ends, first = word_spans(lower, bounds)
-            joined, _ = windows(span_hashes(lower, starts, ends), first, WORDS)
-            counts += np.bincount((joined >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(counts))
-    if counts.any():
-        parts = counts.astype("<i8").reshape(COUNTER_PARTS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(COUNTER_PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "counts"])
-
-
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            counts = np.frombuffer(row["counts"], "<i8")
-            sums[row["part"]] = sums[row["part"]] + counts if row["part"] in sums else counts
-    levels = [np.log2(c + 1).astype(np.uint8).tobytes() for c in sums.values()]
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["part", "levels"])
-
-
-def frequency_levels(texts: DataFrame) -> np.ndarray:
-    """About log2 of how often each hashed shingle occurs: one byte for each of a fixed number."""
-    counted = arrow_map(texts, _frequencies, "part int, counts binary").repartition("part")
-    out = np.zeros((COUNTER_PARTS, (1 << COUNTER_BITS) // COUNTER_PARTS), np.uint8)
-    for row in arrow_map(counted, _add_up, "part int, levels binary").collect():
-        out[row["part"]] = np.frombuffer(row["levels"], np.uint8)
+def _repeated(bits: int):
+    """Hashed shingles that two texts of one batch have, by part of the bitmap they belong to."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, owners_ = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for row, _, data, bounds in chunks(batch.column(0)):
+                lower = LOWER[data]
+                starts, ends, first = word_spans(lower, bounds)
+                joined, at = windows(span_hashes(lower, starts, ends), first, WORDS)
+                places.append(joined)
+                owners_.append(np.searchsorted(first, at, "right") - 1 + row)
+            places, owner = np.concatenate(places), np.concatenate(owners_)
+            order = np.argsort(places, kind="stable")
+            places, owner = places[order], owner[order]
+            two = (places[1:] == places[:-1]) & (owner[1:] != owner[:-1])
+            found = np.unique(places[1:][two] >> np.uint64(64 - bits)).astype("<u4")
+            part = found >> np.uint32(bits - PART_BITS)
+            edges = np.flatnonzero(np.concatenate([[True], np.diff(part) != 0]))[: len(part)]
+            blobs = [x.tobytes() for x in np.split(found, edges[1:])] if len(found) else []
+            yield pa.RecordBatch.from_arrays([pa.array(part[edges].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "places"])
+
+    return rows
+
+
+def _bitmaps(bits: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = 1 << (bits - PART_BITS)
+        maps: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                maps.setdefault(part, np.zeros(width, bool))[np.frombuffer(blob, "<u4") % width] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(maps), pa.int32()), pa.array([np.packbits(m).tobytes() for m in maps.values()], pa.binary())], ["part", "bits"])
+
+    return rows
+
+
+def repeated_shingles(texts: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of hashed shingles that several texts have, as far as texts of one batch show it.
+
+    Which shingles it marks changes what the join costs, never what it finds. Its size is fixed
+    by `bits`, not by what is found.
+    """
+    found = arrow_map(texts, _repeated(bits), "part int, places binary").repartition("part")
+    out = np.zeros((1 << PART_BITS, (1 << (bits - PART_BITS)) // 8), np.uint8)
+    for row in arrow_map(found, _bitmaps(bits), "part int, bits binary").collect():
+        out[row["part"]] = np.frombuffer(row["bits"], np.uint8)
     return out.reshape(-1)
 
 
-def prefix(shingles: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """The shingles, rarest first, one of which any similar set has among its own.
+def prefix(shingles: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+    """The shingles, unrepeated ones first, one of which any similar set has among its own.
 
     A partner shares OVER / UNDER of this set at least, so it misses no more than the rest.
     """
@@ -75,8 +93,9 @@ def prefix(shingles: np.ndarray, levels: np.ndarray) -> np.ndarray:
     size = n - -(-n * OVER // UNDER) + 1
     if size >= n:
         return shingles
-    level = levels[(shingles >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)].astype(np.uint64)
-    key = level << np.uint64(56) | mix(shingles) >> np.uint64(8)
+    place = shingles >> np.uint64(64 - (8 * len(repeated)).bit_length() + 1)
+    marked = repeated[(place >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1)
+    key = marked.astype(np.uint64) << np.uint64(63) | mix(shingles) >> np.uint64(1)
     return shingles[np.argpartition(key, size - 1)[:size]]
 
 
@@ -92,7 +111,7 @@ def _digest(shingles: np.ndarray) -> tuple[int, int]:
 _NARROW, _DEALT = -1, "bucket int, keys binary, counts binary, sizes binary, ids binary"
 
 
-def _prefix_rows(levels: np.ndarray, buckets: int):
+def _prefix_rows(repeated: np.ndarray, buckets: int):
     """(doc, text key, text) to rows for buckets of prefix shingles, and one row of the sets' digests."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +126,7 @@ def _prefix_rows(levels: np.ndarray, buckets: int):
                     narrow.append((docs[i], texts[i], first, second, len(shingles)))
                     if len(shingles) and first not in seen:
                         seen.add(first)
-                        some = prefix(shingles, levels)
+                        some = prefix(shingles, repeated)
                         ids.append(some)
                         owner.append(np.full(len(some), len(keys)))
                         keys.append(first)
@@ -184,12 +203,12 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(nodes[roots[other]])], ["a", "b"])
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, mine, parts, node, text) with the text's shingles in its place."""
+def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, text key, text) with the text's bytes compressed, as they are to be shuffled."""
+    press = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        for row, end, data, bounds in chunks(batch.column(4)):
-            sets = [s.astype("<u8").tobytes() for s in shingle_sets(data, bounds, WORDS)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(row, end - row) for i in range(4)), pa.array(sets, pa.binary())], ["block", "mine", "parts", "node", "shingles"])
+        packed = [press.compress((t or "").encode()) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc", "text_key", "packed"])
 
 
 class CountTree:
@@ -275,7 +294,8 @@ def _link_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for rows in groups():
         rows = sorted({r[3]: r for r in rows}.values(), key=lambda r: r[3])  # a repeated row of a document is one set
-        sets = [np.frombuffer(r[5], "<u8") for r in rows]
+        texts = pa.array([zstandard.decompress(r[5]) for r in rows], pa.large_binary())
+        sets = [s for *_, data, bounds in chunks(texts) for s in shingle_sets(data, bounds, WORDS)]
         one = rows[0][1] == rows[0][2]
         forest = link(sets, None if one else np.array([r[4] == r[1] for r in rows]))
         roots = [forest.root(i) for i in range(len(rows))]
@@ -297,8 +317,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(doc_key(id_col).alias("doc"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    levels = frequency_levels(rows.select("text"))
-    dealt = cut_lineage(arrow_map(rows, _prefix_rows(levels, BUCKETS * partitions), _DEALT))
+    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_PER_ROW * docs.count()).bit_length()))
+    repeated = repeated_shingles(rows.select("text"), bits)
+    dealt = cut_lineage(arrow_map(rows, _prefix_rows(repeated, partitions), _DEALT))
     narrow_schema = "doc long, text_key long, node long, check long, n long"
     narrow = arrow_map(dealt.where(F.col("bucket") == _NARROW).select("ids"), _narrow_rows, narrow_schema)
     sets = narrow.where("n > 0").groupBy("node", "check").agg(F.min(F.struct("doc", "text_key")).alias("first"))
@@ -308,12 +329,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sizes = blocks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART)).cast("int").alias("parts"))
     parted = blocks.join(sizes, "block").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     members = parted.join(sets, "node").select("block", "mine", "parts", "node", "first.doc", "first.text_key")
-    texts = rows.join(members, ["doc", "text_key"]).select("block", "mine", "parts", "node", "text")
-    held = arrow_map(texts, _set_rows, "block long, mine int, parts int, node long, shingles binary")
+    packed = arrow_map(rows, _packed_rows, "doc long, text_key long, packed binary")
+    held = packed.join(members, ["doc", "text_key"]).select("block", "mine", "parts", "node", "packed")
     # a part meets itself and every other part of its block
     pair = F.struct(F.least("mine", "other").alias("left"), F.greatest("mine", "other").alias("right"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("pair", pair)
-    held = held.select("block", "pair.left", "pair.right", "node", "mine", "shingles")
+    held = held.select("block", "pair.left", "pair.right", "node", "mine", "packed")
     met = held.repartition(partitions, "block", "left", "right").sortWithinPartitions("block", "left", "right")
     joined = components(arrow_map(met, _link_rows, "a long, b long"))
 
