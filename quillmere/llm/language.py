@@ -207,6 +207,8 @@ def train(docs: DataFrame, per_language: int = SAMPLE_ROWS, id_col: str = "doc_i
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = known.join(F.broadcast(shares), "lang").where(draw < F.col("share"))  # a row for each language
     rows = arrow_map(sample.select("lang", "text").repartition(1), _learn_task, "model binary").collect()
+    if not rows:  # nothing to learn from
+        return learn(iter(()))
     languages, tables, scripts = pickle.loads(bytes(rows[0]["model"]))
     return Model(languages, tables, scripts)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,7 +78,8 @@ def word_vectors(texts: list[bytes]) -> np.ndarray:
             heads = np.flatnonzero(np.concatenate([[True], np.diff(word[order]) > 0]))
             context[word[order][heads]] += np.add.reduceat(around[order], heads, axis=0)
     seen = np.abs(context).sum(axis=1) > 0
-    context[seen] -= context[seen].mean(axis=0)
+    if seen.any():
+        context[seen] -= context[seen].mean(axis=0)
     context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
     return context + index / np.sqrt(ENTRIES)
 
@@ -158,28 +160,30 @@ def fit_network(x: np.ndarray, labels: np.ndarray, epochs: int = 60, seed: int =
     return net
 
 
-def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import pickle
-
-    rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["doc_id"], r["text"]))
-    texts, labels = [r["text"].encode() for r in rows], np.array([r["label"] for r in rows], np.int64)
+def fit(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, Network]:
+    """Word vectors and network of labelled texts; without any, every score is a half."""
     vectors = word_vectors(texts).astype(np.float16)
-    if len(rows):
+    if len(texts):
         x = np.concatenate([pooled(vectors.astype(np.float32), d, b) for *_, d, b in chunks(pa.array(texts, pa.large_binary()), _STEP_BYTES)])
-        net = fit_network(x, labels)
-    else:  # nothing learnt: every score is a half
-        net = Network(np.zeros(WIDTH + 2), np.ones(WIDTH + 2), [np.zeros((WIDTH + 2, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.zeros(1)], 1.0)
+        return vectors, fit_network(x, labels)
+    width = WIDTH + 2
+    return vectors, Network(np.zeros(width), np.ones(width), [np.zeros((width, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.zeros(1)], 1.0)
+
+
+def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["doc_id"], r["text"]))
+    vectors, net = fit([r["text"].encode() for r in rows], np.array([r["label"] for r in rows], np.int64))
     model = pickle.dumps((vectors, net.mean, net.scale, net.layers, net.temperature))
     yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: int = SAMPLE_ROWS) -> tuple[np.ndarray, Network]:
     """Word vectors and network, fitted by one task on the bounded sample."""
-    import pickle
-
     sample = labelled_sample(docs, labels, label_col, most)
-    (row,) = arrow_map(sample.repartition(1), _fit_task, "model binary").collect()
-    vectors, *rest = pickle.loads(bytes(row["model"]))
+    rows = arrow_map(sample.repartition(1), _fit_task, "model binary").collect()
+    if not rows:
+        return fit([], np.zeros(0, np.int64))
+    vectors, *rest = pickle.loads(bytes(rows[0]["model"]))
     return vectors, Network(*rest)
 
 

@@ -189,8 +189,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: in
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: int = SAMPLE_ROWS) -> np.ndarray:
     """The regression's numbers, fitted by one task on the bounded sample."""
     sample = labelled_sample(docs, labels, label_col, most)
-    (row,) = arrow_map(sample.repartition(1), _fit_task, "weights binary").collect()
-    return np.frombuffer(row["weights"], "<f4")
+    rows = arrow_map(sample.repartition(1), _fit_task, "weights binary").collect()
+    return np.frombuffer(rows[0]["weights"], "<f4") if rows else fit([], np.zeros(0, np.int64)).astype("<f4")
 
 
 _OUT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
