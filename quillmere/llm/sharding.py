@@ -76,7 +76,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     plan = [(*name, int(p)) for name, p in zip(names, places, strict=True)]
     schema = "heavy boolean, item long, part int, parts int, shard int"
     plan_df = spark.createDataFrame(plan, schema)
-    alone = plan_df.where("heavy").select(F.col("item").alias("group"), "part", "parts", F.col("shard").alias("own")).cache()
+    alone = plan_df.where("heavy").select(F.col("item").alias("group"), "part", "parts", F.col("shard").alias("own"))
     few = F.broadcast(alone.where("part = 0").select("group", "parts"))
     parted = base.select("doc_id", "size", "text_crc32", "group").join(few, "group", "left")
     parted = parted.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.coalesce("parts", F.lit(1))).cast("int"))
