@@ -114,7 +114,7 @@ def salary_max_mean_by_country(t) -> DataFrame:
     return jobs(t).groupBy("country").agg(F.max("salary_from").alias("max_from"), F.max("salary_to").alias("max_to"), *means).dropna()
 
 
-@query("F15 F17", """SELECT p_partkey, cur AS currency, lo, hi, round(coalesce(hi, lo) * rate, 2) AS usd FROM (SELECT p_partkey, left(s, 1) AS cur,
+@query("F15 F17", """SELECT p_partkey, cur AS currency, lo, hi, round(CAST(coalesce(hi, lo) AS DOUBLE) * CAST(rate AS DOUBLE), 2) AS usd FROM (SELECT p_partkey, left(s, 1) AS cur,
 CAST(replace(regexp_extract(s, '^.([0-9]+k?)', 1), 'k', '000') AS BIGINT) AS lo, CAST(nullif(replace(regexp_extract(s, '-.([0-9]+k?)$', 1), 'k', '000'), '') AS BIGINT) AS hi FROM
 (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '$' || CAST(p_size AS VARCHAR) || 'k-$' || CAST(p_size + 5 AS VARCHAR) || 'k' WHEN 1 THEN '€' || CAST(p_size * 1000 AS VARCHAR) ELSE '£' || CAST(p_size AS VARCHAR) || 'k' END AS s FROM part) a) b
 JOIN (VALUES ('$', 1.0), ('€', 1.1), ('£', 1.3)) r(cur, rate) USING (cur)""")

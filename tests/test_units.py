@@ -34,7 +34,7 @@ def test_sentences(spark, value, kept, strict):
 
 
 def test_words_of_pairs(spark):
-    assert one(spark, normalised(F.col("text")), " Été 12 a_b! ") == " t a_b "
+    assert one(spark, normalised(F.col("text")), " Été 12 a_b! ") == " t  a_b "
     assert one(spark, counted_words(F.col("text")), "The cat, the CAT and is go 123 dog") == ["cat", "cat", "dog"]
 
 
