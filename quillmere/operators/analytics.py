@@ -482,16 +482,71 @@ def array_reshape(t) -> DataFrame:
     )
 
 
-@query("F10 F12 F16", """SELECT s_suppkey, string_split(path, '/')[2] AS second, coalesce(string_split(path, '/')[4], 'None') AS fourth, trim(string_split(string_split(string_split(address, ',')[-1], '/')[1], '-')[1]) AS country, CAST(replace(coalesce(pct, '100%'), '%', '') AS DOUBLE) / 100 AS fraction
-FROM (SELECT s_suppkey, n_name || '/' || s_name || '/x' AS path, s_name || ', street, ' || n_name || ' / north - east' AS address, CASE WHEN s_suppkey % 3 > 0 THEN CAST(s_suppkey % 100 AS VARCHAR) || '%' END AS pct FROM supplier JOIN nation ON n_nationkey = s_nationkey) a""")
+@query("F10", """SELECT s_suppkey, string_split(path, '/')[2] AS second, coalesce(string_split(path, '/')[4], 'None') AS fourth FROM (SELECT s_suppkey, n_name || '/' || s_name || '/x' AS path FROM supplier JOIN nation ON n_nationkey = s_nationkey) a""")
 def category_levels(t) -> DataFrame:
     rows = t("supplier").join(t("nation"), F.col("n_nationkey") == F.col("s_nationkey"))
     path = F.split(F.concat_ws("/", "n_name", "s_name", F.lit("x")), "/")
+    return rows.select("s_suppkey", F.get(path, 1).alias("second"), F.coalesce(F.get(path, 3), F.lit("None")).alias("fourth"))
+
+
+@query("F12", """SELECT s_suppkey, trim(string_split(string_split(string_split(address, ',')[-1], '/')[1], '-')[1]) AS country FROM (SELECT s_suppkey, s_name || ', street, ' || n_name || ' / north - east' AS address FROM supplier JOIN nation ON n_nationkey = s_nationkey) a""")
+def country_of_address(t) -> DataFrame:
+    """The last comma part, before any slash, before any dash."""
+    rows = t("supplier").join(t("nation"), F.col("n_nationkey") == F.col("s_nationkey"))
     address = F.concat("s_name", F.lit(", street, "), "n_name", F.lit(" / north - east"))
-    country = F.split_part(F.split_part(F.element_at(F.split(address, ","), -1), F.lit("/"), F.lit(1)), F.lit("-"), F.lit(1))
+    last = F.split_part(F.element_at(F.split(address, ","), -1), F.lit("/"), F.lit(1))
+    return rows.select("s_suppkey", F.trim(F.split_part(last, F.lit("-"), F.lit(1))).alias("country"))
+
+
+@query("F16", """SELECT s_suppkey, CAST(replace(coalesce(pct, '100%'), '%', '') AS DOUBLE) / 100 AS fraction FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 3 > 0 THEN CAST(s_suppkey % 100 AS VARCHAR) || '%' END AS pct FROM supplier) a""")
+def percent_parse(t) -> DataFrame:
+    """A percentage as a fraction; a missing one counts as all."""
     percent = F.when(F.col("s_suppkey") % 3 > 0, F.concat((F.col("s_suppkey") % 100).cast("string"), F.lit("%")))
-    fraction = F.rtrim(F.coalesce(percent, F.lit("100%")), F.lit("%")).cast("double") / 100
-    return rows.select("s_suppkey", F.get(path, 1).alias("second"), F.coalesce(F.get(path, 3), F.lit("None")).alias("fourth"), F.trim(country).alias("country"), fraction.alias("fraction"))
+    return t("supplier").select("s_suppkey", (F.rtrim(F.coalesce(percent, F.lit("100%")), F.lit("%")).cast("double") / 100).alias("fraction"))
+
+
+@query("E6 J11", """SELECT p_partkey, found AS tag, CAST(list_position(['bolt', 'gear', 'ring', 'widget'], found) - 1 AS INTEGER) AS label FROM (SELECT p_partkey, hits[1] AS found FROM (SELECT p_partkey, list_filter(['bolt', 'gear', 'ring', 'widget'], lambda x: list_contains(string_split(p_name, ' '), x)) AS hits FROM part) h WHERE len(hits) = 1) f""")
+def single_tag_label(t) -> DataFrame:
+    """Rows with exactly one of the wanted tags, labelled by its alphabetical index."""
+    tags = F.array(*(F.lit(w) for w in ("bolt", "gear", "ring", "widget")))
+    hits = F.array_intersect(tags, F.split("p_name", " "))
+    rows = t("part").select("p_partkey", hits.alias("hits")).where(F.size("hits") == 1).select("p_partkey", F.col("hits")[0].alias("tag"))
+    return rows.select("p_partkey", "tag", (F.array_position(tags, F.col("tag")) - 1).cast("int").alias("label"))
+
+
+@query("S27", """SELECT c_custkey, n_name AS location, CAST(n_nationkey * 7 - 80 AS DOUBLE) AS lat, CAST(n_nationkey * 14 - 170 AS DOUBLE) AS lon FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey""")
+def geocode_lookup(t) -> DataFrame:
+    """Places from a dimension of known locations, each looked up once."""
+    key = F.col("n_nationkey")
+    known = t("nation").select(key.alias("c_nationkey"), F.col("n_name").alias("location"), (key * 7 - 80).cast("double").alias("lat"), (key * 14 - 170).cast("double").alias("lon"))
+    return t("customer").select("c_custkey", "c_nationkey").join(known, "c_nationkey", "left").select("c_custkey", "location", "lat", "lon")
+
+
+@query("S20", "SELECT CAST(floor(c_custkey / 1000) AS BIGINT) AS batch, CAST(count(*) AS BIGINT) AS ids, min(c_custkey) AS first_id, max(c_custkey) AS last_id FROM customer GROUP BY 1")
+def id_batches(t) -> DataFrame:
+    """Ids in requests of a thousand."""
+    key = F.col("c_custkey")
+    return t("customer").groupBy(F.floor(key / 1000).cast("long").alias("batch")).agg(F.count(F.lit(1)).alias("ids"), F.min(key).alias("first_id"), F.max(key).alias("last_id"))
+
+
+@query("S24", """SELECT shape, CAST(i AS BIGINT) AS i, round(CASE shape WHEN 'circles' THEN (1 - 0.5 * (i % 2)) * cos(i * 0.1) WHEN 'moons' THEN CASE WHEN i % 2 = 0 THEN cos(i * 0.03) ELSE 1 - cos(i * 0.03) END WHEN 'blobs' THEN (i % 3) * 5 + sin(i * 1.7) ELSE (i * 7919 % 1000) / 1000.0 END, 4) AS x,
+round(CASE shape WHEN 'circles' THEN (1 - 0.5 * (i % 2)) * sin(i * 0.1) WHEN 'moons' THEN CASE WHEN i % 2 = 0 THEN sin(i * 0.03) ELSE 0.5 - sin(i * 0.03) END WHEN 'blobs' THEN (i % 3) * 5 + cos(i * 2.3) ELSE (i * 104729 % 1000) / 1000.0 END, 4) AS y, CAST(CASE shape WHEN 'blobs' THEN i % 3 WHEN 'uniform' THEN 0 ELSE i % 2 END AS BIGINT) AS label
+FROM range(0, 200) r(i), (VALUES ('circles'), ('moons'), ('blobs'), ('uniform')) s(shape)""")
+def synthetic_points(t) -> DataFrame:
+    """Point sets by formula, the same in every run: circles, moons, blobs, uniform."""
+    spark = t("region").sparkSession
+    i = F.col("i")
+    odd = i % 2 == 1
+    ring = 1 - 0.5 * (i % 2)
+    shapes = {
+        "circles": (ring * F.cos(i * 0.1), ring * F.sin(i * 0.1), i % 2),
+        "moons": (F.when(odd, 1 - F.cos(i * 0.03)).otherwise(F.cos(i * 0.03)), F.when(odd, 0.5 - F.sin(i * 0.03)).otherwise(F.sin(i * 0.03)), i % 2),
+        "blobs": ((i % 3) * 5 + F.sin(i * 1.7), (i % 3) * 5 + F.cos(i * 2.3), i % 3),
+        "uniform": ((i * 7919 % 1000) / 1000.0, (i * 104729 % 1000) / 1000.0, F.lit(0).cast("long")),
+    }
+    rows = spark.range(0, 200).withColumnRenamed("id", "i")
+    points = [F.struct(F.lit(n).alias("shape"), r4(x).cast("double").alias("x"), r4(y).cast("double").alias("y"), label.cast("long").alias("label")) for n, (x, y, label) in shapes.items()]
+    return rows.select("i", F.explode(F.array(*points)).alias("p")).select("p.shape", "i", "p.x", "p.y", "p.label")
 
 
 @query("F13 F14 F19 F21 V8", r"""SELECT c_custkey, regexp_extract(name, '.*, ((the )?\S*)\. .*', 1) AS title, CAST(regexp_matches(replace(ticket, '.', ''), '^(.*) .*') OR ticket = 'LINE' AS INTEGER) AS prefixed, len(regexp_split_to_array(trim(name), '\s+')) > 3 AS long_name

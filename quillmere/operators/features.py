@@ -85,14 +85,24 @@ def normalise_vectors(t) -> DataFrame:
     return v.select("vec_id", r4(F.sqrt(total(F.transform("e", lambda x: x * x)))).alias("norm"), r4(gray).alias("gray"), r4(total(masked) / 32).alias("half_mean"))
 
 
-def _distances(left: DataFrame, right: DataFrame) -> DataFrame:
+#: Queries of a block: each block meets all rows, and one block alone is small enough to send along.
+BLOCK_QUERIES = 1_000
+
+
+def _distances(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """(v1, v2, d) of every query and every other row, a block of queries at a time."""
+    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
     gap = F.aggregate(F.zip_with("e1", "e2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    return left.join(F.broadcast(right)).where("v1 <> v2").select("v1", "v2", F.sqrt(gap).alias("d"))
+    if blocks == 1:
+        met = rows.join(F.broadcast(queries))  # BLOCK_QUERIES rows at the most
+    else:
+        dealt = queries.withColumn("block", F.pmod(F.xxhash64("v1"), F.lit(blocks)).cast("int"))
+        met = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "block")
+    return met.where("v1 <> v2").select("v1", "v2", F.sqrt(gap).alias("d"))
 
 
 def _queries(t) -> tuple[DataFrame, DataFrame]:
-    """All vectors, and as queries those whose id is divisible by 100: a stated query set against
-    all rows. The queries are what is broadcast, in blocks where there are many."""
+    """All vectors, and as queries those whose id is divisible by 100."""
     wide = lambda n: t("embeddings").select(F.col("vec_id").alias(f"v{n}"), F.transform("embedding", lambda x: x.cast("double")).alias(f"e{n}"))
     return wide(2), wide(1).where("v1 % 100 = 0")
 

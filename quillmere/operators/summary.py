@@ -83,3 +83,11 @@ def bag_union_state(t) -> DataFrame:
     old = summarise(scored_posts(events.where("event_id % 3 <> 0"))).drop("mean")
     new = summarise(scored_posts(events.where("event_id % 3 = 0"))).drop("mean")
     return merge(old, new)
+
+
+@query("K15", f"SELECT tag, positive, neutral, negative, total, CAST(max(total) OVER () AS BIGINT) AS y_max FROM ({SUMMARY_SQL.format(where='')}) s ORDER BY total DESC, tag")
+def dashboard_rows(t) -> DataFrame:
+    """The stacked counts as the dashboard orders them, with the height of its axis."""
+    rows = summarise(scored_posts(t("events")))
+    highest = F.broadcast(rows.agg(F.max("total").alias("y_max")))  # one row
+    return rows.join(highest).select("tag", "positive", "neutral", "negative", "total", "y_max").orderBy(F.desc("total"), "tag")

@@ -121,3 +121,14 @@ def test_dates_of_parts(spark, sf_dir):
 
     row = catalog.QUERIES["date_parts"](spark, sf_dir).orderBy("o_orderkey").first()
     assert isinstance(row.due, datetime.date) and 1 <= row.week <= 53
+
+
+def test_blocks_of_queries_meet_all_rows(spark, monkeypatch):
+    from quillmere.operators import features
+
+    rows = spark.createDataFrame([(i, [float(i), float(i % 7)]) for i in range(60)], "v2 long, e2 array<double>")
+    queries = rows.where("v2 % 5 = 0").withColumnsRenamed({"v2": "v1", "e2": "e1"})
+    whole = sorted(map(tuple, features._distances(rows, queries).collect()))
+    monkeypatch.setattr(features, "BLOCK_QUERIES", 5)
+    assert sorted(map(tuple, features._distances(rows, queries).collect())) == whole
+    assert len(whole) == 12 * 59
