@@ -15,8 +15,8 @@ from pyspark.sql.types import StructType
 
 from quillmere.shipping import ship
 
-#: Bytes of text that one numpy pass works on; temporaries are a small multiple of this.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text that one numpy pass works on: its temporaries, a small multiple, stay in the cache.
+CHUNK_BYTES = 1 << 16
 #: Stands for a null document id: it sorts after every other.
 NULL_ID = (1 << 63) - 1
 

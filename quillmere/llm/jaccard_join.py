@@ -39,13 +39,13 @@ def _repeated(bits: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, owners_ = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            places, owners_ = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
             for row, _, data, bounds in chunks(batch.column(0)):
                 lower = LOWER[data]
                 starts, ends, first = word_spans(lower, bounds)
                 joined, at = windows(span_hashes(lower, starts, ends), first, WORDS)
                 places.append(joined)
-                owners_.append(np.searchsorted(first, at, "right") - 1 + row)
+                owners_.append((np.searchsorted(first, at, "right") - 1 + row).astype(np.int32))
             places, owner = np.concatenate(places), np.concatenate(owners_)
             order = np.argsort(places, kind="stable")
             places, owner = places[order], owner[order]

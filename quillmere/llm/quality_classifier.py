@@ -23,7 +23,7 @@ CONTEXT = 2
 HIDDEN = 32
 #: A document counts as good from this score on.
 GOOD_AT = 0.7
-_STEP_BYTES = 1 << 19
+_STEP_BYTES = 1 << 17
 
 # Runs of letters and digits (all bytes beyond ASCII among them) and runs of punctuation are
 # words of their own, so that junk glued to a word shows as a word.

@@ -13,11 +13,11 @@ from .common import arrow_map, chunks
 from .textscan import mix, owners, span_hashes, spans, sums_of, windows, word_spans
 
 #: Labelled rows that the regression is fitted on, at most (those of the smallest id hashes).
-SAMPLE_ROWS = 3_000
+SAMPLE_ROWS = 2_000
 #: Log2 of the number of hashed features; each n-gram family has a table of its own.
 TABLE_BITS = 16
 #: A document stays if its calibrated probability of quality is at least this.
-KEEP_AT = 0.5
+KEEP_AT = 0.7
 #: The base rules: fewer words, or a larger share of repeated words (in per cent), fail.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
 HELD_OUT, FOLDS = 2, 4
@@ -108,7 +108,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(texts: list[bytes], labels: np.ndarray, steps: int = 150, rate: float = 2.0, penalty: float = 1e-5) -> np.ndarray:
+def fit(texts: list[bytes], labels: np.ndarray, steps: int = 120, rate: float = 2.0, penalty: float = 1e-5) -> np.ndarray:
     """Weights of a logistic regression (Adagrad over all rows), calibrated on every fifth row."""
     size = _FAMILIES << TABLE_BITS
     weights = np.zeros(size + 3)
@@ -116,15 +116,14 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int = 150, rate: float =
     if not len(labels):
         weights[-3] = 30.0  # nothing learnt: nothing rejected
         return weights
-    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    data = np.frombuffer(b"".join(texts), np.uint8)
     rows, columns, values = [], [], []
-    for family, (index, first) in enumerate(features(data, bounds)):
-        keys, counts = np.unique((owners(first) << TABLE_BITS) + index, return_counts=True)
-        row = keys >> TABLE_BITS
-        rows.append(row)
-        columns.append((keys & ((1 << TABLE_BITS) - 1)) + (family << TABLE_BITS))
-        values.append(counts / np.maximum(np.diff(first), 1)[row])
+    for start, _, data, bounds in chunks(pa.array(texts, pa.large_binary())):
+        for family, (index, first) in enumerate(features(data, bounds)):
+            keys, counts = np.unique((owners(first) << TABLE_BITS) + index, return_counts=True)
+            row = keys >> TABLE_BITS
+            rows.append((row + start).astype(np.int32))
+            columns.append(((keys & ((1 << TABLE_BITS) - 1)) + (family << TABLE_BITS)).astype(np.int32))
+            values.append((counts / np.maximum(np.diff(first), 1)[row]).astype(np.float32))
     row, column, value = (np.concatenate(x) for x in (rows, columns, values))
     held = np.arange(len(labels)) % 5 == 4
     fitting = ~held if 0 < labels[held].sum() < held.sum() else np.ones(len(labels), bool)
