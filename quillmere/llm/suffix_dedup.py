@@ -12,6 +12,7 @@ takes the others out of the texts.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, chunks, doc_key
+from .common import arrow_map, chunks, cut_lineage, doc_key
 from .textscan import mix
 
 #: The length of a repeated string, and of an anchor.
@@ -28,10 +29,14 @@ LENGTH, GRAM = 50, 20
 #: A difference cover: any two residues modulo PERIOD meet the cover after the same number of steps.
 PERIOD = 31
 COVER = (0, 1, 3, 8, 12, 18)
+#: Texts from which on an anchor's windows are dealt one by one, and log2 of the map of those.
+HOT_FROM, HOT_BITS = 20_000, 22
 #: Suffixes that are sorted at once, about.
 BLOCK = 250_000
 #: Suffix buckets for each shuffle partition.
-BUCKETS = 8
+BUCKETS = 16
+#: Bytes of text whose anchors are sought at once.
+STEP_BYTES = 1 << 15
 _HEAD = 32  # bytes sorted before ties go to the cover's ranks; PERIOD at least
 
 
@@ -69,41 +74,76 @@ def _short(ids: np.ndarray, buckets: int) -> np.ndarray:
     return ((ids >> np.uint64(40)) % np.uint64(buckets)) << np.uint64(32) | (ids & np.uint64(0xFFFFFFFF))
 
 
-def _anchor_rows(buckets: int):
-    """(text key, text) to a row for each bucket: keys, how many anchors of each, their ids."""
+_ANCHORS = "kind int, bucket int, keys binary, counts binary, ids binary"
+_ANCHOR_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
+# Kinds of rows: anchors that one text of a batch has, by bucket; anchors that several have, by
+# bucket, with two of those texts and how many there are; and what is known to be shared already,
+# as whole ids by texts, for any bucket to hand on.
+_SINGLE, _SEVERAL, _KNOWN = 0, 1, 2
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(heads, lengths) of the runs of equal values."""
+    heads = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))[: len(values)]
+    return heads, np.diff(np.concatenate([heads, [len(values)]]))
+
+
+def _anchor_rows(buckets: int, targets: int):
+    """(text key, text) to rows of anchors, combined within the batch.
+
+    However many texts of a batch have an anchor, its bucket hears of two.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
-            found, owner = [], []
-            for row, _, data, bounds in chunks(batch.column(1)):
-                ids, place, _, _ = anchors(data, bounds)
-                found.append(_short(ids, buckets))
-                owner.append(np.searchsorted(bounds, place, "right") - 1 + row)
-            if not found:
-                continue
-            ids, owner = np.concatenate(found), np.concatenate(owner)
-            order = np.lexsort((ids, owner, ids >> np.uint64(32)))
-            ids, owner = ids[order], owner[order]
-            fresh = np.concatenate([[True], (np.diff(ids) != 0) | (np.diff(owner) != 0)])[: len(ids)]
-            ids, owner = ids[fresh], owner[fresh]
-            bucket = (ids >> np.uint64(32)).astype(np.int64)
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
-            out = []
+            text_keys = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
+            ids, keys = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for row, _, data, bounds in chunks(batch.column(1), STEP_BYTES):
+                found, place, _, _ = anchors(data, bounds)
+                ids.append(_short(found, buckets))
+                keys.append(text_keys[np.searchsorted(bounds, place, "right") - 1 + row])
+            ids, keys = np.concatenate(ids), np.concatenate(keys)
+            order = np.lexsort((keys, ids))
+            ids, keys = ids[order], keys[order]
+            fresh = np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])[: len(ids)]
+            ids, keys = ids[fresh], keys[fresh]
+            heads, sizes = _runs(ids)
+            several = np.repeat(sizes > 1, sizes)
+            out = [(_KNOWN, (target * 7919 + len(ids)) % buckets, *blobs) for target, *blobs in _by_target(keys[several], ids[several], targets)]
+            one_ids, one_keys = ids[~several], keys[~several]
+            order = np.lexsort((one_keys, one_ids >> np.uint64(32)))
+            one_ids, one_keys = one_ids[order], one_keys[order]
+            edges = np.searchsorted(one_ids >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+            many = heads[sizes > 1]
+            many_sizes = sizes[sizes > 1]
+            many_edges = np.searchsorted(ids[many] >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
             for b in range(buckets):
-                part = owner[edges[b] : edges[b + 1]]
+                part = one_keys[edges[b] : edges[b + 1]]
                 if len(part):
-                    heads = np.flatnonzero(np.concatenate([[True], np.diff(part) != 0]))
-                    counts = np.diff(np.concatenate([heads, [len(part)]]))
-                    low = (ids[edges[b] : edges[b + 1]] & np.uint64(0xFFFFFFFF)).astype("<u4")
-                    out.append((b, keys[part[heads]].astype("<i8").tobytes(), counts.astype("<u4").tobytes(), low.tobytes()))
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            types = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "keys", "counts", "ids"])
+                    starts, counts = _runs(part)
+                    out.append((_SINGLE, b, part[starts].tobytes(), counts.astype("<u4").tobytes(), one_ids[edges[b] : edges[b + 1]].astype("<u4").tobytes()))
+                some, weights = many[many_edges[b] : many_edges[b + 1]], many_sizes[many_edges[b] : many_edges[b + 1]]
+                if len(some):
+                    two = np.stack([keys[some], keys[some + 1]], axis=1)
+                    out.append((_SEVERAL, b, two.tobytes(), weights.astype("<u4").tobytes(), ids[some].astype("<u4").tobytes()))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ANCHOR_SCHEMA, strict=True)], schema=_ANCHOR_SCHEMA)
 
     return rows
 
 
+def _by_target(keys: np.ndarray, ids: np.ndarray, targets: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """(target, keys, counts, whole ids) for the share of the texts that each target has."""
+    order = np.lexsort((keys, keys % targets))
+    keys, ids = keys[order], ids[order]
+    target = keys % targets
+    edges = np.searchsorted(target, np.arange(targets + 1))
+    for t in np.unique(target).tolist():
+        part = keys[edges[t] : edges[t + 1]]
+        heads, counts = _runs(part)
+        yield t, part[heads].tobytes(), counts.astype("<u4").tobytes(), ids[edges[t] : edges[t + 1]].astype("<u8").tobytes()
+
+
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
     """The rows of one bucket after another, from batches sorted by bucket."""
     held: list[dict] = []
@@ -117,45 +157,65 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[di
         yield held[0]["bucket"], held
 
 
-def _shared_rows(targets: int):
-    """The anchors that two texts have: a row for each target, which holds a share of the texts."""
+_SHARED_SCHEMA = pa.schema([("target", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
+_HOT = -1
+
+
+def _shared_rows(targets: int, hot_from: int):
+    """The anchors that two texts have: a row for each target, and one of ids that very many have."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, held in _by_bucket(batches):
-            keys = np.concatenate([np.repeat(np.frombuffer(r["keys"], "<i8"), np.frombuffer(r["counts"], "<u4")) for r in held])
-            ids = np.concatenate([np.frombuffer(r["ids"], "<u4") for r in held])
+            out = [(int(np.frombuffer(r["keys"], "<i8")[0] % targets), r["keys"], r["counts"], r["ids"]) for r in held if r["kind"] == _KNOWN]
+            keys, ids, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for r in held:
+                some, counts, low = np.frombuffer(r["keys"], "<i8"), np.frombuffer(r["counts"], "<u4").astype(np.int64), np.frombuffer(r["ids"], "<u4")
+                if r["kind"] == _SINGLE:
+                    keys.append(np.repeat(some, counts))
+                    ids.append(low.astype(np.uint64))
+                    weights.append(np.ones(len(low), np.int64))
+                elif r["kind"] == _SEVERAL:
+                    keys.append(some)
+                    ids.append(np.repeat(low, 2).astype(np.uint64))
+                    weights.append(np.stack([counts - 1, np.ones_like(counts)], axis=1).reshape(-1))
+            keys, ids, weights = np.concatenate(keys), np.concatenate(ids) | np.uint64(bucket) << np.uint64(32), np.concatenate(weights)
             order = np.lexsort((keys, ids))
-            keys, ids = keys[order], ids[order]
-            fresh = np.concatenate([[True], (np.diff(keys) != 0) | (np.diff(ids) != 0)])
-            keys, ids = keys[fresh], ids[fresh]
-            same = np.diff(ids) == 0
+            keys, ids, weights = keys[order], ids[order], weights[order]
+            heads, sizes = _runs(ids)
             shared = np.zeros(len(ids), bool)
-            shared[1:] |= same
-            shared[:-1] |= same
-            keys, ids = keys[shared], ids[shared]
-            order = np.lexsort((keys, keys % targets))
-            keys, ids = keys[order], ids[order]
-            target = keys % targets
-            out = []
-            for t in np.unique(target).tolist():
-                part = keys[target == t]
-                heads = np.flatnonzero(np.concatenate([[True], np.diff(part) != 0]))
-                counts = np.diff(np.concatenate([heads, [len(part)]])).astype("<u4")
-                out.append((t, bucket, part[heads].tobytes(), counts.tobytes(), ids[target == t].tobytes()))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            types = [pa.int32(), pa.int32(), *[pa.binary()] * 3]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["target", "bucket", "keys", "counts", "ids"])
+            if len(ids):
+                # equal ids are shared if their least and greatest text differ
+                shared = np.repeat(keys[heads] != keys[heads + sizes - 1], sizes)
+                hot = ids[heads][np.add.reduceat(weights, heads) >= hot_from]
+                if len(hot):
+                    out.append((_HOT, b"", b"", hot.astype("<u8").tobytes()))
+            out += _by_target(keys[shared], ids[shared], targets)
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SHARED_SCHEMA, strict=True)], schema=_SHARED_SCHEMA)
 
     return rows
 
 
+def _hot_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bitmap of all hot ids, hashed."""
+    bits = np.zeros(1 << HOT_BITS, bool)
+    for batch in batches:
+        for blob in batch.column(0).to_pylist():
+            bits[_hot_place(np.frombuffer(blob, "<u8"))] = True
+    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+
+def _hot_place(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids) >> np.uint64(64 - HOT_BITS)).astype(np.int64)
+
+
 def _gathered_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text key, all its shared anchors) from the rows of one target's texts."""
     keys, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for batch in batches:
         for row in batch.to_pylist():
             keys.append(np.repeat(np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["counts"], "<u4")))
-            ids.append(np.frombuffer(row["ids"], "<u4").astype(np.uint64) | np.uint64(row["bucket"]) << np.uint64(32))
+            ids.append(np.frombuffer(row["ids"], "<u8"))
     keys, ids = np.concatenate(keys), np.concatenate(ids)
     order = np.argsort(keys, kind="stable")
     keys, ids = keys[order], ids[order]
@@ -175,12 +235,15 @@ def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc", "key", "packed"])
 
 
-def _segment_rows(buckets: int, suffix_buckets: int):
+def _segment_rows(buckets: int, suffix_buckets: int, hot_bits: bytes | None):
     """(doc, key, text, shared anchors) to a row for each bucket: the bytes around those anchors.
 
     Of equal segments in a batch only that of the least document goes on. The others repeat it
-    whole, which is said at once by rows of bucket -1.
+    whole, which is said at once by rows of bucket -1. Around an anchor that very many texts have
+    each window is a segment of its own, dealt by its content: equal ones still meet, and no
+    bucket gets all of the anchor's surroundings.
     """
+    hot = None if hot_bits is None else np.unpackbits(np.frombuffer(hot_bits, np.uint8)).astype(bool)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,12 +251,13 @@ def _segment_rows(buckets: int, suffix_buckets: int):
             shared = batch.column(3).to_pylist()
             texts = pa.array([zstandard.decompress(p) for p in batch.column(2).to_pylist()], pa.large_binary())
             groups: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
-            for row, end, data, bounds in chunks(texts):
+            for row, end, data, bounds in chunks(texts, STEP_BYTES):
                 ids, place, first, last = anchors(data, bounds)
                 if not len(ids):
                     continue
                 short = _short(ids, buckets)
                 deal = (mix(ids) % np.uint64(suffix_buckets)).astype(np.int64).tolist()
+                parted = np.zeros(len(ids), bool) if hot is None else hot[_hot_place(short)]
                 owner = np.searchsorted(bounds, place, "right") - 1
                 edges = np.searchsorted(owner, np.arange(end - row + 1))
                 raw = data.tobytes()
@@ -203,7 +267,12 @@ def _segment_rows(buckets: int, suffix_buckets: int):
                     hit = np.flatnonzero(np.isin(short[part], wanted)) + edges[i]
                     base = int(bounds[i])
                     for j, lo, hi in zip(hit.tolist(), first[hit].tolist(), last[hit].tolist(), strict=True):
-                        groups.setdefault(deal[j], {}).setdefault(raw[lo : hi + LENGTH], []).append((row + i, lo - base))
+                        if parted[j]:
+                            for at in range(lo, hi + 1):
+                                window = raw[at : at + LENGTH]
+                                groups.setdefault(zlib.crc32(window) % suffix_buckets, {}).setdefault(window, []).append((row + i, at - base))
+                        else:
+                            groups.setdefault(deal[j], {}).setdefault(raw[lo : hi + LENGTH], []).append((row + i, lo - base))
             out = []
             whole: dict[int, list[int]] = {}
             for b, contents in groups.items():
@@ -443,7 +512,7 @@ def text_key(text_col: str = "text"):
     return F.xxhash64(F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False, hot_from: int = HOT_FROM) -> DataFrame:
     """One row for each document: doc_id, text_key, n_bytes, n_removed, n_spans, kept_sha256,
     kept, spans.
 
@@ -465,15 +534,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = narrow.groupBy("sha").agg(F.min("doc").alias("least"), F.first("key").alias("key"))
     info = narrow.distinct().join(least.select("sha", "least"), "sha").select("doc", "key", (F.col("least") < F.col("doc")).alias("copy"))
 
-    dealt = arrow_map(rows.select("key", "text"), _anchor_rows(partitions), "bucket int, keys binary, counts binary, ids binary")
+    dealt = arrow_map(rows.select("key", "text"), _anchor_rows(partitions, partitions), _ANCHORS)
     dealt = dealt.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    shared = arrow_map(dealt, _shared_rows(partitions), "target int, bucket int, keys binary, counts binary, ids binary")
-    shared = arrow_map(shared.repartition(partitions, "target"), _gathered_rows, "key long, shared binary")
+    found = cut_lineage(arrow_map(dealt, _shared_rows(partitions, hot_from), "target int, keys binary, counts binary, ids binary"))
+    # a bitmap of fixed size, whatever the number of hot anchors
+    bits = arrow_map(found.where(F.col("target") == _HOT).select("ids").repartition(1), _hot_bits, "bits binary").collect()
+    hot = bytes(bits[0]["bits"]) if bits and any(bits[0]["bits"]) else None
+    shared = arrow_map(found.where("target >= 0").repartition(partitions, "target"), _gathered_rows, "key long, shared binary")
     places = shared.join(least.select("key", F.col("least").alias("doc")), "key")
 
     texts = arrow_map(rows.select("doc", "key", "text"), _packed_rows, "doc long, key long, packed binary").repartition(partitions, "doc", "key")
     around = texts.join(places, ["doc", "key"]).select("doc", "key", "packed", "shared")
-    segments = arrow_map(around, _segment_rows(partitions, BUCKETS * partitions), "bucket int, docs binary, keys binary, places binary, sizes binary, bytes binary")
+    segments = arrow_map(around, _segment_rows(partitions, BUCKETS * partitions, hot), "bucket int, docs binary, keys binary, places binary, sizes binary, bytes binary")
     salt = F.when(F.col("bucket") < 0, F.xxhash64("docs", "keys")).otherwise(F.lit(0))
     segments = segments.withColumn("salt", salt).repartition(partitions, "bucket", "salt").drop("salt").sortWithinPartitions("bucket")
     spans = arrow_map(segments, _span_rows, "doc long, key long, spans binary").groupBy("doc", "key").agg(F.collect_list("spans").alias("spans"))

@@ -74,12 +74,12 @@ def brute_removal(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_suffix_dedup(frame, seed):
+@pytest.mark.parametrize(("seed", "hot_from"), [(1, 20_000), (2, 3)])
+def test_suffix_dedup(frame, seed, hot_from):
     from llm_rows import make_rows
 
     rows = make_rows(seed)
-    found = suffix_dedup.remove_repeats(frame(rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    found = suffix_dedup.remove_repeats(frame(rows), hot_from=hot_from).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
     assert sorted(((*r[:5], bytes(r[5])) for r in found.collect()), key=repr) == brute_removal(rows)
 
 
