@@ -575,7 +575,7 @@ def multi_source_union(t) -> DataFrame:
     return united.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("k").alias("keys"))
 
 
-# --- extensions: not among the reference's operators ------------------------------------------------
+# --- extensions
 
 
 @query("ext", "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
