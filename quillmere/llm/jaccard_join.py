@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, chunks, cut_lineage, doc_key
@@ -30,6 +30,8 @@ WORDS, OVER, UNDER = 5, 4, 5
 LEAST_BITS, MOST_BITS, PART_BITS, BITS_PER_ROW = 20, 27, 6, 64
 #: Sets of a block that one task compares with each other, or with as many of another part.
 PART = 4_096
+#: More than the units of any size class.
+UNITS = 1 << 32
 #: Points in a leaf of the tree, and children of a node.
 FAN = 32
 
@@ -322,18 +324,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = cut_lineage(arrow_map(rows, _prefix_rows(repeated, partitions), _DEALT))
     narrow_schema = "doc long, text_key long, node long, check long, n long"
     narrow = arrow_map(dealt.where(F.col("bucket") == _NARROW).select("ids"), _narrow_rows, narrow_schema)
-    sets = narrow.where("n > 0").groupBy("node", "check").agg(F.min(F.struct("doc", "text_key")).alias("first"))
+    sets = narrow.where("n > 0").groupBy("node", "check").agg(F.min(F.struct("doc", "text_key")).alias("first"), F.min("n").alias("n"))
 
     tied = dealt.where("bucket >= 0").repartition(partitions, "bucket").sortWithinPartitions("bucket")
     blocks = cut_lineage(components(arrow_map(tied, _block_rows, "a long, b long")).withColumnRenamed("root", "block"))
-    sizes = blocks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART)).cast("int").alias("parts"))
-    parted = blocks.join(sizes, "block").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    members = parted.join(sets, "node").select("block", "mine", "parts", "node", "first.doc", "first.text_key")
+    members = _units(blocks.join(sets, "node")).select("pairs", "block", "mine", "node", "first.doc", "first.text_key")
     packed = arrow_map(rows, _packed_rows, "doc long, text_key long, packed binary")
-    held = packed.join(members, ["doc", "text_key"]).select("block", "mine", "parts", "node", "packed")
-    # a part meets itself and every other part of its block
-    pair = F.struct(F.least("mine", "other").alias("left"), F.greatest("mine", "other").alias("right"))
-    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("pair", pair)
+    held = packed.join(members, ["doc", "text_key"]).withColumn("pair", F.explode("pairs"))
     held = held.select("block", "pair.left", "pair.right", "node", "mine", "packed")
     met = held.repartition(partitions, "block", "left", "right").sortWithinPartitions("block", "left", "right")
     joined = components(arrow_map(met, _link_rows, "a long, b long"))
@@ -343,3 +340,30 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = narrow.join(least, ["node", "check"], "left")
     known = lambda c: F.when(F.col(c) != F.lit((1 << 63) - 1), F.col(c))
     return named.select(known("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce(known("least"), known("doc")).alias("component_id"))
+
+
+def _units(members: DataFrame) -> DataFrame:
+    """Adds `mine`, the unit of a set within its block, and `pairs`, those of units where it is met.
+
+    A block of up to PART sets is one unit. A larger one has classes of set sizes, each less than
+    UNDER / OVER times as wide as the one before, and PART sets to a unit of a class. Linked sets
+    are in one class or in neighbouring ones, so a unit meets its own class and the next.
+    """
+    width = math.log(UNDER / OVER)
+    total = members.groupBy("block").agg(F.count(F.lit(1)).alias("total"))
+    kind = F.when(F.col("total") > PART, F.floor(F.ln("n") / F.lit(width)).cast("long")).otherwise(F.lit(0).cast("long"))
+    classed = members.join(total, "block").withColumn("class", kind)
+    parts = classed.groupBy("block", "class").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART)).cast("long").alias("parts"))
+    after = parts.select("block", (F.col("class") - 1).alias("class"), F.col("parts").alias("parts_after"))
+    before = parts.select("block", (F.col("class") + 1).alias("class"), F.col("parts").alias("parts_before"))
+    beside = parts.join(after, ["block", "class"], "left").join(before, ["block", "class"], "left")
+    rows = classed.join(beside, ["block", "class"]).withColumn("mine", F.col("class") * UNITS + F.pmod(F.xxhash64("node"), "parts"))
+
+    def units(shift: int, count: str) -> Column:
+        """The units of a class beside this one; none if there is no such class."""
+        numbers = F.when(F.col(count) > 0, F.sequence(F.lit(0).cast("long"), F.col(count) - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(numbers, lambda i: (F.col("class") + shift) * UNITS + i)
+
+    others = F.concat(units(0, "parts"), units(1, "parts_after"), units(-1, "parts_before"))
+    pair = lambda u: F.struct(F.least("mine", u).alias("left"), F.greatest("mine", u).alias("right"))
+    return rows.withColumn("pairs", F.transform(others, pair))
