@@ -73,6 +73,8 @@ def binary_column(column: pa.Array) -> pa.LargeBinaryArray:
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a text column: row i is bytes[offsets[i]:offsets[i + 1]]."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     column = binary_column(column)
     _, offsets, data = column.buffers()
     bounds = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)

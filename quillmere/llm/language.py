@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, binary_column
+from .common import arrow_map, flat
 from .quality_rules import HELD_OUT, fold
 
 #: Documents of each language that the scores are learnt from, about, chosen by a hash of the id.
@@ -217,7 +217,7 @@ def _identify(model: Model):
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = Model(model.languages, [t.astype(np.float32) for t in model.tables], model.scripts)
         for batch in batches:
-            sizes = np.diff(np.frombuffer(binary_column(batch.column(2)).buffers()[1], np.int64, len(batch) + 1, 0)) if len(batch) else np.zeros(0, np.int64)
+            sizes = np.diff(flat(batch.column(2))[1])
             texts = [t or "" for t in batch.column(2).to_pylist()]
             row = 0
             while row < len(texts):
