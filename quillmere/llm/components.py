@@ -1,33 +1,7 @@
-"""Connected components of a distributed edge list."""
+"""Connected components, as the library has them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from quillmere.components import components
 
-from .common import cut_lineage
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of the edges (a, b): root is its component's least node.
-
-    Large-star and small-star steps in turn, each two shuffles of the edges; the number of turns
-    grows with the logarithm of the longest path. Only minima are taken over a node's neighbours,
-    so a hub is aggregated in parts before the shuffle, and joins on it can be split.
-    """
-    edges = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("root").alias("b")).where("a <> b").distinct()
-        # small star: a node's lesser neighbours, and itself, all to the least of them
-        lesser = large.groupBy("a").agg(F.min("b").alias("root"))
-        small = large.join(lesser, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("root").alias("b")).where("a <> b").distinct()
-        edges = cut_lineage(small)
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == before:
-            break
-        before = now
-    roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+__all__ = ["components"]

@@ -132,3 +132,33 @@ def test_blocks_of_queries_meet_all_rows(spark, monkeypatch):
     monkeypatch.setattr(features, "BLOCK_QUERIES", 5)
     assert sorted(map(tuple, features._distances(rows, queries).collect())) == whole
     assert len(whole) == 12 * 59
+
+
+def brute_dbscan(ids, points, eps, min_points):
+    near = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1)) <= eps
+    core = near.sum(1) >= min_points
+    cluster = {}
+    for first in sorted(ids[core]):
+        stack = [] if first in cluster else [int(np.flatnonzero(ids == first)[0])]
+        while stack:
+            i = stack.pop()
+            if int(ids[i]) not in cluster:
+                cluster[int(ids[i])] = int(first)
+                stack += np.flatnonzero(near[i]).tolist() if core[i] else []
+    return {int(i): cluster.get(int(i), -1) for i in ids}
+
+
+@pytest.mark.parametrize("block", [8192, 60])
+def test_dbscan_equals_brute_force(spark, monkeypatch, block):
+    from quillmere.operators import models
+
+    draw = np.random.default_rng(1)
+    centres = draw.normal(0, 3, (12, 4))
+    # clusters over the signs' bounds, chains, noise, copies, and distances of just the radius
+    points = np.concatenate([centres[draw.integers(0, 12, 250)] + draw.normal(0, 0.45, (250, 4)), draw.normal(0, 4, (60, 4)), np.tile(draw.normal(9, 0.1, (1, 4)), (40, 1)), np.arange(-6, 6)[:, None] * [0, 0, 0, 1.0] + [20.0, 0, 0, 0]])
+    ids = draw.permutation(len(points)) * 3 + 5
+    rows = spark.createDataFrame([(int(i), p.tolist()) for i, p in zip(ids, points, strict=True)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(models, "BLOCK_POINTS", block)
+    found = {r.vec_id: r.cluster for r in models.dbscan_clusters(lambda _: rows).collect()}
+    assert found == brute_dbscan(ids, points, 1.0, 3)
+    assert len(set(found.values())) > 4 and -1 in found.values()
