@@ -162,3 +162,27 @@ def test_dbscan_equals_brute_force(spark, monkeypatch, block):
     found = {r.vec_id: r.cluster for r in models.dbscan_clusters(lambda _: rows).collect()}
     assert found == brute_dbscan(ids, points, 1.0, 3)
     assert len(set(found.values())) > 4 and -1 in found.values()
+
+
+def test_optics_walks_whole_labels(spark):
+    from quillmere.operators import models
+
+    draw = np.random.default_rng(2)
+    points = draw.normal(0, 3, (4200, 3))  # two labels of 2100; few have three neighbours in any half
+    rows = spark.createDataFrame([(i, i % 2, p.tolist()) for i, p in enumerate(points)], "vec_id long, label int, embedding array<double>")
+    found = models.optics_clusters(lambda _: rows).collect()
+    for label in (0, 1):
+        whole = points[label::2]
+        gaps = np.sqrt(((whole[:, None] - whole[None]) ** 2).sum(-1))
+        np.fill_diagonal(gaps, np.inf)
+        third = np.sort(gaps, axis=1)[:, 2]
+        core = np.where(third <= 1.5, third, np.inf)
+        mine = sorted((r for r in found if r.label == label), key=lambda r: r.nth)
+        order = [r.vec_id // 2 for r in mine]
+        assert sorted(order) == list(range(len(whole)))
+        reach = np.full(len(whole), np.inf)
+        for i, r in zip(order, mine, strict=True):  # each is the nearest that is left, at its distance from those before
+            assert np.isclose(r.reachability, reach[i]) if np.isfinite(reach[i]) else np.isinf(r.reachability)
+            assert reach[i] <= np.min(reach) + 1e-9
+            reach = np.where(gaps[i] <= 1.5, np.minimum(reach, np.maximum(core[i], gaps[i])), reach)
+            reach[order[: mine.index(r) + 1]] = np.inf
