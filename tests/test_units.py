@@ -186,3 +186,12 @@ def test_optics_walks_whole_labels(spark):
             assert reach[i] <= np.min(reach) + 1e-9
             reach = np.where(gaps[i] <= 1.5, np.minimum(reach, np.maximum(core[i], gaps[i])), reach)
             reach[order[: mine.index(r) + 1]] = np.inf
+
+
+def test_word2vec_gives_the_vectors_of_all_documents(spark):
+    from quillmere.operators import models
+
+    rows = spark.createDataFrame([(1, "cat dog " * 10, "en"), (2, "chat chien " * 10, "fr"), (3, "hund katze " * 10, None), (4, None, "en")], "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in models.ml_word2vec_pipeline(lambda _: rows).collect()}
+    assert {i: r.n_tokens for i, r in found.items()} == {1: 20, 2: 20, 3: 20, 4: 0}
+    assert all(len(r.vector) == 500 and any(r.vector) == (i < 4) for i, r in found.items())
