@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, chunks
+from .license_texts import FULL_TEXTS
 from .textscan import LOWER, span_hashes, spans, windows
 
 #: Words in a fingerprint, and fingerprints in a window of which the least is kept. A run of
@@ -20,8 +21,8 @@ BAND = 8
 #: The share of a template's words that must be matched, in order, to report it.
 LEAST_COVERAGE = 0.8
 
-# Notices as projects commonly print them, one for each kind of grant, and the
-# opening of the longer licenses. Names of licenses are SPDX identifiers.
+# Notices as projects commonly print them, for each kind of grant, the opening of
+# some licenses, and full texts. Names of licenses are SPDX identifiers.
 TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -30,13 +31,27 @@ TEMPLATES = {
     "BSD-3-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     ],
-    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "Creative Commons Attribution-NonCommercial 4.0 International"],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
+    ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
     ],
+    "LGPL-2.1": [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",
+    ],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License",
+    ],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+    ],
+    "CC0-1.0": ["This work is licensed under CC0 1.0 Universal.", "This work is marked with CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "MIT": [
         "Released under the MIT License.",
@@ -45,6 +60,13 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+for _short, _name in {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}.items():
+    for _version, _where in (("4.0", "International"), ("3.0", "Unported")):
+        TEMPLATES[f"CC-{_short}-{_version}"] = [
+            f"Licensed under CC {_short} {_version}.", f"Creative Commons {_name} {_version} {_where}", f"This work is licensed under a Creative Commons {_name} {_version} {_where} License.",
+        ]
+for _name, _text in FULL_TEXTS.items():
+    TEMPLATES.setdefault(_name, []).append(_text)
 
 # Words are runs of letters and digits, all bytes beyond ASCII among them; case doesn't count.
 _IN_WORD = np.zeros(256, bool)
@@ -125,11 +147,25 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int) -> tuple[int, i
     return best, begin, end
 
 
+def within_band(template: np.ndarray, text: np.ndarray, diagonal: int) -> int:
+    """How many of the template's words the text has within BAND of their place: no alignment matches more."""
+    padded = np.zeros(len(template) + 2 * BAND, np.uint64)
+    known = np.zeros(len(padded), bool)
+    from_word, to_word = max(0, diagonal - BAND), min(len(text), diagonal - BAND + len(padded))
+    if to_word > from_word:
+        place = slice(from_word - diagonal + BAND, to_word - diagonal + BAND)
+        padded[place], known[place] = text[from_word:to_word], True
+    found = np.zeros(len(template), bool)
+    for o in range(2 * BAND + 1):
+        found |= (padded[o : o + len(template)] == template) & known[o : o + len(template)]
+    return int(found.sum())
+
+
 def scan(index: Index, data: np.ndarray, bounds: np.ndarray, least: float = LEAST_COVERAGE) -> list[list[dict]]:
     """For each text its matches: license, coverage, and the span in bytes.
 
-    Of overlapping matches the one with most matched words is reported, of equal ones the first
-    in order of place, then of the templates.
+    Of overlapping matches the one with most matched words, less the text's words left out between
+    them, is reported, of equal ones the first in order of place, then of the templates.
     """
     hashes, starts, ends, first = words(data, bounds)
     grams, at = windows(hashes, first, GRAM)
@@ -148,12 +184,14 @@ def scan(index: Index, data: np.ndarray, bounds: np.ndarray, least: float = LEAS
             template = index.words[number]
             if number in taken and diagonal - taken[number] <= BAND // 2:
                 continue  # the band around the last one holds it
+            if within_band(template, hashes[lo:hi], diagonal - lo) < least * len(template):
+                continue
             taken[number] = diagonal
             from_word = max(lo, diagonal - 2 * BAND)
             to_word = min(hi, diagonal + len(template) + 2 * BAND)
             matched, begin, end = align(template, hashes[from_word:to_word], diagonal - from_word)
             if matched >= least * len(template):
-                found.append((-matched, from_word + begin, number, from_word + end, matched / len(template)))
+                found.append((end - begin - 2 * matched, from_word + begin, number, from_word + end, matched / len(template)))
         used: list[tuple[int, int]] = []
         for _, begin, number, end, coverage in sorted(found):
             if end > begin and all(end <= a or begin >= b for a, b in used):

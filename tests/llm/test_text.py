@@ -293,3 +293,23 @@ def test_license_scan(frame):
     assert [m.license for m in found[2, 2].matches] == ["GPL-3.0", "MIT"]
     assert found[5, 1].license == "MIT" and 0.8 <= found[5, 1].coverage < 1
     assert licenses.scan_licenses(frame([])).collect() == []
+
+
+LICENSED = [
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "CC-BY-ND-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+    *((text, name) for name, text in licenses.FULL_TEXTS.items()),
+]
+
+
+@pytest.mark.parametrize(("text", "name"), LICENSED, ids=[f"{n}-{len(t)}" for t, n in LICENSED])
+def test_licenses_have_their_own_names_and_whole_spans(text, name):
+    data = f"before it {text} and after".encode()
+    found = licenses.scan(licenses.Index(licenses.TEMPLATES), np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0]
+    assert [(m["license"], m["coverage"]) for m in found] == [(name, 1.0)]
+    assert found[0]["end"] - found[0]["start"] > 0.99 * len(text.encode()) - 2
