@@ -195,3 +195,17 @@ def test_word2vec_gives_the_vectors_of_all_documents(spark):
     found = {r.doc_id: r for r in models.ml_word2vec_pipeline(lambda _: rows).collect()}
     assert {i: r.n_tokens for i, r in found.items()} == {1: 20, 2: 20, 3: 20, 4: 0}
     assert all(len(r.vector) == 500 and any(r.vector) == (i < 4) for i, r in found.items())
+
+
+def test_sgd_is_one_model_over_all_rows(spark):
+    from quillmere.operators import models
+
+    draw = np.random.default_rng(3)
+    x, label = draw.normal(size=(300, 4)), draw.integers(0, 10, 300)
+    rows = spark.createDataFrame([(i, int(label[i]), x[i].tolist()) for i in draw.permutation(300).tolist()], "vec_id long, label int, embedding array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        found = [r.loss for r in models.ml_logreg_sgd(lambda _: rows).orderBy("epoch").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert np.allclose(found, sgd_logistic(x, (label % 2 == 0).astype(float))[1])
