@@ -209,3 +209,18 @@ def test_sgd_is_one_model_over_all_rows(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert np.allclose(found, sgd_logistic(x, (label % 2 == 0).astype(float))[1])
+
+
+def test_tag_predictor_has_the_references_vocabulary(spark, sf_dir, monkeypatch):
+    from quillmere.operators import models
+    from quillmere.plans import catalog
+
+    class Made(Exception):
+        pass
+
+    def made(**options):
+        raise Made(f"terms: {options['vocabSize']}")
+
+    monkeypatch.setattr(models, "CountVectorizer", made)
+    with pytest.raises(Made, match="terms: 10000"):
+        catalog.QUERIES["ml_tag_predictor"](spark, sf_dir)
