@@ -17,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
-    while True:
+    while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("root").alias("b")).where("a <> b").distinct()
@@ -25,8 +25,9 @@ def components(edges: DataFrame) -> DataFrame:
         lesser = large.groupBy("a").agg(F.min("b").alias("root"))
         small = large.join(lesser, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("root").alias("b")).where("a <> b").distinct()
         edges = cut_lineage(small)
+        # nodes that have one root each, none of which has a root: stars, and nothing is left to do
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == before:
+        if now == before or edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").isEmpty() and edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
             break
         before = now
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
