@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quillmere.shipping import ship
+from quillmere.sources.shared import cut_lineage, fresh_path
 
 #: Bytes of text that one numpy pass works on: its temporaries, a small multiple, stay in the cache.
 CHUNK_BYTES = 1 << 16
@@ -30,38 +31,58 @@ def doc_key(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints that the cluster names.
-
-    Without one a local session gets a temporary one; any other session is refused, since its
-    executors could not read each other's files.
-    """
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quillmere-checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df, checkpointed in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame) -> DataFrame:
     """df, written as Parquet in the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    """The C library's way to hand freed memory back, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers are reused, and would keep their high-water mark."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def arrow_map(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
-    """df.mapInArrow, on executors that have this package."""
+    """df.mapInArrow, on executors that have this package; a task's end gives its memory back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(run, schema)
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about `most` bytes of the column each; a row is never cut.
+
+    A batch has a bounded number of rows, but rows of any length.
+    """
+    _, bounds = flat(batch.column(column))
+    row = 0
+    while row < len(batch):
+        end = min(len(batch), max(row + 1, int(np.searchsorted(bounds, bounds[row] + most, "right")) - 1))
+        yield batch.slice(row, end - row)
+        row = end
+
+
+def text_bytes(df: DataFrame, text_col: str = "text") -> int:
+    """The UTF-8 bytes of a column: what numbers of buckets are derived from, in place of any setting."""
+    return int(df.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0)
 
 
 def binary_column(column: pa.Array) -> pa.LargeBinaryArray:

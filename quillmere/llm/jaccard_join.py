@@ -3,8 +3,13 @@
 Equal shingle sets are one node. Two sets that are similar enough share a shingle among the
 first fifth of each, in any order of the shingles that all sets agree on; the order used here
 puts frequent ones last. Sets that share such a shingle, directly or through others, form a
-block. A block's sets meet in one task (or, if it is large, in one for each pair of its parts),
-where an R-tree over their count vectors finds the pairs worth an exact comparison.
+block: no link leaves it. Sets meet in tasks of a bounded number of shingles, where an R-tree
+over their count vectors finds the pairs worth an exact comparison.
+
+A block of up to UNIT shingles meets in one task. A larger one is cut into tiles by size class.
+First each tile meets some leaders of its class, which links most of a large group of copies by
+shuffling each set about once. Only sets that are still outside their block's largest group then
+meet the tiles of sizes that could link with them; pairs of that group's own sets need no more.
 """
 
 from __future__ import annotations
@@ -18,68 +23,105 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, chunks, cut_lineage, doc_key
+from .common import arrow_map, chunks, cut_lineage, doc_key, slices
 from .components import components
-from .suffix_dedup import _by_bucket
+from .suffix_dedup import by_bucket
 from .textscan import LOWER, mix, shingle_sets, span_hashes, windows, word_spans
 
 #: Words in a shingle; two sets link from OVER / UNDER of their union on.
 WORDS, OVER, UNDER = 5, 4, 5
-#: Log2 of the least and the most bits of the map of repeated shingles, and of its parts. It
-#: has BITS_PER_ROW for each document in between.
+#: Log2 of the least and the most bits of a bitmap, and of its parts. It has BITS_PER_ROW for
+#: each row in between.
 LEAST_BITS, MOST_BITS, PART_BITS, BITS_PER_ROW = 20, 27, 6, 64
-#: Sets of a block that one task compares with each other, or with as many of another part.
-PART = 4_096
-#: More than the units of any size class.
-UNITS = 1 << 32
+#: Log2 of the shingles that a task remembers to see which ones come again.
+SEEN_BITS = 20
+#: Bytes of text that are worked on, and whose rows go out, at once; and those whose prefix
+#: shingles make a bucket.
+SLICE_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+#: Shingles of the sets of a tile, and of a class's leaders, about.
+UNIT, LEADERS = 1 << 18, 1 << 15
+#: More than the tiles of any size class.
+TILES = 1 << 32
+#: Rows of a plan by block or size class that are broadcast, at most; larger plans are shuffled.
+FEW = 100_000
 #: Points in a leaf of the tree, and children of a node.
 FAN = 32
 
 
+def _parts(places: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Places of a bitmap, by the part of it that they belong to."""
+    found = np.unique(places).astype("<u4")
+    part = found >> np.uint32(bits - PART_BITS)
+    edges = np.flatnonzero(np.concatenate([[True], np.diff(part) != 0]))[: len(part)]
+    blobs = [x.tobytes() for x in np.split(found, edges[1:])] if len(found) else []
+    return pa.RecordBatch.from_arrays([pa.array(part[edges].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "places"])
+
+
 def _repeated(bits: int):
-    """Hashed shingles that two texts of one batch have, by part of the bitmap they belong to."""
+    """Places of shingles that a task meets in two of its texts.
+
+    Those of one chunk are compared with each other, and with what the task remembers of the
+    chunks before: a table of fixed size, in which a new shingle takes the place of an old one.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << SEEN_BITS, np.uint64)
+        for batch in batches:
+            for some in slices(batch, 0, SLICE_BYTES):
+                found = [np.zeros(0, np.uint64)]
+                for _, _, data, bounds in chunks(some.column(0)):
+                    lower = LOWER[data]
+                    starts, ends, first = word_spans(lower, bounds)
+                    joined, at = windows(span_hashes(lower, starts, ends), first, WORDS)
+                    order = np.argsort(joined, kind="stable")
+                    owner, ordered = np.searchsorted(first, at, "right")[order], joined[order]
+                    found.append(ordered[1:][(ordered[1:] == ordered[:-1]) & (owner[1:] != owner[:-1])])
+                    slot = (joined & np.uint64((1 << SEEN_BITS) - 1)).astype(np.int64)
+                    found.append(joined[seen[slot] == joined])
+                    seen[slot] = joined
+                yield _parts(np.concatenate(found) >> np.uint64(64 - bits), bits)
+
+    return rows
+
+
+def _wanted(bits: int):
+    """Places of the texts (doc, text key)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, owners_ = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
-            for row, _, data, bounds in chunks(batch.column(0)):
-                lower = LOWER[data]
-                starts, ends, first = word_spans(lower, bounds)
-                joined, at = windows(span_hashes(lower, starts, ends), first, WORDS)
-                places.append(joined)
-                owners_.append((np.searchsorted(first, at, "right") - 1 + row).astype(np.int32))
-            places, owner = np.concatenate(places), np.concatenate(owners_)
-            order = np.argsort(places, kind="stable")
-            places, owner = places[order], owner[order]
-            two = (places[1:] == places[:-1]) & (owner[1:] != owner[:-1])
-            found = np.unique(places[1:][two] >> np.uint64(64 - bits)).astype("<u4")
-            part = found >> np.uint32(bits - PART_BITS)
-            edges = np.flatnonzero(np.concatenate([[True], np.diff(part) != 0]))[: len(part)]
-            blobs = [x.tobytes() for x in np.split(found, edges[1:])] if len(found) else []
-            yield pa.RecordBatch.from_arrays([pa.array(part[edges].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "places"])
+            yield _parts(_place(batch) >> np.uint64(64 - bits), bits)
 
     return rows
 
 
+def _place(batch: pa.RecordBatch) -> np.ndarray:
+    doc, text_key = (np.asarray(batch.column(i).to_numpy(zero_copy_only=False), np.int64).view(np.uint64) for i in (0, 1))
+    return mix(mix(doc) + text_key)
+
+
+def _marks(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """For each hash the bit at its place, as 0 or 1."""
+    place = hashes >> np.uint64(64 - (8 * len(bitmap)).bit_length() + 1)
+    return bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1)
+
+
 def _bitmaps(bits: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = 1 << (bits - PART_BITS)
         maps: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                maps.setdefault(part, np.zeros(width, bool))[np.frombuffer(blob, "<u4") % width] = True
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                maps.setdefault(part, np.zeros(width, bool))[np.frombuffer(blob.as_buffer(), "<u4") % width] = True
         yield pa.RecordBatch.from_arrays([pa.array(list(maps), pa.int32()), pa.array([np.packbits(m).tobytes() for m in maps.values()], pa.binary())], ["part", "bits"])
 
     return rows
 
 
-def repeated_shingles(texts: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of hashed shingles that several texts have, as far as texts of one batch show it.
-
-    Which shingles it marks changes what the join costs, never what it finds. Its size is fixed
-    by `bits`, not by what is found.
-    """
-    found = arrow_map(texts, _repeated(bits), "part int, places binary").repartition("part")
+def bitmap(df: DataFrame, places, rows: int) -> np.ndarray:
+    """A bitmap of what `places` finds in df. Its size follows from `rows` and is bounded, so it
+    may fill up: that changes what the join costs, never what it finds."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_PER_ROW * rows).bit_length()))
+    found = arrow_map(df, places(bits), "part int, places binary").repartition("part")
     out = np.zeros((1 << PART_BITS, (1 << (bits - PART_BITS)) // 8), np.uint8)
     for row in arrow_map(found, _bitmaps(bits), "part int, bits binary").collect():
         out[row["part"]] = np.frombuffer(row["bits"], np.uint8)
@@ -95,9 +137,7 @@ def prefix(shingles: np.ndarray, repeated: np.ndarray) -> np.ndarray:
     size = n - -(-n * OVER // UNDER) + 1
     if size >= n:
         return shingles
-    place = shingles >> np.uint64(64 - (8 * len(repeated)).bit_length() + 1)
-    marked = repeated[(place >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1)
-    key = marked.astype(np.uint64) << np.uint64(63) | mix(shingles) >> np.uint64(1)
+    key = _marks(repeated, shingles).astype(np.uint64) << np.uint64(63) | mix(shingles) >> np.uint64(1)
     return shingles[np.argpartition(key, size - 1)[:size]]
 
 
@@ -116,49 +156,53 @@ _NARROW, _DEALT = -1, "bucket int, keys binary, counts binary, sizes binary, ids
 def _prefix_rows(repeated: np.ndarray, buckets: int):
     """(doc, text key, text) to rows for buckets of prefix shingles, and one row of the sets' digests."""
 
+    def some_rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        narrow: list[tuple] = []
+        ids, owner, sizes, keys = [], [], [], []
+        docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        seen: set[int] = set()
+        for row, _, data, bounds in chunks(batch.column(2)):
+            for i, shingles in enumerate(shingle_sets(data, bounds, WORDS), row):
+                first, second = _digest(shingles)
+                narrow.append((docs[i], texts[i], first, second, len(shingles)))
+                if len(shingles) and first not in seen:
+                    seen.add(first)
+                    some = prefix(shingles, repeated)
+                    ids.append(some)
+                    owner.append(np.full(len(some), len(keys), np.int32))
+                    keys.append(first)
+                    sizes.append(len(shingles))
+        if narrow:
+            yield _NARROW, b"", b"", b"", np.array(narrow, "<i8").tobytes()
+        if not keys:
+            return
+        ids, owner = mix(np.concatenate(ids) + np.uint64(7)), np.concatenate(owner)
+        bucket = ((ids >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((owner, bucket))
+        ids, owner, bucket = ids[order], owner[order], bucket[order]
+        key_of, size_of = np.array(keys, "<i8"), np.array(sizes, "<u4")
+        edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+        for start, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            part = owner[start:end]
+            heads = np.flatnonzero(np.concatenate([[True], np.diff(part) != 0]))
+            counts = np.diff(np.concatenate([heads, [len(part)]])).astype("<u4")
+            low = (ids[start:end] & np.uint64(0xFFFFFFFF)).astype("<u4")
+            yield int(bucket[start]), key_of[part[heads]].tobytes(), counts.tobytes(), size_of[part[heads]].tobytes(), low.tobytes()
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            narrow: list[tuple] = []
-            ids, owner, sizes, keys = [], [], [], []
-            docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            seen: set[int] = set()
-            for row, _, data, bounds in chunks(batch.column(2)):
-                for i, shingles in enumerate(shingle_sets(data, bounds, WORDS), row):
-                    first, second = _digest(shingles)
-                    narrow.append((docs[i], texts[i], first, second, len(shingles)))
-                    if len(shingles) and first not in seen:
-                        seen.add(first)
-                        some = prefix(shingles, repeated)
-                        ids.append(some)
-                        owner.append(np.full(len(some), len(keys)))
-                        keys.append(first)
-                        sizes.append(len(shingles))
-            out = [(_NARROW, b"", b"", b"", np.array(narrow, "<i8").tobytes())] if narrow else []
-            if keys:
-                ids, owner = mix(np.concatenate(ids) + np.uint64(7)), np.concatenate(owner)
-                bucket = ((ids >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((owner, bucket))
-                ids, owner, bucket = ids[order], owner[order], bucket[order]
-                edges = np.searchsorted(bucket, np.arange(buckets + 1))
-                key_of, size_of = np.array(keys, "<i8"), np.array(sizes, "<u4")
-                for b in range(buckets):
-                    part = owner[edges[b] : edges[b + 1]]
-                    if len(part):
-                        heads = np.flatnonzero(np.concatenate([[True], np.diff(part) != 0]))
-                        counts = np.diff(np.concatenate([heads, [len(part)]])).astype("<u4")
-                        low = (ids[edges[b] : edges[b + 1]] & np.uint64(0xFFFFFFFF)).astype("<u4")
-                        out.append((b, key_of[part[heads]].tobytes(), counts.tobytes(), size_of[part[heads]].tobytes(), low.tobytes()))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            types = [pa.int32(), *[pa.binary()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "keys", "counts", "sizes", "ids"])
+            for some in slices(batch, 2, SLICE_BYTES):
+                columns = list(zip(*some_rows(some), strict=True)) or [()] * 5
+                types = [pa.int32(), *[pa.binary()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "keys", "counts", "sizes", "ids"])
 
     return rows
 
 
 def _narrow_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for raw in batch.column(0).to_pylist():
-            table = np.frombuffer(raw, "<i8").reshape(-1, 5)
+        for raw in batch.column(0):
+            table = np.frombuffer(raw.as_buffer(), "<i8").reshape(-1, 5)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(table[:, i])) for i in range(5)], ["doc", "text_key", "node", "check", "n"])
 
 
@@ -186,7 +230,7 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Of the sets with one shingle, ordered by size, neighbours are tied if their sizes allow it:
     if two sets' sizes do, so do those of all neighbours between them.
     """
-    for _, rows in _by_bucket(batches):
+    for _, rows in by_bucket(batches):
         counts = [np.frombuffer(r["counts"], "<u4") for r in rows]
         keys = np.concatenate([np.repeat(np.frombuffer(r["keys"], "<i8"), c) for r, c in zip(rows, counts, strict=True)])
         sizes = np.concatenate([np.repeat(np.frombuffer(r["sizes"], "<u4"), c) for r, c in zip(rows, counts, strict=True)]).astype(np.int64)
@@ -205,12 +249,17 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(nodes[roots[other]])], ["a", "b"])
 
 
-def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text key, text) with the text's bytes compressed, as they are to be shuffled."""
-    press = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        packed = [press.compress((t or "").encode()) for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc", "text_key", "packed"])
+def _packed_rows(wanted: np.ndarray):
+    """(doc, text key, text) with the text's bytes compressed, of the texts that the bitmap wants."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for some in slices(batch.filter(pa.array(_marks(wanted, _place(batch)).astype(bool))), 2, SLICE_BYTES):
+                packed = [press.compress((t or "").encode()) for t in some.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(packed, pa.binary())], ["doc", "text_key", "packed"])
+
+    return rows
 
 
 class CountTree:
@@ -261,15 +310,19 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return UNDER * shared >= OVER * (len(a) + len(b) - shared)
 
 
-def link(sets: list[np.ndarray], left: np.ndarray | None = None) -> Forest:
+def link(sets: list[np.ndarray], left: np.ndarray | None = None, roots: list[int] | None = None) -> Forest:
     """Joins all sets that are linked, directly or through others.
 
-    With `left`, only pairs of a left and another set count: the others meet elsewhere. Pairs
-    that are joined already need no comparison, so a group of near copies takes few.
+    With `left`, only pairs of a left and another set count: the others meet elsewhere. Sets of
+    equal `roots` are joined to begin with. Pairs that are joined already need no comparison, so
+    a group of near copies takes few.
     """
     forest = Forest(len(sets))
     if len(sets) < 2:
         return forest
+    firsts: dict[int, int] = {}
+    for i, root in enumerate(roots or ()):
+        forest.join(i, firsts.setdefault(root, i))
     tree = CountTree(sets)
     for i in range(len(sets)):
         for j in tree.partners(i).tolist():
@@ -281,89 +334,168 @@ def link(sets: list[np.ndarray], left: np.ndarray | None = None) -> Forest:
 
 
 def _link_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, least node it is joined with) for each block, or pair of its parts."""
+    """(root, root that it is joined with, whether the block was whole) for each task's groups of sets.
+
+    Rows: block, left, right, node, mine, root, packed text, sorted by the first three.
+    """
 
     def groups() -> Iterator[list[tuple]]:
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if held and held[0][:3] != row[:3]:
-                    yield held
-                    held = []
-                held.append(row)
+            for at in range(0, len(batch), 256):
+                for row in zip(*(batch.column(i).slice(at, 256).to_pylist() for i in range(7)), strict=True):
+                    if held and held[0][:3] != row[:3]:
+                        yield held
+                        held = []
+                    held.append(row)
         if held:
             yield held
 
     for rows in groups():
-        rows = sorted({r[3]: r for r in rows}.values(), key=lambda r: r[3])  # a repeated row of a document is one set
-        texts = pa.array([zstandard.decompress(r[5]) for r in rows], pa.large_binary())
+        rows = sorted({r[3]: r for r in rows}.values(), key=lambda r: r[5])  # a repeated row of a document is one set
+        texts = pa.array([zstandard.decompress(r[6]) for r in rows], pa.large_binary())
         sets = [s for *_, data, bounds in chunks(texts) for s in shingle_sets(data, bounds, WORDS)]
-        one = rows[0][1] == rows[0][2]
-        forest = link(sets, None if one else np.array([r[4] == r[1] for r in rows]))
-        roots = [forest.root(i) for i in range(len(rows))]
-        found = [(rows[i][3], rows[r][3]) for i, r in enumerate(roots) if i != r]
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+        _, left, right = rows[0][:3]
+        forest = link(sets, None if left == right else np.array([r[4] == left for r in rows]), [r[5] for r in rows])
+        found = {(rows[i][5], rows[forest.root(i)][5]) for i in range(len(rows))}
+        found = [(a, b) for a, b in found if a != b]
+        arrays = [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64()), pa.array([left == WHOLE] * len(found), pa.bool_())]
+        yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "whole"])
+
+
+#: The tile of a block that needs no tiles.
+WHOLE = -1
+
+
+def _meet(members: DataFrame, packed: DataFrame, tasks: int) -> DataFrame:
+    """(a, b, whole): roots that links join. members: block, left, right, mine, node, root, doc, text_key."""
+    held = packed.join(members, ["doc", "text_key"]).select("block", "left", "right", "node", "mine", "root", "packed")
+    met = held.repartition(tasks, "block", "left", "right").sortWithinPartitions("block", "left", "right")
+    return cut_lineage(arrow_map(met, _link_rows, "a long, b long, whole boolean"))
+
+
+def _few(plan: DataFrame) -> tuple[DataFrame, int]:
+    """A plan with a row for each large block or class, broadcast if it is small, and its rows."""
+    plan = cut_lineage(plan)
+    rows = plan.count()
+    return (F.broadcast(plan) if rows <= FEW else plan), rows
+
+
+def _tiled(classed: DataFrame) -> DataFrame:
+    """The first meeting of large blocks: each set in its tile, and leaders in all tiles of their class."""
+    sums = classed.groupBy("block", "class").agg(F.sum("n").alias("total"))
+    parts, _ = _few(sums.select("block", "class", F.ceil(F.col("total") / UNIT).alias("parts"), F.ceil(F.col("total") / LEADERS).alias("led")))
+    rows = classed.join(parts, ["block", "class"]).withColumn("tile", F.pmod(F.xxhash64("node"), "parts"))
+    leads = F.pmod(F.xxhash64("node", F.lit(1)), "led") == 0
+    tiles = F.when(leads, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array("tile"))
+    rows = rows.withColumn("tile", F.explode(tiles)).withColumn("mine", F.col("class") * TILES + F.col("tile"))
+    return rows.withColumn("left", F.col("mine")).withColumn("right", F.col("mine"))
+
+
+def _plus(start: Column):
+    return lambda i: start + i
+
+
+def _paired(classed: DataFrame) -> DataFrame:
+    """The second meeting: sets outside their block's largest group with all that could link.
+
+    Linked sets are in one size class or in neighbouring ones, each class being less than
+    UNDER / OVER times as wide as the one before.
+    """
+    groups = classed.groupBy("block", "root").agg(F.sum("n").alias("total"))
+    largest, _ = _few(groups.groupBy("block").agg(F.max_by("root", F.struct("total", "root")).alias("main")))
+    rows = classed.join(largest, "block").withColumn("rest", F.col("root") != F.col("main"))
+    size = lambda kind: F.ceil(F.sum(F.when(kind, F.col("n")).otherwise(0)) / UNIT)
+    parts = cut_lineage(rows.groupBy("block", "class").agg(size(F.col("rest")).alias("rest_0"), size(~F.col("rest")).alias("main_0")))
+    beside = parts
+    for shift, suffix in ((1, "up"), (-1, "down")):
+        other = parts.select("block", (F.col("class") - shift).alias("class"), F.col("rest_0").alias(f"rest_{suffix}"), F.col("main_0").alias(f"main_{suffix}"))
+        beside = beside.join(other, ["block", "class"], "left")
+    beside, _ = _few(beside)
+    rows = rows.join(beside, ["block", "class"])
+    own = F.when(F.col("rest"), F.pmod(F.xxhash64("node"), "rest_0")).otherwise(TILES // 2 + F.pmod(F.xxhash64("node"), "main_0"))
+    rows = rows.withColumn("mine", F.col("class") * TILES + own)
+
+    def tiles(kind: str, base: int) -> Column:
+        """The tiles of a kind, in this size class and the ones beside it."""
+        found = []
+        for shift, suffix in ((0, "0"), (1, "up"), (-1, "down")):
+            numbers = F.when(F.col(f"{kind}_{suffix}") > 0, F.sequence(F.lit(0).cast("long"), F.col(f"{kind}_{suffix}") - 1)).otherwise(F.array().cast("array<bigint>"))
+            start = (F.col("class") + shift) * TILES + base
+            found.append(F.transform(numbers, _plus(start)))
+        return F.concat(*found)
+
+    pair = lambda a, b: F.struct(a.alias("left"), b.alias("right"))
+    among = F.transform(tiles("rest", 0), lambda u: pair(F.least("mine", u), F.greatest("mine", u)))
+    across = F.transform(tiles("main", TILES // 2), lambda u: pair(F.col("mine"), u))
+    back = F.transform(tiles("rest", 0), lambda u: pair(u, F.col("mine")))
+    pairs = F.when(F.col("rest"), F.concat(among, across)).otherwise(back)
+    return rows.withColumn("pair", F.explode(pairs)).withColumn("left", F.col("pair.left")).withColumn("right", F.col("pair.right"))
+
+
+_MEMBERS = ["block", "left", "right", "mine", "node", "root", "doc", "text_key"]
+
+
+def _joined(members: DataFrame, packed: DataFrame, tasks: int) -> DataFrame:
+    """(node, root) of the sets that links join with a lesser one."""
+    large, n_large = _few(members.groupBy("block").agg(F.sum("n").alias("total")).where(F.col("total") > UNIT).select("block"))
+    whole = F.lit(WHOLE).cast("long")
+    first = members.withColumn("root", F.col("node"))
+    if not n_large:
+        small = first.select("*", whole.alias("left"), whole.alias("right"), whole.alias("mine"))
+        return _meet(small.select(_MEMBERS), packed, tasks).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    small = first.join(large, "block", "left_anti").select("*", whole.alias("left"), whole.alias("right"), whole.alias("mine"))
+    width = math.log(UNDER / OVER)
+    classed = first.join(large, "block", "left_semi").withColumn("class", F.floor(F.ln("n") / F.lit(width)).cast("long"))
+    met = _meet(small.select(_MEMBERS).unionByName(_tiled(classed).select(_MEMBERS)), packed, tasks)
+    done = met.where("whole").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = cut_lineage(components(met.where("not whole").select("a", "b")).withColumnRenamed("root", "known"))
+    classed = cut_lineage(classed.join(roots, "node", "left").withColumn("root", F.coalesce("known", "root")).drop("known"))
+    again = components(_meet(_paired(classed).select(_MEMBERS), packed, tasks).select("a", "b"))
+    last = classed.join(again.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left")
+    return done.unionByName(last.select("node", F.coalesce("last", "root").alias("root")))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id.
+    """One row for each document: doc_id, n_shingles, component_id, text_key, first.
 
     A-Z is lower-cased; words are runs of bytes without ASCII white space. A text of fewer than
     WORDS words has its word sequence as its one shingle; a text without words, null among them,
     has none, links with nothing and is its own component. component_id is the least id that
     links lead to. A null id counts as larger than all others and comes back as null, alone or
-    as a component's name only if no other id is in it. Repeated rows have equal sets. Other
-    columns are not read. An empty table gives an empty result.
+    as a component's name only if no other id is in it. Repeated rows have equal sets. text_key
+    tells the texts of one id apart; `first` marks one (id, text) of each component, with its
+    least id, and each row that repeats it. Other columns are not read. An empty table gives an
+    empty result.
     """
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(doc_key(id_col).alias("doc"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_PER_ROW * docs.count()).bit_length()))
-    repeated = repeated_shingles(rows.select("text"), bits)
-    dealt = cut_lineage(arrow_map(rows, _prefix_rows(repeated, partitions), _DEALT))
+    rows = docs.select(doc_key(id_col).alias("doc"), text_key(text).alias("text_key"), text.alias("text"))
+    n_rows, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    buckets = -(-size // BUCKET_BYTES) or 1
+    repeated = bitmap(rows.select("text"), _repeated, n_rows)
+    dealt = cut_lineage(arrow_map(rows, _prefix_rows(repeated, buckets), _DEALT))
     narrow_schema = "doc long, text_key long, node long, check long, n long"
     narrow = arrow_map(dealt.where(F.col("bucket") == _NARROW).select("ids"), _narrow_rows, narrow_schema)
-    sets = narrow.where("n > 0").groupBy("node", "check").agg(F.min(F.struct("doc", "text_key")).alias("first"), F.min("n").alias("n"))
-
-    tied = dealt.where("bucket >= 0").repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    blocks = cut_lineage(components(arrow_map(tied, _block_rows, "a long, b long")).withColumnRenamed("root", "block"))
-    members = _units(blocks.join(sets, "node")).select("pairs", "block", "mine", "node", "first.doc", "first.text_key")
-    packed = arrow_map(rows, _packed_rows, "doc long, text_key long, packed binary")
-    held = packed.join(members, ["doc", "text_key"]).withColumn("pair", F.explode("pairs"))
-    held = held.select("block", "pair.left", "pair.right", "node", "mine", "packed")
-    met = held.repartition(partitions, "block", "left", "right").sortWithinPartitions("block", "left", "right")
-    joined = components(arrow_map(met, _link_rows, "a long, b long"))
-
-    least = sets.join(joined, "node", "left").select("node", "check", F.coalesce("root", "node").alias("root"), F.col("first.doc").alias("doc"))
-    least = least.join(least.groupBy("root").agg(F.min("doc").alias("least")), "root").select("node", "check", "least")
-    named = narrow.join(least, ["node", "check"], "left")
+    sets = narrow.where("n > 0").groupBy("node", "check").agg(F.min(F.struct("doc", "text_key")).alias("least"), F.min("n").alias("n"))
+
+    tied = dealt.where("bucket >= 0").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    blocks = components(arrow_map(tied, _block_rows, "a long, b long")).withColumnRenamed("root", "block")
+    members = cut_lineage(blocks.join(sets, "node").select("block", "node", "n", "least.doc", "least.text_key"))
+    wanted = bitmap(members.select("doc", "text_key"), _wanted, members.count())
+    packed = arrow_map(rows, _packed_rows(wanted), "doc long, text_key long, packed binary")
+    joined = _joined(members, packed, buckets)
+
+    named = sets.join(joined, "node", "left").select("node", "check", F.coalesce("root", "node").alias("root"), "least")
+    firsts = named.groupBy("root").agg(F.min("least").alias("of"))
+    named = narrow.join(named.join(firsts, "root").select("node", "check", "of"), ["node", "check"], "left")
     known = lambda c: F.when(F.col(c) != F.lit((1 << 63) - 1), F.col(c))
-    return named.select(known("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce(known("least"), known("doc")).alias("component_id"))
-
+    first = F.coalesce((F.col("doc") == F.col("of.doc")) & (F.col("text_key") == F.col("of.text_key")), F.lit(True))
+    return named.select(
+        known("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("of").isNull(), known("doc")).otherwise(known("of.doc")).alias("component_id"),
+        "text_key", first.alias("first"),
+    )
 
-def _units(members: DataFrame) -> DataFrame:
-    """Adds `mine`, the unit of a set within its block, and `pairs`, those of units where it is met.
 
-    A block of up to PART sets is one unit. A larger one has classes of set sizes, each less than
-    UNDER / OVER times as wide as the one before, and PART sets to a unit of a class. Linked sets
-    are in one class or in neighbouring ones, so a unit meets its own class and the next.
-    """
-    width = math.log(UNDER / OVER)
-    total = members.groupBy("block").agg(F.count(F.lit(1)).alias("total"))
-    kind = F.when(F.col("total") > PART, F.floor(F.ln("n") / F.lit(width)).cast("long")).otherwise(F.lit(0).cast("long"))
-    classed = members.join(total, "block").withColumn("class", kind)
-    parts = classed.groupBy("block", "class").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART)).cast("long").alias("parts"))
-    after = parts.select("block", (F.col("class") - 1).alias("class"), F.col("parts").alias("parts_after"))
-    before = parts.select("block", (F.col("class") + 1).alias("class"), F.col("parts").alias("parts_before"))
-    beside = parts.join(after, ["block", "class"], "left").join(before, ["block", "class"], "left")
-    rows = classed.join(beside, ["block", "class"]).withColumn("mine", F.col("class") * UNITS + F.pmod(F.xxhash64("node"), "parts"))
-
-    def units(shift: int, count: str) -> Column:
-        """The units of a class beside this one; none if there is no such class."""
-        numbers = F.when(F.col(count) > 0, F.sequence(F.lit(0).cast("long"), F.col(count) - 1)).otherwise(F.array().cast("array<bigint>"))
-        return F.transform(numbers, lambda i: (F.col("class") + shift) * UNITS + i)
-
-    others = F.concat(units(0, "parts"), units(1, "parts_after"), units(-1, "parts_before"))
-    pair = lambda u: F.struct(F.least("mine", u).alias("left"), F.greatest("mine", u).alias("right"))
-    return rows.withColumn("pairs", F.transform(others, pair))
+def text_key(text: Column) -> Column:
+    """What tells the texts of one document id apart."""
+    return F.xxhash64(text)

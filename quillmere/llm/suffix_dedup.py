@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, chunks, cut_lineage, doc_key
+from .common import arrow_map, chunks, cut_lineage, doc_key, slices, text_bytes
 from .textscan import mix
 
 #: The length of a repeated string, and of an anchor.
@@ -32,11 +32,11 @@ COVER = (0, 1, 3, 8, 12, 18)
 #: Texts from which on an anchor's windows are dealt one by one, and log2 of the map of those.
 HOT_FROM, HOT_BITS = 20_000, 22
 #: Suffixes that are sorted at once, about.
-BLOCK = 250_000
-#: Suffix buckets for each shuffle partition.
-BUCKETS = 16
-#: Bytes of text whose anchors are sought at once.
-STEP_BYTES = 1 << 15
+BLOCK = 100_000
+#: Bytes of text whose anchors make a bucket, and whose repeated parts make a suffix bucket.
+ANCHOR_BYTES, SUFFIX_BYTES = 8 << 20, 1 << 20
+#: Bytes of text whose anchors are sought at once, and whose rows go out together.
+STEP_BYTES, SLICE_BYTES = 1 << 15, 8 << 20
 _HEAD = 32  # bytes sorted before ties go to the cover's ranks; PERIOD at least
 
 
@@ -88,46 +88,51 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return heads, np.diff(np.concatenate([heads, [len(values)]]))
 
 
+def _cuts(values: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the runs of equal values."""
+    edges = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]])).tolist() if len(values) else []
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
 def _anchor_rows(buckets: int, targets: int):
-    """(text key, text) to rows of anchors, combined within the batch.
+    """(text key, text) to rows of anchors, combined within a slice of the batch.
 
-    However many texts of a batch have an anchor, its bucket hears of two.
+    However many texts of a slice have an anchor, its bucket hears of two.
     """
 
+    def some_rows(batch: pa.RecordBatch) -> list[tuple]:
+        text_keys = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
+        ids, keys = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for row, _, data, bounds in chunks(batch.column(1), STEP_BYTES):
+            found, place, _, _ = anchors(data, bounds)
+            ids.append(_short(found, buckets))
+            keys.append(text_keys[np.searchsorted(bounds, place, "right") - 1 + row])
+        ids, keys = np.concatenate(ids), np.concatenate(keys)
+        order = np.lexsort((keys, ids))
+        ids, keys = ids[order], keys[order]
+        fresh = np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])[: len(ids)]
+        ids, keys = ids[fresh], keys[fresh]
+        heads, sizes = _runs(ids)
+        several = np.repeat(sizes > 1, sizes)
+        out = [(_KNOWN, (target * 7919 + len(ids)) % buckets, *blobs) for target, *blobs in _by_target(keys[several], ids[several], targets)]
+        one_ids, one_keys = ids[~several], keys[~several]
+        order = np.lexsort((one_keys, one_ids >> np.uint64(32)))
+        one_ids, one_keys = one_ids[order], one_keys[order]
+        for start, end in _cuts(one_ids >> np.uint64(32)):
+            starts, counts = _runs(one_keys[start:end])
+            out.append((_SINGLE, int(one_ids[start] >> np.uint64(32)), one_keys[start:end][starts].tobytes(), counts.astype("<u4").tobytes(), one_ids[start:end].astype("<u4").tobytes()))
+        many, many_sizes = heads[sizes > 1], sizes[sizes > 1]
+        for start, end in _cuts(ids[many] >> np.uint64(32)):
+            some = many[start:end]
+            two = np.stack([keys[some], keys[some + 1]], axis=1)
+            out.append((_SEVERAL, int(ids[some[0]] >> np.uint64(32)), two.tobytes(), many_sizes[start:end].astype("<u4").tobytes(), ids[some].astype("<u4").tobytes()))
+        return out
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text_keys = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
-            ids, keys = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for row, _, data, bounds in chunks(batch.column(1), STEP_BYTES):
-                found, place, _, _ = anchors(data, bounds)
-                ids.append(_short(found, buckets))
-                keys.append(text_keys[np.searchsorted(bounds, place, "right") - 1 + row])
-            ids, keys = np.concatenate(ids), np.concatenate(keys)
-            order = np.lexsort((keys, ids))
-            ids, keys = ids[order], keys[order]
-            fresh = np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])[: len(ids)]
-            ids, keys = ids[fresh], keys[fresh]
-            heads, sizes = _runs(ids)
-            several = np.repeat(sizes > 1, sizes)
-            out = [(_KNOWN, (target * 7919 + len(ids)) % buckets, *blobs) for target, *blobs in _by_target(keys[several], ids[several], targets)]
-            one_ids, one_keys = ids[~several], keys[~several]
-            order = np.lexsort((one_keys, one_ids >> np.uint64(32)))
-            one_ids, one_keys = one_ids[order], one_keys[order]
-            edges = np.searchsorted(one_ids >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
-            many = heads[sizes > 1]
-            many_sizes = sizes[sizes > 1]
-            many_edges = np.searchsorted(ids[many] >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
-            for b in range(buckets):
-                part = one_keys[edges[b] : edges[b + 1]]
-                if len(part):
-                    starts, counts = _runs(part)
-                    out.append((_SINGLE, b, part[starts].tobytes(), counts.astype("<u4").tobytes(), one_ids[edges[b] : edges[b + 1]].astype("<u4").tobytes()))
-                some, weights = many[many_edges[b] : many_edges[b + 1]], many_sizes[many_edges[b] : many_edges[b + 1]]
-                if len(some):
-                    two = np.stack([keys[some], keys[some + 1]], axis=1)
-                    out.append((_SEVERAL, b, two.tobytes(), weights.astype("<u4").tobytes(), ids[some].astype("<u4").tobytes()))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ANCHOR_SCHEMA, strict=True)], schema=_ANCHOR_SCHEMA)
+            for some in slices(batch, 1, SLICE_BYTES):
+                columns = list(zip(*some_rows(some), strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ANCHOR_SCHEMA, strict=True)], schema=_ANCHOR_SCHEMA)
 
     return rows
 
@@ -137,24 +142,23 @@ def _by_target(keys: np.ndarray, ids: np.ndarray, targets: int) -> Iterator[tupl
     order = np.lexsort((keys, keys % targets))
     keys, ids = keys[order], ids[order]
     target = keys % targets
-    edges = np.searchsorted(target, np.arange(targets + 1))
-    for t in np.unique(target).tolist():
-        part = keys[edges[t] : edges[t + 1]]
-        heads, counts = _runs(part)
-        yield t, part[heads].tobytes(), counts.astype("<u4").tobytes(), ids[edges[t] : edges[t + 1]].astype("<u8").tobytes()
+    for start, end in _cuts(target):
+        heads, counts = _runs(keys[start:end])
+        yield int(target[start]), keys[start:end][heads].tobytes(), counts.astype("<u4").tobytes(), ids[start:end].astype("<u8").tobytes()
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    """The rows of one bucket after another, from batches sorted by bucket."""
+def by_bucket(batches: Iterator[pa.RecordBatch], key: str = "bucket") -> Iterator[tuple[int, list[dict]]]:
+    """The rows of one bucket after another, from batches sorted by bucket; few rows are unpacked at once."""
     held: list[dict] = []
     for batch in batches:
-        for row in batch.to_pylist():
-            if held and held[0]["bucket"] != row["bucket"]:
-                yield held[0]["bucket"], held
-                held = []
-            held.append(row)
+        for at in range(0, len(batch), 256):
+            for row in batch.slice(at, 256).to_pylist():
+                if held and held[0][key] != row[key]:
+                    yield held[0][key], held
+                    held = []
+                held.append(row)
     if held:
-        yield held[0]["bucket"], held
+        yield held[0][key], held
 
 
 _SHARED_SCHEMA = pa.schema([("target", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
@@ -165,7 +169,7 @@ def _shared_rows(targets: int, hot_from: int):
     """The anchors that two texts have: a row for each target, and one of ids that very many have."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, held in _by_bucket(batches):
+        for bucket, held in by_bucket(batches):
             out = [(int(np.frombuffer(r["keys"], "<i8")[0] % targets), r["keys"], r["counts"], r["ids"]) for r in held if r["kind"] == _KNOWN]
             keys, ids, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for r in held:
@@ -210,29 +214,39 @@ def _hot_place(ids: np.ndarray) -> np.ndarray:
 
 
 def _gathered_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text key, all its shared anchors) from the rows of one target's texts."""
-    keys, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for batch in batches:
-        for row in batch.to_pylist():
-            keys.append(np.repeat(np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["counts"], "<u4")))
-            ids.append(np.frombuffer(row["ids"], "<u8"))
-    keys, ids = np.concatenate(keys), np.concatenate(ids)
-    order = np.argsort(keys, kind="stable")
-    keys, ids = keys[order], ids[order]
-    heads = np.flatnonzero(np.concatenate([[True], np.diff(keys) != 0]))[: len(keys)]
-    ends = np.concatenate([heads[1:], [len(keys)]])[: len(heads)]
-    for at in range(0, len(heads), 10_000):
-        some = slice(at, at + 10_000)
-        blobs = [ids[i:j].astype("<u8").tobytes() for i, j in zip(heads[some].tolist(), ends[some].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(keys[heads[some]], pa.int64()), pa.array(blobs, pa.binary())], ["key", "shared"])
+    """(text key, all its shared anchors) from the rows of each target's texts, one target after another."""
+    for _, rows in by_bucket(batches, "target"):
+        keys = np.concatenate([np.repeat(np.frombuffer(r["keys"], "<i8"), np.frombuffer(r["counts"], "<u4")) for r in rows])
+        ids = np.concatenate([np.frombuffer(r["ids"], "<u8") for r in rows])
+        order = np.argsort(keys, kind="stable")
+        keys, ids = keys[order], ids[order]
+        cuts = _cuts(keys)
+        for at in range(0, len(cuts), 1_000):
+            some = cuts[at : at + 1_000]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[[i for i, _ in some]], pa.int64()), pa.array([ids[i:j].astype("<u8").tobytes() for i, j in some], pa.binary())], ["key", "shared"])
 
 
 def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, key, text) with the text's bytes compressed, as they are to be shuffled."""
     press = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        packed = [press.compress((t or "").encode()) for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc", "key", "packed"])
+        for some in slices(batch, 2, SLICE_BYTES):
+            packed = [press.compress((t or "").encode()) for t in some.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(packed, pa.binary())], ["doc", "key", "packed"])
+
+
+def _unpacked(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """The batch in runs of rows whose unpacked texts have about SLICE_BYTES, with those texts."""
+    held, start, size = [], 0, 0
+    for row, packed in enumerate(batch.column(column)):
+        raw = zstandard.decompress(packed.as_py())
+        if held and size + len(raw) > SLICE_BYTES:
+            yield batch.slice(start, row - start), held
+            held, start, size = [], row, 0
+        held.append(raw)
+        size += len(raw)
+    if held:
+        yield batch.slice(start), held
 
 
 def _segment_rows(buckets: int, suffix_buckets: int, hot_bits: bytes | None):
@@ -245,54 +259,57 @@ def _segment_rows(buckets: int, suffix_buckets: int, hot_bits: bytes | None):
     """
     hot = None if hot_bits is None else np.unpackbits(np.frombuffer(hot_bits, np.uint8)).astype(bool)
 
+    def some_rows(batch: pa.RecordBatch, raws: list[bytes]) -> list[tuple]:
+        docs, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        shared = batch.column(3)
+        groups: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
+        for row, end, data, bounds in chunks(pa.array(raws, pa.large_binary()), STEP_BYTES):
+            ids, place, first, last = anchors(data, bounds)
+            if not len(ids):
+                continue
+            short = _short(ids, buckets)
+            deal = (mix(ids) % np.uint64(suffix_buckets)).astype(np.int64).tolist()
+            parted = np.zeros(len(ids), bool) if hot is None else hot[_hot_place(short)]
+            owner = np.searchsorted(bounds, place, "right") - 1
+            edges = np.searchsorted(owner, np.arange(end - row + 1))
+            raw = data.tobytes()
+            for i in range(end - row):
+                part = slice(edges[i], edges[i + 1])
+                wanted = np.frombuffer(shared[row + i].as_buffer(), "<u8")
+                hit = np.flatnonzero(np.isin(short[part], wanted)) + edges[i]
+                base = int(bounds[i])
+                for j, lo, hi in zip(hit.tolist(), first[hit].tolist(), last[hit].tolist(), strict=True):
+                    if parted[j]:
+                        for at in range(lo, hi + 1):
+                            window = raw[at : at + LENGTH]
+                            groups.setdefault(zlib.crc32(window) % suffix_buckets, {}).setdefault(window, []).append((row + i, at - base))
+                    else:
+                        groups.setdefault(deal[j], {}).setdefault(raw[lo : hi + LENGTH], []).append((row + i, lo - base))
+        out = []
+        whole: dict[int, list[int]] = {}
+        for b, contents in groups.items():
+            owners_, places, sent = [], [], []
+            for content, held in contents.items():
+                least = min(docs[i] for i, _ in held)
+                for i, lo in held:
+                    if docs[i] > least:
+                        whole.setdefault(i, []).extend((lo, lo + len(content)))
+                    else:
+                        owners_.append(i)
+                        places.append(lo)
+                        sent.append(content)
+            ids_of = [np.array([column[i] for i in owners_], "<i8").tobytes() for column in (docs, keys)]
+            out.append((b, *ids_of, np.array(places, "<i8").tobytes(), np.array([len(c) for c in sent], "<i8").tobytes(), zstandard.compress(b"".join(sent))))
+        for i, spans in whole.items():
+            out.append((-1, *(np.array([c[i]], "<i8").tobytes() for c in (docs, keys)), np.array(spans, "<i8").tobytes(), b"", b""))
+        return out
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            shared = batch.column(3).to_pylist()
-            texts = pa.array([zstandard.decompress(p) for p in batch.column(2).to_pylist()], pa.large_binary())
-            groups: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
-            for row, end, data, bounds in chunks(texts, STEP_BYTES):
-                ids, place, first, last = anchors(data, bounds)
-                if not len(ids):
-                    continue
-                short = _short(ids, buckets)
-                deal = (mix(ids) % np.uint64(suffix_buckets)).astype(np.int64).tolist()
-                parted = np.zeros(len(ids), bool) if hot is None else hot[_hot_place(short)]
-                owner = np.searchsorted(bounds, place, "right") - 1
-                edges = np.searchsorted(owner, np.arange(end - row + 1))
-                raw = data.tobytes()
-                for i in range(end - row):
-                    part = slice(edges[i], edges[i + 1])
-                    wanted = np.frombuffer(shared[row + i], "<u8")
-                    hit = np.flatnonzero(np.isin(short[part], wanted)) + edges[i]
-                    base = int(bounds[i])
-                    for j, lo, hi in zip(hit.tolist(), first[hit].tolist(), last[hit].tolist(), strict=True):
-                        if parted[j]:
-                            for at in range(lo, hi + 1):
-                                window = raw[at : at + LENGTH]
-                                groups.setdefault(zlib.crc32(window) % suffix_buckets, {}).setdefault(window, []).append((row + i, at - base))
-                        else:
-                            groups.setdefault(deal[j], {}).setdefault(raw[lo : hi + LENGTH], []).append((row + i, lo - base))
-            out = []
-            whole: dict[int, list[int]] = {}
-            for b, contents in groups.items():
-                owners_, places, sent = [], [], []
-                for content, held in contents.items():
-                    least = min(docs[i] for i, _ in held)
-                    for i, lo in held:
-                        if docs[i] > least:
-                            whole.setdefault(i, []).extend((lo, lo + len(content)))
-                        else:
-                            owners_.append(i)
-                            places.append(lo)
-                            sent.append(content)
-                ids_of = [np.array([column[i] for i in owners_], "<i8").tobytes() for column in (docs, keys)]
-                out.append((b, *ids_of, np.array(places, "<i8").tobytes(), np.array([len(c) for c in sent], "<i8").tobytes(), zstandard.compress(b"".join(sent))))
-            for i, spans in whole.items():
-                out.append((-1, *(np.array([c[i]], "<i8").tobytes() for c in (docs, keys)), np.array(spans, "<i8").tobytes(), b"", b""))
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            types = [pa.int32(), *[pa.binary()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "docs", "keys", "places", "sizes", "bytes"])
+            for some, raws in _unpacked(batch, 2):
+                columns = list(zip(*some_rows(some, raws), strict=True)) or [()] * 6
+                types = [pa.int32(), *[pa.binary()] * 5]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "docs", "keys", "places", "sizes", "bytes"])
 
     return rows
 
@@ -309,6 +326,8 @@ def _meeting() -> np.ndarray:
 
 
 _MEETING = _meeting()
+#: Which of the cover's residues a position's is.
+_COVER_NTH = np.array([sum(c < r for c in COVER) for r in range(PERIOD)])
 
 
 class SuffixSorter:
@@ -317,34 +336,39 @@ class SuffixSorter:
     Each segment's end counts as a letter below all bytes, lower in earlier segments, so no two
     suffixes are equal. The cover's positions are ranked beforehand. A block of suffixes is then
     sorted by its first bytes, and ties, however long, by the ranks of the cover's positions at
-    the first step where both suffixes stand on the cover: memory is bounded by the block.
+    the first step where both suffixes stand on the cover. What is held for each byte is the
+    byte, its segment's number, and a rank for the share of the cover (under 7 bytes in all); sort
+    keys are taken from the bytes for a block at a time.
     """
 
     def __init__(self, data: np.ndarray, stops: np.ndarray) -> None:
         """data: the segments, each followed by a zero byte; stops: the places of those."""
         self.size = len(data)
-        padded = np.concatenate([data, np.zeros(8 + _HEAD, np.uint8)]).astype(np.uint64)
-        self.words = np.zeros(self.size + _HEAD, np.uint64)
-        for byte in range(8):
-            self.words = self.words << np.uint64(8) | padded[byte : byte + len(self.words)]
-        ends = np.zeros(self.size, np.int64)
-        ends[stops] = 1
-        self.segment = np.cumsum(ends) - ends
+        self.padded = np.zeros(self.size + 2 * _HEAD, np.uint8)
+        self.padded[: self.size] = data
+        # the eight bytes from any place on, as a number; a view of the bytes, not a copy
+        self.words = np.ndarray(self.size + _HEAD, ">u8", self.padded.data, strides=(1,))
         self.stops = stops
-        self.rank = np.full(self.size + PERIOD, -1, np.int64)
+        self.segment = np.repeat(np.arange(len(stops), dtype=np.int32), np.diff(np.concatenate([[-1], stops])))
+        self.rank = np.zeros(0, np.int32)
         self._rank_cover()
 
     def word(self, at: np.ndarray, nth: int) -> np.ndarray:
         """The nth eight bytes of suffixes, zeros after the segment's end."""
         start = at + 8 * nth
         left = self.stops[self.segment[at]] - start
-        value = self.words[np.minimum(start, self.size + _HEAD - 1)]
+        value = self.words[np.minimum(start, self.size + _HEAD - 1)].astype(np.uint64)
         drop = np.clip(8 - left, 0, 8).astype(np.uint64) * np.uint64(8)
         return np.where(left <= 0, np.uint64(0), value >> np.minimum(drop, np.uint64(63)) << np.minimum(drop, np.uint64(63)))
 
+    def cover_rank(self, at: np.ndarray) -> np.ndarray:
+        """The ranks of positions on the cover; -1 from the end on."""
+        return self.rank[at // PERIOD * len(COVER) + _COVER_NTH[at % PERIOD]]
+
     def _rank_cover(self) -> None:
         """Ranks of the cover's positions, comparing eight bytes more of those still tied."""
-        at = np.flatnonzero(np.isin(np.arange(PERIOD), COVER)[np.arange(self.size) % PERIOD])
+        at = (np.arange(-(-self.size // PERIOD), dtype=np.int64)[:, None] * PERIOD + np.array(COVER)).reshape(-1)
+        at = at[at < self.size]
         longest = int((self.stops[self.segment[at]] - at).max(initial=0))
         opens = np.zeros(len(at) + 1, bool)  # where a group of equal beginnings begins
         opens[[0, -1]] = True
@@ -361,7 +385,8 @@ class SuffixSorter:
         # the shorter of two with the same bytes comes first, then the earlier
         left = self.stops[self.segment[at[tied]]] - at[tied]
         at[tied] = at[tied][np.lexsort((at[tied], left, np.cumsum(opens[:-1])[tied]))]
-        self.rank[at] = np.arange(len(at))
+        self.rank = np.full((self.size // PERIOD + 2) * len(COVER), -1, np.int32)
+        self.rank[at // PERIOD * len(COVER) + _COVER_NTH[at % PERIOD]] = np.arange(len(at), dtype=np.int32)
 
     def sort(self, at: np.ndarray) -> np.ndarray:
         """The suffixes in order."""
@@ -387,7 +412,7 @@ class SuffixSorter:
             mine = at[where]
             step = _MEETING[mine % PERIOD, pivot % PERIOD]
             part = np.zeros(len(at), np.int64)
-            part[where] = np.sign(self.rank[mine + step] - self.rank[pivot + step])
+            part[where] = np.sign(self.cover_rank(mine + step) - self.cover_rank(pivot + step))
             order = np.lexsort((part, group))
             at, group, part = at[order], group[order], part[order]
             group = np.cumsum(np.concatenate([[False], (np.diff(group) != 0) | (np.diff(part) != 0)]))
@@ -398,7 +423,7 @@ class SuffixSorter:
         out[:1] = False
         for start in range(0, length, 8):
             keep = np.uint64(8 * max(0, start + 8 - length))
-            value = self.words[at + start] >> keep
+            value = self.words[at + start].astype(np.uint64) >> keep
             out[1:] &= value[1:] == value[:-1]
         return out
 
@@ -411,13 +436,24 @@ def repeated_windows(docs: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> n
     inside[stops] = False
     joined[inside] = data
     sorter = SuffixSorter(joined, stops)
-    all_at = np.flatnonzero(np.repeat(stops, sizes + 1) - np.arange(len(joined)) >= LENGTH)
     repeated = np.zeros(len(joined), bool)
-    lead = sorter.words[all_at]
-    cuts = np.unique(np.quantile(lead, np.linspace(0, 1, max(2, 1 + len(lead) // BLOCK)), method="nearest")) if len(lead) else []
-    bucket = np.searchsorted(cuts, lead, "right")
-    for b in np.unique(bucket):
-        at = sorter.sort(all_at[bucket == b])
+    # the suffixes that hold a window, as runs of each segment
+    full = np.flatnonzero(sizes >= LENGTH)
+    first, count = (stops - sizes)[full], (sizes - LENGTH + 1)[full]
+    total = int(count.sum())
+    if not total:
+        return repeated[inside]
+    all_at = (np.repeat(first - (np.cumsum(count) - count), count) + np.arange(total)).astype(np.int32)
+    blocks = -(-total // BLOCK)
+    lead = lambda at: sorter.words[at].astype(np.uint64)
+    cuts = np.unique(np.quantile(lead(all_at[:: max(1, total // (1_000 * blocks))]), np.linspace(0, 1, blocks + 1)[1:-1], method="nearest")) if blocks > 1 else np.zeros(0, np.uint64)
+    bucket = np.empty(total, np.uint16)
+    for at in range(0, total, BLOCK):
+        bucket[at : at + BLOCK] = np.searchsorted(cuts, lead(all_at[at : at + BLOCK]), "right")
+    for b in range(len(cuts) + 1):
+        at = sorter.sort(all_at[bucket == b].astype(np.int64))
+        if not len(at):
+            continue
         heads = np.flatnonzero(~sorter.same(at, LENGTH))
         doc = docs[sorter.segment[at]]
         least = np.repeat(np.minimum.reduceat(doc, heads), np.diff(np.concatenate([heads, [len(at)]])))
@@ -428,7 +464,7 @@ def repeated_windows(docs: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> n
 def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, key, spans of the text that are to go), for each suffix bucket."""
     schema = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("spans", pa.binary())])
-    for bucket, rows in _by_bucket(batches):
+    for bucket, rows in by_bucket(batches):
         docs, keys, places, sizes = (np.concatenate([np.frombuffer(r[c], "<i8") for r in rows]) for c in ("docs", "keys", "places", "sizes"))
         if bucket < 0:
             spans = [r["places"] for r in rows]
@@ -479,10 +515,9 @@ def _removal(as_text: bool):
     """as_text: what is left comes as text, without the parts of characters that a cut has left."""
 
     def removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, raws in ((some, raws) for batch in batches for some, raws in _unpacked(batch, 2)):
             out = []
-            for doc, key, packed, copy, spans in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                raw = zstandard.decompress(packed)
+            for doc, key, raw, copy, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raws, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 if copy and len(raw) >= LENGTH:
                     gone = [(0, len(raw))]
                 elif copy or not spans:
@@ -525,29 +560,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are dealt once, by id and digest; both later passes read that exchange.
     """
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(doc_key(id_col).alias("doc"), F.unhex(F.sha2(text, 256)).alias("sha"), text.alias("text"))
     rows = rows.withColumn("key", F.xxhash64("sha"))
+    size = text_bytes(rows)
+    buckets, suffix_buckets = -(-size // ANCHOR_BYTES) or 1, -(-size // SUFFIX_BYTES) or 1
     narrow = rows.select("doc", "key", "sha")
     least = narrow.groupBy("sha").agg(F.min("doc").alias("least"), F.first("key").alias("key"))
     info = narrow.distinct().join(least.select("sha", "least"), "sha").select("doc", "key", (F.col("least") < F.col("doc")).alias("copy"))
 
-    dealt = arrow_map(rows.select("key", "text"), _anchor_rows(partitions, partitions), _ANCHORS)
-    dealt = dealt.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    found = cut_lineage(arrow_map(dealt, _shared_rows(partitions, hot_from), "target int, keys binary, counts binary, ids binary"))
+    dealt = arrow_map(rows.select("key", "text"), _anchor_rows(buckets, buckets), _ANCHORS)
+    dealt = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    found = cut_lineage(arrow_map(dealt, _shared_rows(buckets, hot_from), "target int, keys binary, counts binary, ids binary"))
     # a bitmap of fixed size, whatever the number of hot anchors
     bits = arrow_map(found.where(F.col("target") == _HOT).select("ids").repartition(1), _hot_bits, "bits binary").collect()
     hot = bytes(bits[0]["bits"]) if bits and any(bits[0]["bits"]) else None
-    shared = arrow_map(found.where("target >= 0").repartition(partitions, "target"), _gathered_rows, "key long, shared binary")
+    shared = found.where("target >= 0").repartition(buckets, "target").sortWithinPartitions("target")
+    shared = arrow_map(shared, _gathered_rows, "key long, shared binary")
     places = shared.join(least.select("key", F.col("least").alias("doc")), "key")
 
-    texts = arrow_map(rows.select("doc", "key", "text"), _packed_rows, "doc long, key long, packed binary").repartition(partitions, "doc", "key")
+    texts = arrow_map(rows.select("doc", "key", "text"), _packed_rows, "doc long, key long, packed binary").repartition(buckets, "doc", "key")
     around = texts.join(places, ["doc", "key"]).select("doc", "key", "packed", "shared")
-    segments = arrow_map(around, _segment_rows(partitions, BUCKETS * partitions, hot), "bucket int, docs binary, keys binary, places binary, sizes binary, bytes binary")
+    segments = arrow_map(around, _segment_rows(buckets, suffix_buckets, hot), "bucket int, docs binary, keys binary, places binary, sizes binary, bytes binary")
     salt = F.when(F.col("bucket") < 0, F.xxhash64("docs", "keys")).otherwise(F.lit(0))
-    segments = segments.withColumn("salt", salt).repartition(partitions, "bucket", "salt").drop("salt").sortWithinPartitions("bucket")
+    segments = segments.withColumn("salt", salt).repartition(buckets, "bucket", "salt").drop("salt").sortWithinPartitions("bucket")
     spans = arrow_map(segments, _span_rows, "doc long, key long, spans binary").groupBy("doc", "key").agg(F.collect_list("spans").alias("spans"))
 
     judged = texts.join(info, ["doc", "key"]).join(spans, ["doc", "key"], "left").select("doc", "key", "packed", "copy", "spans")

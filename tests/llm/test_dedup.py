@@ -11,6 +11,8 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from quillmere.llm import exact_dedup, jaccard_join, suffix_dedup
 from quillmere.llm.components import components
 from quillmere.llm.jaccard_join import CountTree, linked
@@ -145,16 +147,49 @@ def near_rows(seed):
     return rows + rows[10:12] + [(1_000, rows[20][1])]
 
 
-@pytest.mark.parametrize("part", [4_096, 3])
-def test_jaccard_join(frame, monkeypatch, part):
-    monkeypatch.setattr(jaccard_join, "PART", part)
-    rows = near_rows(part)
-    assert rows_of(jaccard_join.similar_groups(frame(rows))) == brute_groups(rows)
+def groups_of(df):
+    return rows_of(jaccard_join.similar_groups(df).select("doc_id", "n_shingles", "component_id"))
+
+
+def chain_rows(seed):
+    """One large block: a large group, sets that are near it but not linked, and small groups among those."""
+    draw = random.Random(seed)
+    base = [str(draw.random()) for _ in range(120)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for at in draw.sample(range(0, 120, 6), draw.choice([0, 1, 1, 2, 3, 4])):
+            words[at] = draw.choice("abc") + str(at)
+        rows.append((draw.randrange(1_000) * 100 + i, " ".join(words[draw.randint(0, 6) :])))
+    return rows
+
+
+@pytest.mark.parametrize(("unit", "leaders"), [(1 << 18, 1 << 15), (300, 150), (100, 10)])
+def test_jaccard_join(frame, monkeypatch, unit, leaders):
+    monkeypatch.setattr(jaccard_join, "UNIT", unit)
+    monkeypatch.setattr(jaccard_join, "LEADERS", leaders)
+    rows = near_rows(unit % 7) + [(d + 10_000, t) for d, t in chain_rows(unit)]
+    assert groups_of(frame(rows)) == brute_groups(rows)
 
 
 def test_jaccard_join_of_odd_rows_and_of_nothing(frame, odd_rows):
-    assert rows_of(jaccard_join.similar_groups(frame(odd_rows))) == brute_groups(odd_rows)
-    assert rows_of(jaccard_join.similar_groups(frame([]))) == []
+    assert groups_of(frame(odd_rows)) == brute_groups(odd_rows)
+    assert groups_of(frame([])) == []
+
+
+def test_jaccard_join_marks_one_text_of_each_component(frame):
+    copy = " ".join(map(str, range(60)))
+    rows = [(1, copy), (5, copy + " extra"), (5, "quite other words stand here now"), (None, ""), (7, None), (9, copy), (9, copy)]
+    found = [(r.doc_id, r.component_id, r.first) for r in jaccard_join.similar_groups(frame(rows)).collect()]
+    assert sorted(found, key=repr) == sorted([(1, 1, True), (5, 1, False), (5, 5, True), (None, None, True), (7, 7, True), (9, 1, False), (9, 1, False)], key=repr)
+
+
+def test_sorter_holds_few_bytes_for_each_suffix():
+    data = np.random.default_rng(0).integers(0, 3, 2_000_000).astype(np.uint8)
+    stops = np.arange(99, 2_000_000, 100)
+    data[stops] = 0
+    sorter = suffix_dedup.SuffixSorter(data, stops)
+    assert sum(x.nbytes for x in (sorter.padded, sorter.segment, sorter.rank, sorter.stops)) < 7 * len(data)
 
 
 def test_count_tree_misses_no_partner():
