@@ -26,7 +26,7 @@ def test_columns_and_rows(spark, sf_dir, name):
     found = queries.QUERIES[name](spark, sf_dir)
     kinds = [f"{c}:{t}" for c, t in found.dtypes]
     assert kinds[: len(COLUMNS.get(name, []))] == COLUMNS.get(name, [])
-    if name not in ("op1_packing", "pipeline"):
+    if name != "op1_packing":
         assert found.select("doc_id").distinct().count() == found.count() == 200
     if name in queries.ORACLE_SQL:
         assert found.count() == 200
