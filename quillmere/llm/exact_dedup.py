@@ -13,6 +13,8 @@ from .common import arrow_map
 _MASK = (1 << 64) - 1
 #: Slots in a bucket of the filter, and moves tried before it counts as full.
 SLOTS, MOST_KICKS = 4, 200
+#: Live digests that an index holds before it hands them on and begins anew (about 35 MB).
+MOST_LIVE = 100_000
 
 
 class CuckooIndex:
@@ -95,13 +97,27 @@ class CuckooIndex:
 _PARTIAL = "digest binary, keep_id long, group_size long"
 
 
+def _rows(index: CuckooIndex) -> pa.RecordBatch:
+    rows = list(index.entries())
+    arrays = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.binary(), pa.int64(), pa.int64()))]
+    return pa.RecordBatch.from_arrays(arrays, ["digest", "keep_id", "group_size"])
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each digest of the partition; size 0 withdraws the document keep_id."""
+    """Rows merged by digest; of a partition that is sorted by digest, one row for each.
+
+    The index is handed on when it holds MOST_LIVE digests and a new one comes. In sorted rows
+    all those of the earlier digests have then been seen; in others a digest may come again, and
+    its rows meet by digest later. So memory is bounded whatever the partition holds.
+    """
     index = CuckooIndex()
     for batch in batches:
         for digest, doc, size in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             live = index.find(digest)
             if live is None:
+                if index.size >= MOST_LIVE:
+                    yield _rows(index)
+                    index = CuckooIndex()
                 index.insert([digest, doc, size])
             elif doc is not None and (live[1] is None or doc > live[1]):
                 # the later document takes over: the live entry goes, its successor comes
@@ -109,13 +125,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 index.insert([digest, doc, live[2] + size])
             else:
                 live[2] += size
-    rows = list(index.entries())
-    for at in range(0, len(rows), 50_000):
-        part = rows[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in part], pa.binary()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.int64())],
-            ["digest", "keep_id", "group_size"],
-        )
+    yield _rows(index)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,7 +142,7 @@ def live_groups(keyed: DataFrame) -> DataFrame:
     """
     rows = keyed.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     partial = arrow_map(rows, _merge, _PARTIAL)
-    return arrow_map(partial.repartition("digest"), _merge, _PARTIAL)
+    return arrow_map(partial.repartition("digest").sortWithinPartitions("digest"), _merge, _PARTIAL)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

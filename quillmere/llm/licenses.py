@@ -161,6 +161,24 @@ def within_band(template: np.ndarray, text: np.ndarray, diagonal: int) -> int:
     return int(found.sum())
 
 
+def matches_in(template: np.ndarray, hashes: np.ndarray, from_word: int, to_word: int, diagonal: int, least: float) -> list[tuple[int, int, int]]:
+    """(matched words, first, end) of all matches in a stretch of the text that don't overlap.
+
+    A short template may stand several times within one band: what is left before and after a
+    match is aligned again.
+    """
+    out, stack = [], [(from_word, to_word)]
+    while stack:
+        start, stop = stack.pop()
+        if stop - start < least * len(template) or within_band(template, hashes[start:stop], diagonal - start) < least * len(template):
+            continue
+        matched, begin, end = align(template, hashes[start:stop], diagonal - start)
+        if matched >= least * len(template) and end > begin:
+            out.append((matched, start + begin, start + end))
+            stack += [(start, start + begin), (start + end, stop)]
+    return out
+
+
 def scan(index: Index, data: np.ndarray, bounds: np.ndarray, least: float = LEAST_COVERAGE) -> list[list[dict]]:
     """For each text its matches: license, coverage, and the span in bytes.
 
@@ -189,9 +207,8 @@ def scan(index: Index, data: np.ndarray, bounds: np.ndarray, least: float = LEAS
             taken[number] = diagonal
             from_word = max(lo, diagonal - 2 * BAND)
             to_word = min(hi, diagonal + len(template) + 2 * BAND)
-            matched, begin, end = align(template, hashes[from_word:to_word], diagonal - from_word)
-            if matched >= least * len(template):
-                found.append((end - begin - 2 * matched, from_word + begin, number, from_word + end, matched / len(template)))
+            for matched, begin, end in matches_in(template, hashes, from_word, to_word, diagonal, least):
+                found.append((end - begin - 2 * matched, begin, number, end, matched / len(template)))
         used: list[tuple[int, int]] = []
         for _, begin, number, end, coverage in sorted(found):
             if end > begin and all(end <= a or begin >= b for a, b in used):
