@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ MAX_TOKENS = 2048
 # For texts of these characters alone, both tokenizer libraries cut alike whatever their version
 # of Unicode; texts with others go to `tokenizers`.
 _PLAIN = re.compile(r"[\n\x20-\x7E\xA1-\u024F]*")
+#: What a tokenizers file must cut as PATTERN does to take the fast way.
+_SAMPLE = "It's  a test, isn't it?\n\n  We'll see 12345 caf\u00e9s -- don't \u00bd!!x_y\n z" + "".join(f"a{chr(c)} {chr(c)}1" for c in (*range(32, 127), *range(0xA1, 0x250)))
 
 
 class Ids:
@@ -29,16 +32,19 @@ class Ids:
     Plain texts take the fast way: the file's own vocabulary as ranks in `tiktoken`. That gives
     the same ids. Two neighbours that join to a token T cover T's bytes with no merge over their
     edges, so they came about as they would in T alone; if T alone becomes T, its last merge is
-    theirs. It is checked that each token of the vocabulary does (`agrees`).
+    theirs. The driver checks once that each token of the vocabulary does, and that the file cuts
+    texts by the same pattern (`agrees`); a file that doesn't pass, and texts that hold one of its
+    added tokens, are left to `tokenizers`.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, fast_agrees: bool = True) -> None:
+        self.fast_agrees = fast_agrees
         import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.added = re.compile("|".join(map(re.escape, sorted(added))) or r"(?!)")
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.shown = byte_characters()
         byte_of = {c: b for b, c in enumerate(self.shown)}
@@ -46,12 +52,15 @@ class Ids:
         self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if _PLAIN.fullmatch(text):
+        if self.fast_agrees and _PLAIN.fullmatch(text) and not self.added.search(text):
             return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def agrees(self) -> bool:
-        """Whether the file's own merges turn the bytes of each token into that token."""
+        """Whether the file cuts a sample as PATTERN does, and its merges turn the bytes of each token into that token."""
+        cut = [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(_SAMPLE)] if self.tokenizer.pre_tokenizer else []
+        if self.tokenizer.normalizer or cut != ["".join(self.shown[b] for b in piece.encode()) for piece in regex.findall(PATTERN, _SAMPLE)]:
+            return False
         tokenize = self.tokenizer.model.tokenize
         return all([x.id for x in tokenize("".join(self.shown[b] for b in token))] == [rank] for token, rank in self.ranks.items())
 
@@ -67,17 +76,22 @@ def byte_characters() -> list[str]:
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str) -> Ids:
+def _tokenizer(path: str, fast_agrees: bool) -> Ids:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    return Ids(path)
+    return Ids(path, fast_agrees)
+
+
+@lru_cache(maxsize=4)
+def _agrees(path: str) -> bool:
+    return Ids(path).agrees()
 
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _cut(path: str, end_id: int, most: int):
+def _cut(path: str, end_id: int, most: int, fast_agrees: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
+        tokenizer = _tokenizer(path, fast_agrees)
         end = np.array([end_id], "<u4")
         for batch in batches:
             out: list[tuple] = []
@@ -100,7 +114,7 @@ def _cut(path: str, end_id: int, most: int):
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, most: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's ids and the end id, cut into pieces of `most`; the first may be shorter."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return arrow_map(rows, _cut(tokenizer_path, end_id, most), _PIECES)
+    return arrow_map(rows, _cut(tokenizer_path, end_id, most, _agrees(tokenizer_path)), _PIECES)
 
 
 def plan(histogram: dict[int, int], most: int = MAX_TOKENS) -> list[tuple[int, int, int, int, int, int]]:
