@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, flat
+from .common import arrow_map, flat, slices
 from .quality_rules import HELD_OUT, fold
 
 #: Documents of each language that the scores are learnt from, about, chosen by a hash of the id.
@@ -101,25 +101,27 @@ class Model:
         return np.where(candidates, scores, scores.min(axis=1, keepdims=True) - 50).astype(np.float32)
 
 
+def counted(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """How often each hashed n-gram stands in texts of one language, by length; its letters by script."""
+    words = Words(texts)
+    return [np.bincount(grams, minlength=1 << TABLE_BITS) for grams in words.grams], np.bincount(words.script, words.size, len(SCRIPTS))
+
+
+def model_of(counts: dict[str, tuple[list[np.ndarray], np.ndarray]]) -> Model:
+    """The model from each language's counts; rare n-grams are smoothed."""
+    languages, size = sorted(counts), 1 << TABLE_BITS
+    columns = [np.stack([counts[x][0][i] for x in languages], axis=1) if languages else np.zeros((size, 0)) for i in range(len(_LENGTHS))]
+    scripts = np.stack([counts[x][1] for x in languages], axis=1) if languages else np.zeros((len(SCRIPTS), 0))
+    tables = [np.log((c + 0.1) / (c.sum(axis=0) + 0.1 * size)).astype(np.float32) for c in columns]
+    return Model(languages, tables, scripts / np.maximum(scripts.sum(axis=0), 1) >= SCRIPT_SHARE)
+
+
 def learn(pairs: Iterator[tuple[str, str]]) -> Model:
-    """Counts n-grams and scripts of (text, language) pairs; rare n-grams are smoothed."""
+    """Learns from (text, language) pairs."""
     by_language: dict[str, list[str]] = {}
     for text, language in pairs:
         by_language.setdefault(language, []).append(text)
-    languages = sorted(by_language)
-    size = 1 << TABLE_BITS
-    counts = [np.zeros((size, len(languages))) for _ in _LENGTHS]
-    scripts = np.zeros((len(SCRIPTS), len(languages)))
-    for column, language in enumerate(languages):
-        texts = by_language[language]
-        for at in range(0, len(texts), 200):
-            words = Words(texts[at : at + 200])
-            scripts[:, column] += np.bincount(words.script, words.size, len(SCRIPTS))
-            for table, grams in zip(counts, words.grams, strict=True):
-                table[:, column] += np.bincount(grams, minlength=size)
-    tables = [np.log((c + 0.1) / (c.sum(axis=0) + 0.1 * size)).astype(np.float32) for c in counts]
-    share = scripts / np.maximum(scripts.sum(axis=0), 1)
-    return Model(languages, tables, share >= SCRIPT_SHARE)
+    return model_of({language: counted(texts) for language, texts in by_language.items()})
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -185,37 +187,57 @@ def label(model: Model, texts: list[str]) -> tuple[list[str], list[float], list[
     return names, score.tolist(), spans
 
 
-def _learn_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import pickle
-
-    model = learn((r["text"], r["lang"]) for b in batches for r in b.to_pylist())
-    packed = pickle.dumps((model.languages, [t.astype(np.float16) for t in model.tables], model.scripts))
-    yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], ["model"])
+def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, its counts) from rows (lang, text) that are sorted by language."""
+    language, total, scripts = None, None, None
+
+    def row() -> pa.RecordBatch:
+        blob = np.concatenate([*total, scripts]).astype("<i8").tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([language]), pa.array([blob], pa.binary())], ["lang", "counts"])
+
+    for batch in batches:
+        for some in slices(batch, 1, _STEP_BYTES):
+            names, texts = np.array(some.column(0).to_pylist(), object), some.column(1).to_pylist()
+            edges = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for start, end in zip(edges, edges[1:], strict=False):
+                if start == end:
+                    continue
+                found, by_script = counted(texts[start:end])
+                if names[start] != language:
+                    if language is not None:
+                        yield row()
+                    language, total, scripts = names[start], [np.zeros(1 << TABLE_BITS) for _ in _LENGTHS], np.zeros(len(SCRIPTS))
+                for t, f in zip(total, found, strict=True):
+                    t += f
+                scripts += by_script
+    if language is not None:
+        yield row()
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns from about per_language documents of each language outside the held-out fold.
 
     A document is taken if a hash of its id falls under its language's share, so choosing needs
-    one count for each language and no order over the table.
+    one count for each language and no order over the table. Of an id's texts the one with the
+    least hash counts. Each language is counted by one task, a few texts at a time; the driver
+    gets a table of fixed size for each language.
     """
-    import pickle
-
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != HELD_OUT))
     known = known.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang"))
     shares = known.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("share"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.join(F.broadcast(shares), "lang").where(draw < F.col("share"))  # a row for each language
-    rows = arrow_map(sample.select("lang", "text").repartition(1), _learn_task, "model binary").collect()
-    if not rows:  # nothing to learn from
-        return learn(iter(()))
-    languages, tables, scripts = pickle.loads(bytes(rows[0]["model"]))
-    return Model(languages, tables, scripts)
+    drawn = known.join(F.broadcast(shares), "lang").where(draw < F.col("share"))  # a row for each language
+    sample = drawn.groupBy("lang", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    dealt = sample.select("lang", "text").repartition("lang").sortWithinPartitions("lang")
+    counts = {}
+    for row in arrow_map(dealt, _count_rows, "lang string, counts binary").collect():
+        *tables, scripts = np.split(np.frombuffer(row["counts"], "<i8"), [(i + 1) << TABLE_BITS for i in range(len(_LENGTHS))])
+        counts[row["lang"]] = (tables, scripts)
+    return model_of(counts)
 
 
 def _identify(model: Model):
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide = Model(model.languages, [t.astype(np.float32) for t in model.tables], model.scripts)
         for batch in batches:
             sizes = np.diff(flat(batch.column(2))[1])
             texts = [t or "" for t in batch.column(2).to_pylist()]
@@ -225,7 +247,7 @@ def _identify(model: Model):
                 while end < len(texts) and room >= sizes[end]:
                     room -= sizes[end]
                     end += 1
-                names, scores, spans = label(wide, texts[row:end])
+                names, scores, spans = label(model, texts[row:end])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(row, end - row), batch.column(1).slice(row, end - row), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, _SPAN)],
                     ["doc_id", "held_out", "lang_pred", "score", "spans"],

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, chunks
-from .quality_rules import HELD_OUT, fold, labelled_sample, sigmoid
+from .quality_rules import HELD_OUT, fold, labelled_sample, sample_rows, sigmoid
 from .textscan import mix, owners, span_hashes, spans
 
 #: Labelled rows that vectors and network are fitted on, at most.
@@ -171,7 +171,7 @@ def fit(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, Network]:
 
 
 def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["doc_id"], r["text"]))
+    rows = sample_rows(batches)
     vectors, net = fit([r["text"].encode() for r in rows], np.array([r["label"] for r in rows], np.int64))
     model = pickle.dumps((vectors, net.mean, net.scale, net.layers, net.temperature))
     yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
@@ -180,7 +180,7 @@ def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: int = SAMPLE_ROWS) -> tuple[np.ndarray, Network]:
     """Word vectors and network, fitted by one task on the bounded sample."""
     sample = labelled_sample(docs, labels, label_col, most)
-    rows = arrow_map(sample.repartition(1), _fit_task, "model binary").collect()
+    rows = arrow_map(sample, _fit_task, "model binary").collect()
     if not rows:
         return fit([], np.zeros(0, np.int64))
     vectors, *rest = pickle.loads(bytes(rows[0]["model"]))
@@ -207,7 +207,7 @@ def classify(docs: DataFrame, labels: DataFrame, good_at: float = GOOD_AT, id_co
     The score is the calibrated probability that the label is 1, from the whole text alone. A
     text without words, null among them, has the score of an all-zero pool. Labels that are null
     or of ids without a document teach nothing; without any label every score is 0.5. Vectors
-    and network learn from at most SAMPLE_ROWS labelled rows outside the held-out fold. A null
+    and network learn from at most SAMPLE_ROWS labelled rows (SAMPLE_BYTES bytes) outside the held-out fold. A null
     id is not held out. Repeated rows repeat their result. Other columns are not read. An empty
     table gives an empty result.
     """

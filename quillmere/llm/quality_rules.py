@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from .common import arrow_map, chunks
 from .textscan import mix, owners, span_hashes, spans, sums_of, windows, word_spans
 
-#: Labelled rows that the regression is fitted on, at most (those of the smallest id hashes).
-SAMPLE_ROWS = 2_000
+#: Labelled rows that the regression is fitted on, at most (those of the smallest id hashes), and
+#: bytes of their texts: a row whose text no longer fits is passed over in the fit alone.
+SAMPLE_ROWS, SAMPLE_BYTES = 2_000, 64 << 20
 #: Log2 of the number of hashed features; each n-gram family has a table of its own.
 TABLE_BITS = 16
 #: A document stays if its calibrated probability of quality is at least this.
@@ -24,7 +25,7 @@ HELD_OUT, FOLDS = 2, 4
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-_FAMILIES = 3  # words, word pairs, byte trigrams
+_FAMILIES = 3  # words, word pairs, character trigrams
 
 
 def fold(id_col: str = "doc_id"):
@@ -69,27 +70,34 @@ def _repeats(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndar
     return later, twice
 
 
+def characters(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a number for each code point, each text's first one); data is UTF-8."""
+    begins = (data & 0xC0) != 0x80
+    at = np.flatnonzero(begins)
+    value = data[at].astype(np.uint64)
+    if len(at) < len(data):  # some code points have more than one byte
+        follows = np.concatenate([~begins, np.zeros(3, bool)])
+        padded = np.concatenate([data, np.zeros(3, np.uint8)])
+        more = np.ones(len(at), bool)
+        for step in (1, 2, 3):
+            more &= follows[at + step]
+            value |= np.where(more, padded[at + step], 0).astype(np.uint64) << np.uint64(8 * step)
+    return value * np.uint64(0x9E3779B97F4A7C15), np.searchsorted(at, bounds)
+
+
 def features(data: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(hashed index, first index of each text) of each family of n-grams."""
     starts, ends, first = word_spans(data, bounds)
     hashes = span_hashes(data, starts, ends)
     shift = np.uint64(64 - TABLE_BITS)
     pairs, at = windows(hashes, first, 2)
-    out = [((hashes >> shift).astype(np.int32), first), ((pairs >> shift).astype(np.int32), np.searchsorted(at, first))]
-    if len(data) > 2:
-        wide = data.astype(np.uint32)
-        grams = (wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:]) * np.uint32(2654435761) >> np.uint32(32 - TABLE_BITS)
-        # grams that reach over a text's end are left out
-        last = np.maximum(bounds[1:] - 2, bounds[:-1])
-        inside = np.zeros(len(data) + 1, np.int8)
-        np.add.at(inside, bounds[:-1], 1)
-        np.add.at(inside, last, -1)
-        keep = np.cumsum(inside[:-2])[: len(grams)] > 0
-        counts = np.concatenate([[0], np.cumsum(keep)])
-        out.append((grams[keep].astype(np.int32), counts[np.minimum(bounds, len(grams))]))
-    else:
-        out.append((np.zeros(0, np.int32), np.zeros(len(bounds), np.int64)))
-    return out
+    letters, letter_first = characters(data, bounds)
+    grams, gram_at = windows(letters, letter_first, 3)
+    return [
+        ((hashes >> shift).astype(np.int32), first),
+        ((pairs >> shift).astype(np.int32), np.searchsorted(at, first)),
+        ((grams >> shift).astype(np.int32), np.searchsorted(gram_at, letter_first)),
+    ]
 
 
 def logits(weights: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -164,16 +172,29 @@ def platt(z: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 
 def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["doc_id"], r["text"]))
+    rows = sample_rows(batches)
     weights = fit([r["text"].encode() for r in rows], np.array([r["label"] for r in rows], np.int64))
     yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f4").tobytes()], pa.binary())], ["weights"])
 
 
+def sample_rows(batches: Iterator[pa.RecordBatch]) -> list[dict]:
+    """The sample's rows in order of id, as far as SAMPLE_BYTES of text go; rows come by id hash."""
+    rows, room = [], SAMPLE_BYTES
+    for batch in batches:
+        for at in range(0, len(batch), 64):
+            for row in batch.slice(at, 64).to_pylist():
+                if len(row["text"]) <= room:
+                    room -= len(row["text"])
+                    rows.append(row)
+    return sorted(rows, key=lambda r: r["doc_id"])
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, label): at most `most` labelled rows outside the held-out fold.
 
-    Rows come by a hash of the id, so the sample neither follows the order of ids nor needs
-    more than the ids to choose. It holds one row for each id.
+    Rows are chosen by a hash of the id, so the sample neither follows the order of ids nor needs
+    more than the ids to choose. It holds one row for each id: of an id's texts, the one with
+    the least hash. One partition, in order of the hash.
     """
     chosen = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(id_col) != HELD_OUT))
@@ -182,13 +203,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: in
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")  # `most` rows of two numbers at the most
+    known = texts.join(F.broadcast(chosen), "doc_id")  # `most` rows of two numbers at the most
+    one = known.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
+    return one.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: int = SAMPLE_ROWS) -> np.ndarray:
     """The regression's numbers, fitted by one task on the bounded sample."""
     sample = labelled_sample(docs, labels, label_col, most)
-    rows = arrow_map(sample.repartition(1), _fit_task, "weights binary").collect()
+    rows = arrow_map(sample, _fit_task, "weights binary").collect()
     return np.frombuffer(rows[0]["weights"], "<f4") if rows else fit([], np.zeros(0, np.int64)).astype("<f4")
 
 
@@ -216,7 +239,7 @@ def judge(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, id_col:
 
     Null counts as empty: no words, so the base rules reject it. Labels that are null or of ids
     without a document teach nothing; without any label the base rules alone decide. The
-    regression learns from at most SAMPLE_ROWS rows, none of them in the held-out fold, but
+    regression learns from at most SAMPLE_ROWS rows and SAMPLE_BYTES bytes, none of them in the held-out fold, but
     every document is judged by its whole text. Rows are judged one by one, so repeated rows and
     null ids make no difference. Other columns are not read. An empty table gives an empty result.
     """

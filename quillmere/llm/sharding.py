@@ -46,7 +46,10 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     near equal, with tokens (words) and rows balanced beside them; grown_shard is null. Documents
     of equal text, null and empty alike, share a shard, unless their group is larger than a shard
     in some dimension: it is then dealt over several by its ids, since keeping it whole would
-    break the law. slot numbers a shard's rows from 0 in no promised order. Repeated rows get
+    break the law. A group with less than 1 / BUNDLES of every total is placed with others, by a
+    hash of its text, so that the driver plans over at most 4 * BUNDLES items whatever the table;
+    bundles of n groups differ in size by about 1 / sqrt(n) of their mean, and best fit evens
+    them out as it does groups. slot numbers a shard's rows from 0 in no promised order. Repeated rows get
     slots of their own; null ids are dealt like any other. Other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))

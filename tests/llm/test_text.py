@@ -25,9 +25,7 @@ ODD = ["", " ", "a  b", "\n", " a", "a ", "x \ny", "<|endoftext|> z", "日本 
 def tokenizer():
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(JSON)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(JSON)
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +36,21 @@ def tiktoken_encoding():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def test_packing_leaves_other_files_to_the_library(tmp_path, tokenizer):
+    import json
+
+    file = json.load(open(JSON))
+    assert packing._agrees(JSON)
+    file["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(file))
+    assert not packing._agrees(str(other))
+    from tokenizers import Tokenizer
+
+    ids = packing.Ids(str(other), packing._agrees(str(other)))
+    assert ids("a plain text").tolist() == Tokenizer.from_file(str(other)).encode("a plain text", add_special_tokens=False).ids
+
+
 def test_packed_ids_are_the_tokenizers(tokenizer):
     ids = packing.Ids(JSON)
     assert ids.agrees()
@@ -228,6 +241,20 @@ def test_sharding(frame, spark, odd_rows):
     assert size.max() - size.min() <= 0.05 * size.mean() and rows.max() - rows.min() <= 0.1 * rows.mean()
 
 
+def test_bundles_of_small_groups_balance_as_groups_do(frame, monkeypatch):
+    draw = random.Random(3)
+    rows = [(i, " ".join(draw.choice("abcdef") * draw.randint(1, 9) for _ in range(draw.randint(1, 40)))) for i in range(4_000)]
+    for bundles in (256, 1 << 14):
+        monkeypatch.setattr(sharding, "BUNDLES", bundles)
+        by_text = collections.defaultdict(set)
+        size = np.zeros((8, 2))
+        for r in sharding.shard(frame(rows), 8).collect():
+            by_text[r.text_crc32].add(r.shard)
+            size[r.shard] += (r["size"], 1)
+        assert all(len(s) == 1 for s in by_text.values())
+        assert ((size.max(axis=0) - size.min(axis=0)) / size.mean(axis=0)).max() < 0.05
+
+
 def test_a_group_larger_than_a_shard_is_dealt_over_several(frame):
     rows = [(i, "same text") for i in range(600)] + [(1_000 + i, f"other {i % 7} {'x' * (i % 50)}") for i in range(1_200)]
     found = sharding.shard(frame(rows), 4).collect()
@@ -313,3 +340,60 @@ def test_licenses_have_their_own_names_and_whole_spans(text, name):
     found = licenses.scan(licenses.Index(licenses.TEMPLATES), np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0]
     assert [(m["license"], m["coverage"]) for m in found] == [(name, 1.0)]
     assert found[0]["end"] - found[0]["start"] > 0.99 * len(text.encode()) - 2
+
+
+def test_scan_finds_every_planted_notice():
+    draw = random.Random(12)
+    index = licenses.Index(licenses.TEMPLATES)
+    notices = [*LICENSED[:7], ("Released under the MIT License.", "MIT"), ("Creative Commons Attribution-NonCommercial 4.0 International", "CC-BY-NC-4.0")]
+    for trial in range(120):
+        planted, text = [], []
+        for _ in range(draw.randint(0, 6)):
+            notice, name = draw.choice(notices[-2:] if trial % 3 == 0 else notices)
+            text += [f"w{draw.random()}"] * draw.choice([0, 0, 1, 2, 9])
+            planted.append(name)
+            text.append(notice)
+        data = " ".join([*text, "end"]).encode()
+        found = licenses.scan(index, np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0]
+        assert [m["license"] for m in found] == planted
+        assert all(a["end"] <= b["start"] for a, b in zip(found, found[1:], strict=False))
+
+
+@pytest.mark.parametrize(("text", "times"), [("Released under the MIT License. ", 3), ("Released under the MIT License. x y ", 4), ("Creative Commons Attribution-NonCommercial 4.0 International ", 2)])
+def test_scan_finds_adjacent_notices(text, times):
+    data = (text * times).encode()
+    assert len(licenses.scan(licenses.Index(licenses.TEMPLATES), np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0]) == times
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"text {i % 7}") for i in range(500)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (1, 0)], "doc_id long, quality int")
+    rows = quality_rules.labelled_sample(docs, labels, "quality", 10).collect()
+    assert sorted(r.doc_id for r in rows) == [1, 2]
+    monkeypatch.setattr(quality_rules, "SAMPLE_BYTES", 7)
+    batch = pa.RecordBatch.from_pylist([{"doc_id": 3, "text": "a" * 5, "label": 1}, {"doc_id": 2, "text": "b" * 5, "label": 1}, {"doc_id": 1, "text": "cc", "label": 0}])
+    assert [r["doc_id"] for r in quality_rules.sample_rows(iter([batch]))] == [1, 3]
+
+
+def test_character_trigrams_are_of_code_points():
+    texts = ["a\u00e9\u65e5\U0001F642b", "", "xy", "\u00e9" * 4]
+    raw = [t.encode() for t in texts]
+    bounds = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    values, first = quality_rules.characters(np.frombuffer(b"".join(raw), np.uint8), bounds)
+    assert np.diff(first).tolist() == [len(t) for t in texts]
+    joined = "".join(texts)
+    assert all((values[i] == values[j]) == (joined[i] == joined[j]) for i in range(len(joined)) for j in range(len(joined)))
+    grams = quality_rules.features(np.frombuffer(b"".join(raw), np.uint8), bounds)[2]
+    assert np.diff(grams[1]).tolist() == [max(0, len(t) - 2) for t in texts]
+
+
+def test_a_very_long_text_goes_through_every_text_operator(spark):
+    draw = random.Random(1)
+    vocabulary = [f"word{i}" for i in range(3_000)]
+    long = " ".join(draw.choice(vocabulary) for _ in range(400_000))
+    docs = spark.createDataFrame([(1, long, "en"), (2, "short one", "en")], "doc_id long, text string, lang string")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r.doc_id: r.n_words for r in quality_rules.judge(docs, none).collect()} == {1: 400_000, 2: 2}
+    assert {r.lang_pred for r in language.identify(docs).collect()} == {"en"}
+    assert quality_classifier.classify(docs, none).count() == 2
+    assert {r.n_matches for r in licenses.scan_licenses(docs).collect()} == {0}
