@@ -6,10 +6,12 @@ puts frequent ones last. Sets that share such a shingle, directly or through oth
 block: no link leaves it. Sets meet in tasks of a bounded number of shingles, where an R-tree
 over their count vectors finds the pairs worth an exact comparison.
 
-A block of up to UNIT shingles meets in one task. A larger one is cut into tiles by size class.
-First each tile meets some leaders of its class, which links most of a large group of copies by
-shuffling each set about once. Only sets that are still outside their block's largest group then
-meet the tiles of sizes that could link with them; pairs of that group's own sets need no more.
+A block of up to UNIT shingles meets in one task. Of a larger one only the count vectors meet, in
+tiles by size class; sets whose bound allows a link, directly or through others, form the smaller
+blocks whose texts meet. If such a block is still large, each tile of it first meets some leaders
+of its class, which links most of a large group of copies by shuffling each set about once. Only
+sets that are still outside their block's largest group then meet the tiles of sizes that could
+link with them; pairs of that group's own sets need no more.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ SEEN_BITS = 20
 SLICE_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 #: Shingles of the sets of a tile, and of a class's leaders, about.
 UNIT, LEADERS = 1 << 18, 1 << 15
+#: Shingles of the sets of a tile of count vectors, about.
+VECTOR_UNIT = 1 << 22
 #: More than the tiles of any size class.
 TILES = 1 << 32
 #: Rows of a plan by block or size class that are broadcast, at most; larger plans are shuffled.
@@ -262,6 +266,16 @@ def _packed_rows(wanted: np.ndarray):
     return rows
 
 
+def groups_for(size: float) -> int:
+    """Hashed groups for sets of about a size: so few shingles in each that unlike sets fall short of the bound."""
+    return 1 << max(4, min(13, math.ceil(math.log2(max(1.0, size / 4)))))
+
+
+def count_vector(shingles: np.ndarray, groups: int) -> np.ndarray:
+    """How many shingles each group has; of half the groups it is the sum of two halves."""
+    return np.bincount((shingles % np.uint64(groups)).astype(np.int64), minlength=groups).astype("<u4")
+
+
 class CountTree:
     """An R-tree over count vectors, bulk-loaded in order of set size and then of the counts.
 
@@ -270,15 +284,15 @@ class CountTree:
     node's greatest counts.
     """
 
-    def __init__(self, sets: list[np.ndarray]) -> None:
-        self.sizes = np.array([len(s) for s in sets], np.int64)
-        groups = 1 << max(4, min(9, math.ceil(math.log2(max(1.0, float(np.median(self.sizes)) / 4)))))
-        self.vectors = np.stack([np.bincount((s % np.uint64(groups)).astype(np.int64), minlength=groups) for s in sets]).astype(np.int32)
+    def __init__(self, sizes: np.ndarray, vectors: np.ndarray) -> None:
+        self.sizes = sizes.astype(np.int64)
+        self.vectors = vectors.astype(np.uint16 if vectors.max(initial=0) < 1 << 16 else np.uint32)
         # tiles of sizes first, then of the heaviest coordinate: sort-tile-recursive packing
-        tile = max(1, math.isqrt(max(1, len(sets) // FAN))) * FAN
+        tile = max(1, math.isqrt(max(1, len(sizes) // FAN))) * FAN
         by_size = np.argsort(self.sizes, kind="stable")
-        lead = self.vectors[:, int(self.vectors.std(axis=0).argmax())]
-        self.order = np.concatenate([t[np.argsort(lead[t], kind="stable")] for t in np.array_split(by_size, max(1, -(-len(sets) // tile)))])
+        spread = (self.vectors.astype(np.float32) ** 2).mean(axis=0) - self.vectors.mean(axis=0) ** 2 if len(sizes) < 256 else self.vectors[by_size[:: len(sizes) // 256 + 1]].std(axis=0)
+        lead = self.vectors[:, int(spread.argmax())]
+        self.order = np.concatenate([t[np.argsort(lead[t], kind="stable")] for t in np.array_split(by_size, max(1, -(-len(sizes) // tile)))])
         self.levels = []  # from the leaves up: (greatest counts, least and greatest size) of each node
         tops, low, high = self.vectors[self.order], self.sizes[self.order], self.sizes[self.order]
         while len(tops) > 1:
@@ -286,8 +300,14 @@ class CountTree:
             tops, low, high = np.maximum.reduceat(tops, heads), np.minimum.reduceat(low, heads), np.maximum.reduceat(high, heads)
             self.levels.append((tops, low, high))
 
-    def partners(self, i: int) -> np.ndarray:
-        """The sets, i among them, that the bound allows to link with set i."""
+    @classmethod
+    def of(cls, sets: list[np.ndarray]) -> CountTree:
+        sizes = np.array([len(x) for x in sets], np.int64)
+        groups = min(512, groups_for(float(np.median(sizes))))
+        return cls(sizes, np.stack([count_vector(x, groups) for x in sets]))
+
+    def partners(self, i: int, open_: np.ndarray | None = None) -> np.ndarray:
+        """The sets, i among them, that the bound allows to link with set i; of those that are open, if it is given."""
         vector, n = self.vectors[i], self.sizes[i]
         nodes = np.zeros(1, np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
@@ -295,42 +315,117 @@ class CountTree:
             if depth < len(self.levels) - 1:
                 nodes = (nodes[:, None] * FAN + np.arange(FAN)).reshape(-1)
                 nodes = nodes[nodes < len(tops)]
-            bound = np.minimum(np.minimum(vector, tops[nodes]).sum(axis=1), high[nodes])
+            nodes = nodes[(OVER * low[nodes] <= UNDER * n) & (UNDER * high[nodes] >= OVER * n)]
+            bound = np.minimum(np.minimum(vector, tops[nodes]).sum(axis=1, dtype=np.int64), high[nodes])
             least = np.maximum(low[nodes], -(-n * OVER // UNDER))
-            nodes = nodes[((OVER + UNDER) * bound >= OVER * (n + least)) & (OVER * low[nodes] <= UNDER * n)]
+            nodes = nodes[(OVER + UNDER) * bound >= OVER * (n + least)]
         points = (nodes[:, None] * FAN + np.arange(FAN)).reshape(-1) if self.levels else nodes
         points = self.order[points[points < len(self.order)]]
-        shared = np.minimum(vector, self.vectors[points]).sum(axis=1)
+        points = points[(OVER * self.sizes[points] <= UNDER * n) & (UNDER * self.sizes[points] >= OVER * n)]
+        if open_ is not None:
+            points = points[open_[points]]
+        shared = np.minimum(vector, self.vectors[points]).sum(axis=1, dtype=np.int64)
         return points[(OVER + UNDER) * shared >= OVER * (n + self.sizes[points])]
 
 
+class Groups:
+    """Numbered items in groups that join; `label` tells at once which items are in one."""
+
+    def __init__(self, n: int) -> None:
+        self.label = np.arange(n)
+        self.members: list[list[int]] = [[i] for i in range(n)]
+
+    def join(self, i: int, j: int) -> None:
+        a, b = int(self.label[i]), int(self.label[j])
+        if a == b:
+            return
+        if len(self.members[a]) < len(self.members[b]):
+            a, b = b, a
+        self.label[self.members[b]] = a
+        self.members[a] += self.members[b]
+        self.members[b] = []
+
+    def least(self) -> np.ndarray:
+        """The least item of each item's group."""
+        out = np.arange(len(self.label))
+        for held in self.members:
+            if len(held) > 1:
+                out[held] = min(held)
+        return out
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sorted sets are similar enough."""
     shared = len(a) + len(b) - len(np.union1d(a, b))
     return UNDER * shared >= OVER * (len(a) + len(b) - shared)
 
 
-def link(sets: list[np.ndarray], left: np.ndarray | None = None, roots: list[int] | None = None) -> Forest:
-    """Joins all sets that are linked, directly or through others.
+def link(tree: CountTree, verify, left: np.ndarray | None = None, roots: list[int] | None = None) -> Groups:
+    """Joins all sets that are linked, directly or through others; verify(i, j) decides on what the tree finds.
 
     With `left`, only pairs of a left and another set count: the others meet elsewhere. Sets of
-    equal `roots` are joined to begin with. Pairs that are joined already need no comparison, so
-    a group of near copies takes few.
+    equal `roots` are joined to begin with. Pairs that are joined already are not even looked
+    at, so a group of near copies takes few comparisons.
     """
-    forest = Forest(len(sets))
-    if len(sets) < 2:
-        return forest
+    n = len(tree.sizes)
+    groups = Groups(n)
     firsts: dict[int, int] = {}
     for i, root in enumerate(roots or ()):
-        forest.join(i, firsts.setdefault(root, i))
-    tree = CountTree(sets)
-    for i in range(len(sets)):
-        for j in tree.partners(i).tolist():
-            if j >= i or (left is not None and left[i] == left[j]):
-                continue
-            if forest.root(i) != forest.root(j) and linked(sets[i], sets[j]):
-                forest.join(i, j)
-    return forest
+        groups.join(i, firsts.setdefault(root, i))
+    earlier = np.zeros(n, bool)
+    for i in range(n):
+        open_ = earlier & (groups.label != groups.label[i])
+        if left is not None:
+            open_ &= left != left[i]
+        if open_.any():
+            for j in tree.partners(i, open_).tolist():
+                if groups.label[i] != groups.label[j] and verify(i, j):
+                    groups.join(i, j)
+        earlier[i] = True
+    return groups
+
+
+def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows that meet, from rows sorted by their first three columns; few are unpacked at once."""
+    held: list[tuple] = []
+    for batch in batches:
+        for at in range(0, len(batch), 256):
+            for row in zip(*(batch.column(i).slice(at, 256).to_pylist() for i in range(batch.num_columns)), strict=True):
+                if held and held[0][:3] != row[:3]:
+                    yield held
+                    held = []
+                held.append(row)
+    if held:
+        yield held
+
+
+def _vector_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, pairs, mine, node, n, groups, packed text) with the text's count vector in its place."""
+    press = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        for at in range(0, len(batch), 256):
+            some = batch.slice(at, 256)
+            groups, out = some.column(5).to_pylist(), []
+            texts = pa.array([zstandard.decompress(p) for p in some.column(6).to_pylist()], pa.large_binary())
+            for row, _, data, bounds in chunks(texts):
+                out += [press.compress(count_vector(x, groups[i]).astype("<u4").tobytes()) for i, x in enumerate(shingle_sets(data, bounds, WORDS), row)]
+            yield pa.RecordBatch.from_arrays([*some.columns[:6], pa.array(out, pa.binary())], some.schema.names[:6] + ["vector"])
+
+
+def _bound_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, lesser node) for sets of two tiles whose bound allows a link. Rows: block, left, right, mine, node, n, groups, vector."""
+    for rows in _tasks(batches):
+        rows = sorted({r[4]: r for r in rows}.values(), key=lambda r: r[4])
+        groups = min(r[6] for r in rows)
+        vectors = np.empty((len(rows), groups), np.uint32)
+        for i, r in enumerate(rows):
+            # two groups of a set are one of half as many groups
+            vectors[i] = np.frombuffer(zstandard.decompress(r[7]), "<u4").reshape(-1, groups).sum(axis=0)
+        left = None if rows[0][1] == rows[0][2] else np.array([r[3] == r[1] for r in rows])
+        least = link(CountTree(np.array([r[5] for r in rows]), vectors), lambda i, j: True, left).least()
+        found = np.flatnonzero(least != np.arange(len(rows)))
+        nodes = np.array([r[4] for r in rows], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[found]), pa.array(nodes[least[found]])], ["a", "b"])
 
 
 def _link_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,26 +433,14 @@ def _link_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Rows: block, left, right, node, mine, root, packed text, sorted by the first three.
     """
-
-    def groups() -> Iterator[list[tuple]]:
-        held: list[tuple] = []
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                for row in zip(*(batch.column(i).slice(at, 256).to_pylist() for i in range(7)), strict=True):
-                    if held and held[0][:3] != row[:3]:
-                        yield held
-                        held = []
-                    held.append(row)
-        if held:
-            yield held
-
-    for rows in groups():
+    for rows in _tasks(batches):
         rows = sorted({r[3]: r for r in rows}.values(), key=lambda r: r[5])  # a repeated row of a document is one set
         texts = pa.array([zstandard.decompress(r[6]) for r in rows], pa.large_binary())
         sets = [s for *_, data, bounds in chunks(texts) for s in shingle_sets(data, bounds, WORDS)]
         _, left, right = rows[0][:3]
-        forest = link(sets, None if left == right else np.array([r[4] == left for r in rows]), [r[5] for r in rows])
-        found = {(rows[i][5], rows[forest.root(i)][5]) for i in range(len(rows))}
+        sides = None if left == right else np.array([r[4] == left for r in rows])
+        least = link(CountTree.of(sets), lambda i, j: linked(sets[i], sets[j]), sides, [r[5] for r in rows]).least()  # noqa: B023
+        found = {(rows[i][5], rows[j][5]) for i, j in enumerate(least.tolist())}
         found = [(a, b) for a, b in found if a != b]
         arrays = [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64()), pa.array([left == WHOLE] * len(found), pa.bool_())]
         yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "whole"])
@@ -396,23 +479,20 @@ def _plus(start: Column):
     return lambda i: start + i
 
 
-def _paired(classed: DataFrame) -> DataFrame:
-    """The second meeting: sets outside their block's largest group with all that could link.
+def _paired(classed: DataFrame, unit: int) -> DataFrame:
+    """Adds mine, left and right: tiles of sets that are `rest` meet each other's and those of the others.
 
     Linked sets are in one size class or in neighbouring ones, each class being less than
     UNDER / OVER times as wide as the one before.
     """
-    groups = classed.groupBy("block", "root").agg(F.sum("n").alias("total"))
-    largest, _ = _few(groups.groupBy("block").agg(F.max_by("root", F.struct("total", "root")).alias("main")))
-    rows = classed.join(largest, "block").withColumn("rest", F.col("root") != F.col("main"))
-    size = lambda kind: F.ceil(F.sum(F.when(kind, F.col("n")).otherwise(0)) / UNIT)
-    parts = cut_lineage(rows.groupBy("block", "class").agg(size(F.col("rest")).alias("rest_0"), size(~F.col("rest")).alias("main_0")))
+    size = lambda kind: F.ceil(F.sum(F.when(kind, F.col("n")).otherwise(0)) / unit)
+    parts = cut_lineage(classed.groupBy("block", "class").agg(size(F.col("rest")).alias("rest_0"), size(~F.col("rest")).alias("main_0")))
     beside = parts
     for shift, suffix in ((1, "up"), (-1, "down")):
         other = parts.select("block", (F.col("class") - shift).alias("class"), F.col("rest_0").alias(f"rest_{suffix}"), F.col("main_0").alias(f"main_{suffix}"))
         beside = beside.join(other, ["block", "class"], "left")
     beside, _ = _few(beside)
-    rows = rows.join(beside, ["block", "class"])
+    rows = classed.join(beside, ["block", "class"])
     own = F.when(F.col("rest"), F.pmod(F.xxhash64("node"), "rest_0")).otherwise(TILES // 2 + F.pmod(F.xxhash64("node"), "main_0"))
     rows = rows.withColumn("mine", F.col("class") * TILES + own)
 
@@ -421,37 +501,70 @@ def _paired(classed: DataFrame) -> DataFrame:
         found = []
         for shift, suffix in ((0, "0"), (1, "up"), (-1, "down")):
             numbers = F.when(F.col(f"{kind}_{suffix}") > 0, F.sequence(F.lit(0).cast("long"), F.col(f"{kind}_{suffix}") - 1)).otherwise(F.array().cast("array<bigint>"))
-            start = (F.col("class") + shift) * TILES + base
-            found.append(F.transform(numbers, _plus(start)))
+            found.append(F.transform(numbers, _plus((F.col("class") + shift) * TILES + base)))
         return F.concat(*found)
 
     pair = lambda a, b: F.struct(a.alias("left"), b.alias("right"))
     among = F.transform(tiles("rest", 0), lambda u: pair(F.least("mine", u), F.greatest("mine", u)))
     across = F.transform(tiles("main", TILES // 2), lambda u: pair(F.col("mine"), u))
     back = F.transform(tiles("rest", 0), lambda u: pair(u, F.col("mine")))
-    pairs = F.when(F.col("rest"), F.concat(among, across)).otherwise(back)
-    return rows.withColumn("pair", F.explode(pairs)).withColumn("left", F.col("pair.left")).withColumn("right", F.col("pair.right"))
+    return rows.withColumn("pairs", F.when(F.col("rest"), F.concat(among, across)).otherwise(back))
+
+
+def _outside(classed: DataFrame) -> DataFrame:
+    """Adds `rest`: whether a set is outside its block's largest group so far."""
+    groups = classed.groupBy("block", "root").agg(F.sum("n").alias("total"))
+    largest, _ = _few(groups.groupBy("block").agg(F.max_by("root", F.struct("total", "root")).alias("main")))
+    return classed.join(largest, "block").withColumn("rest", F.col("root") != F.col("main"))
+
+
+def _large(members: DataFrame) -> tuple[DataFrame, int]:
+    """The blocks of more than UNIT shingles."""
+    return _few(members.groupBy("block").agg(F.sum("n").alias("total")).where(F.col("total") > UNIT).select("block"))
+
+
+def _classed(members: DataFrame) -> DataFrame:
+    return members.withColumn("class", F.floor(F.ln("n") / F.lit(math.log(UNDER / OVER))).cast("long"))
+
+
+def _sharper(members: DataFrame, packed: DataFrame, tasks: int) -> DataFrame:
+    """The members of large blocks in blocks that the count vectors' bound ties; sets it ties to none go."""
+    classed = _classed(members)
+    groups = F.lit(16)  # as groups_for has it, for the least size of the class
+    for bits in range(5, 14):
+        groups = F.when(F.pow(F.lit(UNDER / OVER), F.col("class")) / 4 > 1 << (bits - 1), 1 << bits).otherwise(groups)
+    paired = _paired(classed.withColumn("rest", F.lit(True)), VECTOR_UNIT).withColumn("groups", groups)
+    held = packed.join(paired, ["doc", "text_key"]).select("block", "pairs", "mine", "node", "n", "groups", "packed")
+    schema = "block long, pairs array<struct<left:long,right:long>>, mine long, node long, n long, groups int, vector binary"
+    held = arrow_map(held, _vector_rows, schema).withColumn("pair", F.explode("pairs"))
+    met = held.select("block", "pair.left", "pair.right", "mine", "node", "n", "groups", "vector").repartition(tasks, "block", "left", "right").sortWithinPartitions("block", "left", "right")
+    tied = components(arrow_map(met, _bound_rows, "a long, b long"))
+    return cut_lineage(members.drop("block").join(tied.withColumnRenamed("root", "block"), "node").select(members.columns))
 
 
 _MEMBERS = ["block", "left", "right", "mine", "node", "root", "doc", "text_key"]
 
 
 def _joined(members: DataFrame, packed: DataFrame, tasks: int) -> DataFrame:
-    """(node, root) of the sets that links join with a lesser one."""
-    large, n_large = _few(members.groupBy("block").agg(F.sum("n").alias("total")).where(F.col("total") > UNIT).select("block"))
+    """(node, root) of the sets that links join with a lesser one. packed is read up to four times."""
     whole = F.lit(WHOLE).cast("long")
-    first = members.withColumn("root", F.col("node"))
+    in_one = lambda rows: rows.select("*", whole.alias("left"), whole.alias("right"), whole.alias("mine"), F.col("node").alias("root")).select(_MEMBERS)
+    large, n_large = _large(members)
+    if not n_large:
+        return _meet(in_one(members), packed, tasks).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    packed = cut_lineage(packed)
+    sharper = _sharper(members.join(large, "block", "left_semi"), packed, tasks)
+    members = members.join(large, "block", "left_anti").unionByName(sharper)
+    large, n_large = _large(sharper)
     if not n_large:
-        small = first.select("*", whole.alias("left"), whole.alias("right"), whole.alias("mine"))
-        return _meet(small.select(_MEMBERS), packed, tasks).select(F.col("a").alias("node"), F.col("b").alias("root"))
-    small = first.join(large, "block", "left_anti").select("*", whole.alias("left"), whole.alias("right"), whole.alias("mine"))
-    width = math.log(UNDER / OVER)
-    classed = first.join(large, "block", "left_semi").withColumn("class", F.floor(F.ln("n") / F.lit(width)).cast("long"))
-    met = _meet(small.select(_MEMBERS).unionByName(_tiled(classed).select(_MEMBERS)), packed, tasks)
+        return _meet(in_one(members), packed, tasks).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    classed = _classed(sharper.join(large, "block", "left_semi")).withColumn("root", F.col("node"))
+    met = _meet(in_one(members.join(large, "block", "left_anti")).unionByName(_tiled(classed).select(_MEMBERS)), packed, tasks)
     done = met.where("whole").select(F.col("a").alias("node"), F.col("b").alias("root"))
-    roots = cut_lineage(components(met.where("not whole").select("a", "b")).withColumnRenamed("root", "known"))
+    roots = components(met.where("not whole").select("a", "b")).withColumnRenamed("root", "known")
     classed = cut_lineage(classed.join(roots, "node", "left").withColumn("root", F.coalesce("known", "root")).drop("known"))
-    again = components(_meet(_paired(classed).select(_MEMBERS), packed, tasks).select("a", "b"))
+    pairs = _paired(_outside(classed), UNIT).withColumn("pair", F.explode("pairs")).withColumn("left", F.col("pair.left")).withColumn("right", F.col("pair.right"))
+    again = components(_meet(pairs.select(_MEMBERS), packed, tasks).select("a", "b"))
     last = classed.join(again.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left")
     return done.unionByName(last.select("node", F.coalesce("last", "root").alias("root")))
 

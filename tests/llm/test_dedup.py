@@ -168,6 +168,7 @@ def chain_rows(seed):
 def test_jaccard_join(frame, monkeypatch, unit, leaders):
     monkeypatch.setattr(jaccard_join, "UNIT", unit)
     monkeypatch.setattr(jaccard_join, "LEADERS", leaders)
+    monkeypatch.setattr(jaccard_join, "VECTOR_UNIT", unit)
     rows = near_rows(unit % 7) + [(d + 10_000, t) for d, t in chain_rows(unit)]
     assert groups_of(frame(rows)) == brute_groups(rows)
 
@@ -196,7 +197,7 @@ def test_count_tree_misses_no_partner():
     texts = [(t or "").encode() for _, t in near_rows(5)]
     bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     sets = [s for s in shingle_sets(np.frombuffer(b"".join(texts), np.uint8), bounds) if len(s)]
-    tree = CountTree(sets * 3)
+    tree = CountTree.of(sets * 3)
     for i, a in enumerate(sets):
         assert {j for j, b in enumerate(sets * 3) if linked(a, b)} <= set(tree.partners(i).tolist())
 
