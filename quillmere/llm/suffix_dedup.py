@@ -34,7 +34,7 @@ HOT_FROM, HOT_BITS = 20_000, 22
 #: Suffixes that are sorted at once, about.
 BLOCK = 100_000
 #: Bytes of text whose anchors make a bucket, and whose repeated parts make a suffix bucket.
-ANCHOR_BYTES, SUFFIX_BYTES = 8 << 20, 1 << 20
+ANCHOR_BYTES, SUFFIX_BYTES = 16 << 20, 1 << 20
 #: Bytes of text whose anchors are sought at once, and whose rows go out together.
 STEP_BYTES, SLICE_BYTES = 1 << 15, 16 << 20
 _HEAD = 32  # bytes sorted before ties go to the cover's ranks; PERIOD at least
