@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,20 +21,48 @@ def sentence_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("n", "sentence"))
 
 
+#: Words of a sentence up to which its pairs are made inside its row, and distinct words that one
+#: row of a longer sentence is paired with at once.
+SHORT, PART = 64, 256
+
+
+def _sentence_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, words) of each sentence."""
+    return sentence_rows(docs).select("doc_id", "n", counted_words(F.col("sentence")).alias("words"))
+
+
+def _counted(words: Column) -> Column:
+    """The distinct words in order, with their counts; quadratic, so for short sentences."""
+    return F.transform(F.array_sort(F.array_distinct(words)), lambda w: F.struct(w.alias("w"), F.size(F.filter(words, lambda x: x == w)).cast("long").alias("c")))
+
+
+def _long_counted(sentences_: DataFrame) -> DataFrame:
+    """(doc_id, n, w, c) of long sentences; a word is counted in parts before the shuffle."""
+    return sentences_.where(F.size("words") > SHORT).select("doc_id", "n", F.explode("words").alias("w")).groupBy("doc_id", "n", "w").agg(F.count(F.lit(1)).alias("c"))
+
+
 def word_pairs(docs: DataFrame) -> DataFrame:
     """(w1, w2, n) with w1 < w2: how often the words stand in one sentence, by position pairs.
 
     A sentence's words are counted first. Each pair of different words then counts the product
-    of the two, so a word that a sentence says a thousand times is still one row in the join.
+    of the two, so a word that a sentence says a thousand times makes no more rows. Pairs of a
+    short sentence are made in its row and summed before the one shuffle, by pair. The words of a
+    long one are dealt over parts, and each part meets all of them, so no task has all its pairs.
     """
-    words = sentence_rows(docs).select("doc_id", "n", F.explode(counted_words(F.col("sentence"))).alias("w"))
-    counted = words.groupBy("doc_id", "n", "w").agg(F.count(F.lit(1)).alias("c"))
-    left, right = (counted.select("doc_id", "n", F.col("w").alias(f"w{i}"), F.col("c").alias(f"c{i}")) for i in (1, 2))
-    joined = left.join(right, ["doc_id", "n"]).where("w1 < w2")
-    return joined.groupBy("w1", "w2").agg(F.sum(F.col("c1") * F.col("c2")).alias("n"))
-
-
-@query("S1 F2 W15", _SENTENCES_SQL)
+    sentences_ = _sentence_words(docs)
+    short = sentences_.where(F.size("words").between(2, SHORT)).select(_counted(F.col("words")).alias("d"))
+    short = short.select("d", F.posexplode("d").alias("i", "a")).select("a", F.explode(F.slice("d", F.col("i") + 2, F.size("d"))).alias("b"))
+    short = short.select(F.col("a.w").alias("w1"), F.col("b.w").alias("w2"), (F.col("a.c") * F.col("b.c")).alias("n"))
+    counted = _long_counted(sentences_)
+    parts = counted.groupBy("doc_id", "n").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    dealt = counted.join(parts, ["doc_id", "n"])
+    left = dealt.select("doc_id", "n", F.pmod(F.xxhash64("w"), "parts").cast("int").alias("part"), F.col("w").alias("w1"), F.col("c").alias("c1"))
+    right = dealt.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("w").alias("w2"), F.col("c").alias("c2"))
+    long = left.join(right, ["doc_id", "n", "part"]).where("w1 < w2").select("w1", "w2", (F.col("c1") * F.col("c2")).alias("n"))
+    return short.unionByName(long).groupBy("w1", "w2").agg(F.sum("n").alias("n"))
+
+
+@query("S1 F2 W15 V6", _SENTENCES_SQL)
 def sentence_split(t) -> DataFrame:
     return sentence_rows(t("documents"))
 
@@ -54,9 +82,11 @@ def word_pairs_top200(t) -> DataFrame:
 @query("A2", f"SELECT 'total' AS label, CAST(sum(n) AS BIGINT) AS n FROM ({_PAIRS_SQL}) p")
 def word_pairs_total(t) -> DataFrame:
     """Without the pairs: a sentence with word counts c has ((sum c)^2 - sum c^2) / 2 of them."""
-    words = sentence_rows(t("documents")).select("doc_id", "n", F.explode(counted_words(F.col("sentence"))).alias("w"))
-    counted = words.groupBy("doc_id", "n", "w").agg(F.count(F.lit(1)).alias("c"))
-    sums = counted.groupBy("doc_id", "n").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    sentences_ = _sentence_words(t("documents"))
+    squares = F.aggregate(_counted(F.col("words")), F.lit(0).cast("long"), lambda q, x: q + x["c"] * x["c"])
+    short = sentences_.where(F.size("words").between(2, SHORT)).select(F.size("words").cast("long").alias("s"), squares.alias("q"))
+    long = _long_counted(sentences_).groupBy("doc_id", "n").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).select("s", "q")
+    sums = short.unionByName(long)
     return sums.agg(F.sum(((F.col("s") * F.col("s") - F.col("q")) / 2).cast("long")).alias("n")).select(F.lit("total").alias("label"), "n")
 
 
@@ -195,7 +225,7 @@ def lexicon_sentiment(t) -> DataFrame:
     return t("documents").select("doc_id", longest.alias("longest")).select("doc_id", F.when(F.col("longest") == "", 0).otherwise(score).cast("int").alias("sentiment"))
 
 
-@query("F18 F22 P17 P18", r"""SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '/([^/?#]*)(?:[?#].*)?$', 1) AS last_segment, regexp_matches(url, '^https?://[a-z0-9.-]+/[a-z]{2}/\d+$') AS valid,
+@query("F18 F22 P17", r"""SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '/([^/?#]*)(?:[?#].*)?$', 1) AS last_segment, regexp_matches(url, '^https?://[a-z0-9.-]+/[a-z]{2}/\d+$') AS valid,
 contains(url, 'example') AND NOT contains(url, 'gist') AND length(url) - length(replace(url, '/', '')) = 4 AS linked, CAST(len(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS INTEGER) AS links FROM pages""")
 def url_parse(t) -> DataFrame:
     url = F.col("url")
@@ -208,3 +238,65 @@ def url_parse(t) -> DataFrame:
         (url.contains("example") & ~url.contains("gist") & (slashes == 4)).alias("linked"),
         F.size(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("links"),
     )
+
+
+def _lines(markdown: Column) -> Column:
+    """The lines of a list: how far each is indented, what it says, its link, and whether a blank line follows.
+
+    The depth is -1 in lines that are no items; four blanks indent as much as a tab.
+    """
+    lines = F.split(markdown, "\n")
+    link = r"\[([^\]]*)\]\(([^)\s]*)[^)]*\)"
+
+    def parts(line: Column, i: Column) -> Column:
+        marker = F.regexp_extract(line, r"^([ \t]*)[-*+][ \t]+", 1)
+        depth = F.when(line.rlike(r"^[ \t]*[-*+][ \t]+"), F.length(F.replace(marker, F.lit("    "), F.lit("\t")))).otherwise(-1)
+        says = F.regexp_replace(F.regexp_replace(line, r"^[ \t]*[-*+][ \t]+", ""), link, "$1")
+        loose = F.trim(F.coalesce(F.get(lines, i + 1), F.lit("x"))) == ""
+        links = F.arrays_zip(F.regexp_extract_all(line, F.lit(link), 1).alias("text"), F.regexp_extract_all(line, F.lit(link), 2).alias("href"))
+        return F.struct(depth.cast("int").alias("depth"), F.trim(says).alias("says"), loose.alias("loose"), links.alias("links"))
+
+    return F.transform(lines, parts)
+
+
+def markdown_pairs(markdown: Column, top: bool) -> Column:
+    """(text, href) of a markdown text's links, in order; links without a text are left out.
+
+    With `top` only links of list items count. An item that a blank line follows is a heading
+    and names nothing; a link below any other item has the text of the outermost such item, so
+    that all links of a group carry the group's name. Without links a heading or group gives none.
+    """
+    if not top:
+        pairs = F.flatten(F.transform(_lines(markdown), lambda x: x["links"]))
+        return F.filter(pairs, lambda p: p["text"] != "")
+    pair = "struct<text:string,href:string>"
+    begin = F.struct(F.lit(-1).alias("depth"), F.lit("").alias("says"), F.array().cast(f"array<{pair}>").alias("out"))
+
+    def step(state: Column, line: Column) -> Column:
+        # the outermost item that names: it holds while lines are indented further than it is
+        item = line["depth"] >= 0
+        inside = item & (state["depth"] >= 0) & (line["depth"] > state["depth"])
+        fresh = item & ~inside
+        names = fresh & ~line["loose"]
+        depth = F.when(inside, state["depth"]).when(names, line["depth"]).otherwise(F.when(fresh, -1).otherwise(state["depth"]))
+        says = F.when(inside, state["says"]).otherwise(line["says"])
+        links = F.when(item & (inside | names), F.transform(line["links"], lambda p: F.struct(F.when(inside, says).otherwise(p["text"]).alias("text"), p["href"].alias("href")))).otherwise(F.array().cast(f"array<{pair}>"))
+        return F.struct(depth.cast("int").alias("depth"), says.alias("says"), F.concat(state["out"], links).alias("out"))
+
+    return F.aggregate(_lines(markdown), begin, step, lambda s: s["out"])
+
+
+# Role: a curated list. Each page gives a heading with a link, and a group with two links below it.
+_MARKDOWN_SQL = r"""SELECT page_id, '# Page ' || page_id || chr(10) || chr(10) || '- Section' || chr(10) || chr(10) || chr(9) || '- [page ' || page_id || '](' || url || ')' || chr(10) || chr(9) || '- Group ' || (page_id % 7) || chr(10)
+|| chr(9) || chr(9) || '- [first](' || url || '/a)' || chr(10) || chr(9) || chr(9) || '- [second](' || url || '/b)' || chr(10) AS markdown FROM pages"""
+_LINKS_SQL = rf"""SELECT page_id, false AS top, CAST(i AS INTEGER) - 1 AS n, t[i] AS text, h[i] AS href FROM (SELECT page_id, t, h, unnest(range(1, len(t) + 1)) AS i FROM
+(SELECT page_id, regexp_extract_all(markdown, '\[([^\]]*)\]\(([^)]*)\)', 1) AS t, regexp_extract_all(markdown, '\[([^\]]*)\]\(([^)]*)\)', 2) AS h FROM ({_MARKDOWN_SQL}) m) a) b"""
+
+
+@query("P18", f"""{_LINKS_SQL} UNION ALL SELECT page_id, true AS top, n, CASE WHEN n = 0 THEN text ELSE 'Group ' || (page_id % 7) END AS text, href FROM ({_LINKS_SQL}) g""")
+def markdown_links(t) -> DataFrame:
+    """(text, href) of every link of a curated list, and the same by the outermost item that names it."""
+    pages = t("pages")
+    docs = pages.sparkSession.sql(_MARKDOWN_SQL.replace("FROM pages", "FROM {pages}"), pages=pages)
+    both = [docs.select("page_id", F.lit(top).alias("top"), F.posexplode(markdown_pairs(F.col("markdown"), top)).alias("n", "p")) for top in (False, True)]
+    return both[0].unionByName(both[1]).select("page_id", "top", "n", "p.text", "p.href")

@@ -12,6 +12,7 @@ from quillmere.functions.text import counted_words, normalised, sentences
 from quillmere.functions.transformers import TagStripper, TokenJoiner, TokenTransformer
 from quillmere.operators import edges, summary, text, warehouse
 from quillmere.operators.models import optics_order, sgd_logistic
+from quillmere.streaming import queries as streaming
 
 
 def one(spark, column, value):
@@ -224,3 +225,100 @@ def test_tag_predictor_has_the_references_vocabulary(spark, sf_dir, monkeypatch)
     monkeypatch.setattr(models, "CountVectorizer", made)
     with pytest.raises(Made, match="terms: 10000"):
         catalog.QUERIES["ml_tag_predictor"](spark, sf_dir)
+
+
+MARKDOWN = (
+    "# Awesome Awesomeness\n\nA curated list of amazingly awesome awesomeness.\n\n- Programming Languages\n\n"
+    "\t- [C/C++](https://github.com/fffaraz/awesome-cpp)\n\t- [CMake](https://github.com/onqtam/awesome-cmake)\n\t- Clojure\n"
+    "\t\t- [by @mbuczko](https://github.com/mbuczko/awesome-clojure)\n\t\t- [by @razum2um](https://github.com/razum2um/awesome-clojure)\n"
+)
+
+
+@pytest.mark.parametrize(("top", "names"), [(True, ["C/C++", "CMake", "Clojure", "Clojure"]), (False, ["C/C++", "CMake", "by @mbuczko", "by @razum2um"])])
+def test_markdown_links(spark, top, names):
+    links = ["https://github.com/fffaraz/awesome-cpp", "https://github.com/onqtam/awesome-cmake", "https://github.com/mbuczko/awesome-clojure", "https://github.com/razum2um/awesome-clojure"]
+    assert [tuple(p) for p in one(spark, text.markdown_pairs(F.col("text"), top), MARKDOWN)] == list(zip(names, links, strict=True))
+    assert one(spark, text.markdown_pairs(F.col("text"), top), "") == [] and one(spark, text.markdown_pairs(F.col("text"), top), None) is None
+
+
+def test_links_without_text_and_outside_of_lists(spark):
+    value = "see [x](http://x) and [](http://y)\n- [z](http://z)\n\n    - [u](http://u)"
+    assert [tuple(p) for p in one(spark, text.markdown_pairs(F.col("text"), False), value)] == [("x", "http://x"), ("z", "http://z"), ("u", "http://u")]
+    assert [tuple(p) for p in one(spark, text.markdown_pairs(F.col("text"), True), value)] == [("u", "http://u")]
+
+
+@pytest.mark.parametrize(("short", "part"), [(64, 256), (3, 2), (0, 1)])
+def test_pairs_of_short_and_long_sentences_are_alike(spark, monkeypatch, short, part):
+    monkeypatch.setattr(text, "SHORT", short)
+    monkeypatch.setattr(text, "PART", part)
+    values = ["cat dog cat bird fish cow. cow cow", "hen " * 3 + "pig hen owl", "owl", None]
+    docs = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+    expected: dict[tuple[str, str], int] = {}
+    for value in values:
+        for sentence in (value or "").split("."):
+            words = sentence.split()
+            for i, a in enumerate(words):
+                for b in words[i + 1 :]:
+                    if a != b:
+                        expected[min(a, b), max(a, b)] = expected.get((min(a, b), max(a, b)), 0) + 1
+    assert {(r.w1, r.w2): r.n for r in text.word_pairs(docs).collect()} == expected
+    assert text.word_pairs_total(lambda name: docs).first()["n"] == sum(expected.values())
+
+
+def test_missing_ids_of_a_range(spark):
+    users = spark.createDataFrame([(2,), (4,), (9,)], "id long")
+    assert sorted(r.id for r in warehouse.missing(users, 1, 6).collect()) == [1, 3, 5]
+
+
+def _state(spark, tmp_path, tags=("a", "b")):
+    streaming.set_tags(spark, str(tmp_path / "settings"), tags)
+    state = streaming.Summary(spark, str(tmp_path / "summary"), str(tmp_path / "settings"))
+    state.begin(spark.createDataFrame([("a", 4), ("c", 1)], "tag string, sentiment int"))
+    return state
+
+
+def test_a_repeated_batch_counts_once_and_settings_hold_for_each_batch(spark, tmp_path):
+    state = _state(spark, tmp_path)
+    sums = summary.summarise(spark.createDataFrame([("a", 0), ("b", 2), ("c", 2)], "tag string, sentiment int"))
+    state.batch(sums, 0)
+    state.batch(sums, 0)
+    assert {r.tag: r.total for r in state.rows().collect()} == {"a": 2, "b": 1}
+    streaming.set_tags(spark, state.settings, ("b", "c"))
+    state.batch(sums, 1)
+    assert {r.tag: r.total for r in state.rows().collect()} == {"b": 2, "c": 1}
+
+
+def test_a_stream_recovers_from_its_checkpoint(spark, tmp_path):
+    inbox, state = str(tmp_path / "inbox"), _state(spark, tmp_path)
+    rows = lambda *r: spark.createDataFrame(list(r), "tag string, sentiment int").coalesce(1)
+    failed = []
+
+    def batch(posts, number):
+        state.batch(summary.summarise(posts), number)
+        if number == 1 and not failed:
+            failed.append(number)
+            raise RuntimeError("lost after the write")
+
+    def go():
+        stream = spark.readStream.schema("tag string, sentiment int").parquet(inbox)
+        streaming.run(stream, batch, checkpoint=str(tmp_path / "checkpoint"))
+
+    rows(("a", 1)).write.parquet(inbox)
+    go()
+    rows(("a", 2), ("b", 3)).write.mode("append").parquet(inbox)
+    with pytest.raises(Exception, match="lost after the write"):
+        go()
+    go()
+    assert failed and {r.tag: r.total for r in state.rows().collect()} == {"a": 3, "b": 1}
+
+
+def test_endpoints_carry_rows_as_json_and_repeat_batches_safely(spark, tmp_path):
+    with pytest.raises(ValueError):
+        streaming.Endpoint("posts")
+    posts = streaming.Endpoint("posts", str(tmp_path))
+    rows = spark.createDataFrame([(1, "é \"x\"", None), (2, None, 0.5)], "id long, text string, lat double")
+    posts.publish(rows, 0)
+    posts.publish(rows, 0)
+    schema = "id long, text string, lat double, batch long"
+    found = streaming.to_table(streaming.decoded(posts.read(spark), schema))
+    assert sorted(map(tuple, found.collect())) == [(1, "é \"x\"", None, 0), (2, None, 0.5, 0)]
