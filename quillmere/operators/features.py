@@ -125,6 +125,27 @@ def knn_neighbours(t) -> DataFrame:
     return _distances(rows, queries).withColumn("r", nth).where("r <= 5").select("v1", "r", "v2", r4(F.col("d")).alias("d"))
 
 
+#: The grid of neighbours that vote.
+VOTERS = (1, 3, 5, 9)
+_VOTES_SQL = f"SELECT v1, q.label AS truth, n.label AS vote, row_number() OVER (PARTITION BY v1 ORDER BY round(d, 6), v2) AS r FROM ({_DIST_SQL}) x JOIN embeddings q ON q.vec_id = v1 JOIN embeddings n ON n.vec_id = v2"
+_VOTED_SQL = f"SELECT k, v1, truth, vote, count(*) AS c FROM ({_VOTES_SQL}) v JOIN (SELECT unnest([1, 3, 5, 9]) AS k) g ON r <= k GROUP BY k, v1, truth, vote"
+
+
+@query("M7 G3", f"""SELECT CAST(k AS INTEGER) AS k, CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN vote = truth THEN 1.0 ELSE 0.0 END), 4) AS accuracy
+FROM (SELECT k, v1, truth, vote, row_number() OVER (PARTITION BY k, v1 ORDER BY c DESC, vote) AS r FROM ({_VOTED_SQL}) c) w WHERE r = 1 GROUP BY k""")
+def knn_classifier(t) -> DataFrame:
+    """How often the nearest k others vote for a query's own class, for each k of the grid; the least class wins ties."""
+    rows, queries = _queries(t)
+    nth = F.row_number().over(Window.partitionBy("v1").orderBy(F.round("d", 6), "v2"))
+    nearest = _distances(rows, queries).withColumn("r", nth).where(F.col("r") <= max(VOTERS)).select("v1", "v2", "r")
+    labels = t("embeddings").select(F.col("vec_id").alias("v2"), F.col("label").alias("vote"))
+    voted = nearest.join(labels, "v2").join(labels.select(F.col("v2").alias("v1"), F.col("vote").alias("truth")), "v1")
+    grid = F.explode(F.filter(F.array(*map(F.lit, VOTERS)), lambda k: F.col("r") <= k)).alias("k")
+    counts = voted.select("v1", "truth", "vote", "r").select("v1", "truth", "vote", grid).groupBy("k", "v1", "truth", "vote").agg(F.count(F.lit(1)).alias("c"))
+    winner = counts.groupBy("k", "v1", "truth").agg(F.max_by("vote", F.struct("c", -F.col("vote"))).alias("vote"))
+    return winner.groupBy("k").agg(F.count(F.lit(1)).alias("n"), r4(F.avg((F.col("vote") == F.col("truth")).cast("double"))).alias("accuracy"))
+
+
 _TABLE = "SELECT label AS a, CAST(CASE WHEN embedding[1] > 0 THEN 1 ELSE 0 END + CASE WHEN embedding[2] > 0 THEN 2 ELSE 0 END AS INTEGER) AS b FROM embeddings"
 
 
@@ -217,7 +238,7 @@ def hash_split(t) -> DataFrame:
     return t("customer").groupBy(part).agg(F.count(F.lit(1)).alias("n"), r4(F.avg("c_acctbal")).alias("mean"))
 
 
-@query("A29 M6", """SELECT threshold, round(gini, 4) AS gini FROM (SELECT v AS threshold, ((n * (1 - power(p / n, 2) - power(1 - p / n, 2))) + CASE WHEN total - n > 0 THEN (total - n) * (1 - power((pos - p) / (total - n), 2) - power(1 - (pos - p) / (total - n), 2)) ELSE 0 END) / total AS gini FROM
+@query("A29", """SELECT threshold, round(gini, 4) AS gini FROM (SELECT v AS threshold, ((n * (1 - power(p / n, 2) - power(1 - p / n, 2))) + CASE WHEN total - n > 0 THEN (total - n) * (1 - power((pos - p) / (total - n), 2) - power(1 - (pos - p) / (total - n), 2)) ELSE 0 END) / total AS gini FROM
 (SELECT v, CAST(sum(c) OVER (ORDER BY v) AS DOUBLE) AS n, CAST(sum(s) OVER (ORDER BY v) AS DOUBLE) AS p, CAST(sum(c) OVER () AS DOUBLE) AS total, CAST(sum(s) OVER () AS DOUBLE) AS pos FROM (SELECT p_size AS v, count(*) AS c, sum(CASE WHEN p_retailprice > 1000 THEN 1 ELSE 0 END) AS s FROM part GROUP BY p_size) g) w) x ORDER BY round(gini, 9), threshold LIMIT 1""")
 def split_search_gini(t) -> DataFrame:
     """The best split of one feature: class counts up to each value, then the least impurity.

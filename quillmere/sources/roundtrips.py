@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmere.functions.text import tokens
 from quillmere.functions.transformers import TokenJoiner
 from quillmere.plans.registry import session_query
 from quillmere.sources.shared import fresh_path
 from quillmere.sources.tables import table
 
 
-@session_query("S7 S8 S9 S11 K8 C1", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment || ', \"' || c_nationkey || '\"' AS note, CAST(c_custkey % 3 AS INTEGER) AS part FROM customer")
+@session_query("S7 S8 S11 K8", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment || ', \"' || c_nationkey || '\"' AS note, CAST(c_custkey % 3 AS INTEGER) AS part FROM customer")
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quoted and escaped fields, line feeds in them, and a key that only the path has."""
     path = fresh_path(spark, "csv")
@@ -62,3 +66,41 @@ def json_lines_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get_json_object(one, "$.id").cast("long").alias("id"), F.get_json_object(one, "$.name").alias("name"),
         F.json_array_length(F.get_json_object(two, "$.commits")).alias("commits"), F.get_json_object(two, "$.stars").cast("double").alias("stars"),
     )
+
+
+@dataclass(frozen=True)
+class Source:
+    """A path with the separator of its fields and whether its files begin with names."""
+
+    path: str
+    separator: str
+    header: bool
+
+
+def read_all(spark: SparkSession, sources: list[Source], schema: str) -> DataFrame:
+    """The rows of several paths, each in its own format, with the number of the path they came by."""
+    parts = [spark.read.schema(schema).csv(s.path, sep=s.separator, header=s.header).withColumn("source", F.lit(i)) for i, s in enumerate(sources)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@session_query("S3 S9", "SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_brand, p_retailprice, CAST(p_partkey % 3 AS INTEGER) AS source FROM part")
+def delimited_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comma, tab and double-colon files, united by a tag of their path."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_brand", "p_retailprice")
+    sources = [Source(fresh_path(spark, "delimited"), separator, header) for separator, header in ((",", True), ("\t", False), ("::", False))]
+    for i, s in enumerate(sources):
+        some = rows.where(F.col("p_partkey") % 3 == i)
+        if len(s.separator) == 1:
+            some.write.csv(s.path, sep=s.separator, header=s.header)
+        else:  # Spark reads separators of several characters, and writes such lines as text
+            some.select(F.concat_ws(s.separator, *(F.col(c).cast("string") for c in some.columns)).alias("value")).write.text(s.path)
+    return read_all(spark, sources, "p_partkey long, p_brand string, p_retailprice double")
+
+
+@session_query("K11", r"SELECT doc_id, CAST(len(g) AS INTEGER) AS n_tokens, g[1] AS first_token FROM (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(trim(lower(text)), '\W+', ' ', 'g'), '\d+', '', 'g'), ' '), lambda w: w <> '') AS g FROM documents) d")
+def token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens are derived once, kept as JSON lines, and read again with a declared schema."""
+    path = fresh_path(spark, "tokens")
+    table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("tokens")).write.json(path)
+    kept = spark.read.schema("doc_id long, tokens array<string>").json(path)
+    return kept.select("doc_id", F.size("tokens").alias("n_tokens"), F.get("tokens", F.lit(0)).alias("first_token"))

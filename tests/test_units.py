@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from quillmere.functions.text import counted_words, normalised, sentences
 from quillmere.functions.transformers import TagStripper, TokenJoiner, TokenTransformer
-from quillmere.operators import edges, summary, text, warehouse
+from quillmere.operators import edges, models, summary, text, warehouse
 from quillmere.operators.models import optics_order, sgd_logistic
+from quillmere.plans import jobs
 from quillmere.streaming import queries as streaming
 
 
@@ -322,3 +323,88 @@ def test_endpoints_carry_rows_as_json_and_repeat_batches_safely(spark, tmp_path)
     schema = "id long, text string, lat double, batch long"
     found = streaming.to_table(streaming.decoded(posts.read(spark), schema))
     assert sorted(map(tuple, found.collect())) == [(1, "é \"x\"", None, 0), (2, None, 0.5, 0)]
+
+
+def brute_split(x, y, kind):
+    best = None
+    for f in range(x.shape[1]):
+        for cut in sorted(set(x[:, f]))[:-1]:
+            sides = [np.bincount(y[x[:, f] <= cut], minlength=3), np.bincount(y[x[:, f] > cut], minlength=3)]
+            value = sum(models.impurity(s, kind) * s.sum() for s in sides) / len(y)
+            if best is None or value < best[0] - 1e-12:
+                best = (value, f, cut)
+    return best
+
+
+@pytest.mark.parametrize("kind", ["gini", "entropy", "misclass"])
+def test_decision_tree_splits_as_brute_force_does(spark, kind):
+    draw = np.random.default_rng(5)
+    x = draw.integers(0, 12, (300, 4)).astype(float)
+    y = ((x[:, 2] > 6) + (x[:, 0] > 3) * (x[:, 2] > 6)).astype(int)
+    rows = spark.createDataFrame([(i, int(y[i]), x[i].tolist()) for i in range(300)], "id long, label int, e array<double>")
+    found, splits = models.grow_tree(rows, "label", "e", 3, depth=3, kind=kind)
+    value, feature, cut = brute_split(x, y, kind)
+    sides = [np.bincount(y[m], minlength=3) for m in (x[:, splits[1][0]] <= splits[1][1], x[:, splits[1][0]] > splits[1][1])]
+    assert sum(models.impurity(s, kind) * s.sum() for s in sides) / 300 == pytest.approx(value)
+    leaves = {}
+    for r in found.collect():
+        leaves.setdefault(r.node, []).append(r.label)
+    if kind != "misclass":
+        assert all(len(set(v)) == 1 for v in leaves.values())
+    for r in found.limit(40).collect():  # the splits lead each row to its leaf
+        node = 1
+        while node in splits:
+            f, c = splits[node]
+            node = 2 * node + int(r.e[f] > c)
+        assert node == r.node
+
+
+def test_tree_of_equal_rows_and_of_a_share_of_features(spark):
+    rows = spark.createDataFrame([(1, 0, [1.0, 2.0]), (2, 1, [1.0, 2.0])], "id long, label int, e array<double>")
+    assert models.grow_tree(rows, "label", "e", 2)[1] == {}
+    more = spark.createDataFrame([(i, i % 2, [float(i % 2), 0.0]) for i in range(20)], "id long, label int, e array<double>")
+    assert set(models.grow_tree(more, "label", "e", 2, share=0.5, seed=1)[1]) <= {1}
+
+
+def test_models_learn(spark, sf_dir):
+    from quillmere.plans import catalog
+
+    t = lambda name: catalog.QUERIES[name](spark, sf_dir)
+    scores = {r.model: r.score for r in t("ml_linear_models").collect()}
+    assert set(scores) == {"logistic", "svc", "tree", "dense", "ridge", "lasso", "elastic"}
+    losses = [r.loss for r in t("ml_logreg_sgd").orderBy("epoch").collect()]
+    assert len(losses) == 5 and losses[-1] < losses[0]
+    kmeans = {r.k: r.inertia for r in t("ml_kmeans").collect()}
+    assert kmeans[10] < kmeans[3]
+    tags = t("ml_tag_predictor").where("lang is not null").collect()
+    names = sorted({r.lang for r in tags})
+    assert np.mean([names[r.predicted] == r.lang for r in tags]) > 0.8
+    prices = {r.p_partkey: r.p_retailprice for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_retailprice").collect()}
+    stacked = t("ml_stacking").collect()
+    middle = np.median(list(prices.values()))
+    assert np.mean([(r.price - prices[r.p_partkey]) ** 2 for r in stacked]) <= 1.05 * np.mean([(middle - p) ** 2 for p in prices.values()])
+    leaves = t("ml_decision_tree").collect()
+    assert sum(r.rows for r in leaves) == spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+
+
+def test_stacking_out_of_fold_predicts_every_row_once(spark, sf_dir):
+    rows = models._priced(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    found = models.stacked_rows(rows, "p_partkey", folds=2)
+    assert found.count() == rows.count() == found.select("p_partkey").distinct().count()
+    assert {"ridge", "tree", "boosted"} <= set(found.columns)
+
+
+def test_clipped_gradient_stops_where_the_loss_is_clipped():
+    wide, y = np.array([[1.0, 30.0]]), np.array([0.0])
+    free, clipped = np.array([0.0, 1.0]), np.array([0.0, 1.0])
+    models.sgd_steps(free, wide, y)
+    models.sgd_steps(clipped, wide, y, clipped=True)
+    assert free[1] < 1 and clipped[1] == 1
+
+
+def test_jobs_by_mode_in_stages_and_side_by_side(spark, sf_dir):
+    assert jobs.run_mode(spark, sf_dir, "word_pairs", 3).first()["label"] == "total"
+    with pytest.raises(ValueError):
+        jobs.run_mode(spark, sf_dir, "word_pairs", 9)
+    assert [n for n, _ in jobs.run_staged(spark, sf_dir, "warehouse")] == list(jobs.STAGED["warehouse"])
+    assert all(n > 0 for n in jobs.launch(spark, sf_dir, ("dashboard_rows", "edges_top10k")).values())
