@@ -595,3 +595,21 @@ def ext_session(t) -> DataFrame:
 @query("ext", "SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS n, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def ext_rollup(t) -> DataFrame:
     return t("lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("long").alias("quantity"))
+
+
+@query("K16", """SELECT 'bar' AS chart, event_type AS x, CAST(0 AS BIGINT) AS y, CAST(count(*) AS DOUBLE) AS height FROM events GROUP BY event_type
+UNION ALL SELECT 'heat map', event_type, CAST(floor(value / 10) AS BIGINT), CAST(count(*) AS DOUBLE) FROM events GROUP BY 1, 2, 3
+UNION ALL SELECT 'density', event_type, b, round(n / (10 * sum(n) OVER (PARTITION BY event_type)), 6) FROM (SELECT event_type, CAST(floor(value / 10) AS BIGINT) AS b, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY 1, 2) d
+UNION ALL SELECT 'curve', event_type, b, sum(n) OVER (PARTITION BY event_type ORDER BY b) FROM (SELECT event_type, CAST(floor(value / 10) AS BIGINT) AS b, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY 1, 2) c""")
+def chart_frames(t) -> DataFrame:
+    """What bars, a heat map, densities and running curves are drawn from, in long form.
+
+    Events are counted once by type and bin; all charts are made of those counts.
+    """
+    cells = t("events").groupBy(F.col("event_type").alias("x"), F.floor(F.col("value") / 10).cast("long").alias("y")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    upto = Window.partitionBy("x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
+    drawn = cells.select("x", "y", "n", F.round(F.col("n") / (10 * total_of("n", "x")), 6).alias("share"), F.sum("n").over(upto).alias("sum"))
+    charts = F.array(*(F.struct(F.lit(name).alias("chart"), F.col(height).alias("height")) for name, height in (("heat map", "n"), ("density", "share"), ("curve", "sum"))))
+    long = drawn.select("x", "y", F.explode(charts).alias("c")).select("c.chart", "x", "y", "c.height")
+    bars = cells.groupBy("x").agg(F.sum("n").alias("height")).select(F.lit("bar").alias("chart"), "x", F.lit(0).cast("long").alias("y"), "height")
+    return bars.unionByName(long)

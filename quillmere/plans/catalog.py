@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from quillmere.operators import analytics, edges, features, models, summary, text, warehouse
 from quillmere.plans.registry import CATALOG
-from quillmere.sources import roundtrips
+from quillmere.sources import images, roundtrips
 from quillmere.streaming import queries as streaming
 
-MODULES = (summary, text, edges, warehouse, analytics, features, models, roundtrips, streaming)
+MODULES = (summary, text, edges, warehouse, analytics, features, models, roundtrips, images, streaming)
 
 QUERIES = CATALOG.queries
 ORACLE_SQL = CATALOG.oracle

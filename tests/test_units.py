@@ -13,6 +13,7 @@ from quillmere.functions.transformers import TagStripper, TokenJoiner, TokenTran
 from quillmere.operators import edges, models, summary, text, warehouse
 from quillmere.operators.models import optics_order, sgd_logistic
 from quillmere.plans import jobs
+from quillmere.sources import images
 from quillmere.streaming import queries as streaming
 
 
@@ -408,3 +409,49 @@ def test_jobs_by_mode_in_stages_and_side_by_side(spark, sf_dir):
         jobs.run_mode(spark, sf_dir, "word_pairs", 9)
     assert [n for n, _ in jobs.run_staged(spark, sf_dir, "warehouse")] == list(jobs.STAGED["warehouse"])
     assert all(n > 0 for n in jobs.launch(spark, sf_dir, ("dashboard_rows", "edges_top10k")).values())
+
+
+def test_waiting_items_leave_in_order_and_their_priorities_only_fall():
+    draw = np.random.default_rng(3)
+    waiting, expected, done = models.Waiting(40), {}, set()
+    for _ in range(300):
+        items = draw.choice(40, 5, replace=False)
+        values = draw.integers(0, 50, 5) / 2
+        for i, v in zip(items.tolist(), values.tolist(), strict=True):
+            if v < expected.get(i, np.inf):
+                expected[i] = v
+                done.discard(i)
+        waiting.lower(items, values)
+        assert len(waiting.heap) <= 2 * 40
+        open_ = [(v, i) for i, v in expected.items() if i not in done]
+        if draw.random() < 0.5:
+            assert waiting.take() == (min(open_)[1] if open_ else None)
+            done |= {min(open_)[1]} if open_ else set()
+
+
+@pytest.mark.parametrize("linear", [False, True])
+def test_partial_fit_goes_on_and_repeats_safely(spark, tmp_path, linear):
+    draw = np.random.default_rng(7)
+    x = draw.normal(size=(60, 3))
+    y = x @ np.array([1.0, -2.0, 0.5]) if linear else (x[:, 0] > 0).astype(float)
+    rows = [(x[i].tolist(), float(y[i])) for i in range(60)]
+    frames = [spark.createDataFrame(part, "embedding array<double>, y double").coalesce(1) for part in (rows[:40], rows[40:], rows[:0])]
+    path = str(tmp_path / "weights")
+    first = models.partial_fit(frames[0], path, 0, linear)
+    assert models.partial_fit(frames[0], path, 0, linear) == first
+    both = models.partial_fit(frames[1], path, 1, linear)
+    expected = np.zeros(4)
+    models.sgd_steps(expected, np.hstack([np.ones((60, 1)), x]), y, linear=linear)
+    assert both == pytest.approx(expected.tolist())
+    assert models.partial_fit(frames[2], path, 2, linear) == both
+    assert models.partial_fit(frames[2], str(tmp_path / "none"), 0, linear) == []
+
+
+def test_images_are_gray_whole_and_files_that_are_none_are_left_out(spark, tmp_path):
+    draw = np.random.default_rng(1)
+    pixels = draw.integers(0, 256, (3, 5, 3)).astype(np.uint8)
+    (tmp_path / "a.bmp").write_bytes(images.bitmap(pixels))
+    (tmp_path / "b.bmp").write_bytes(b"no picture")
+    (row,) = images.gray_images(spark, str(tmp_path)).collect()
+    assert (row.name, row.height, row.width) == ("a.bmp", 3, 5)
+    assert row.gray == pytest.approx((pixels @ np.array([0.299, 0.587, 0.114])).ravel().tolist())
