@@ -26,34 +26,39 @@ def sentence_rows(docs: DataFrame) -> DataFrame:
 SHORT, PART = 64, 256
 
 
-def _sentence_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, words) of each sentence."""
-    return sentence_rows(docs).select("doc_id", "n", counted_words(F.col("sentence")).alias("words"))
+def _sentences(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, sentence), with a null for a text without one.
 
-
-def _counted(words: Column) -> Column:
-    """The distinct words in order, with their counts; quadratic, so for short sentences."""
-    return F.transform(F.array_sort(F.array_distinct(words)), lambda w: F.struct(w.alias("w"), F.size(F.filter(words, lambda x: x == w)).cast("long").alias("c")))
+    Outer generators keep Spark from inferring a filter of the array's size, for which it would
+    make the array twice. The same holds for the words below.
+    """
+    return docs.select("doc_id", F.posexplode_outer(sentences(F.col("text"))).alias("n", "sentence"))
 
 
-def _long_counted(sentences_: DataFrame) -> DataFrame:
-    """(doc_id, n, w, c) of long sentences; a word is counted in parts before the shuffle."""
-    return sentences_.where(F.size("words") > SHORT).select("doc_id", "n", F.explode("words").alias("w")).groupBy("doc_id", "n", "w").agg(F.count(F.lit(1)).alias("c"))
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows over all cores, where a small table has fewer splits than those; else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def word_pairs(docs: DataFrame) -> DataFrame:
     """(w1, w2, n) with w1 < w2: how often the words stand in one sentence, by position pairs.
 
-    A sentence's words are counted first. Each pair of different words then counts the product
-    of the two, so a word that a sentence says a thousand times makes no more rows. Pairs of a
-    short sentence are made in its row and summed before the one shuffle, by pair. The words of a
-    long one are dealt over parts, and each part meets all of them, so no task has all its pairs.
+    The words of a short sentence meet in its row and pairs are counted before the one shuffle, by
+    pair. Those of a long one are counted first, and each pair of different words then counts
+    the product of the two, so a word that a sentence says a thousand times makes no more rows;
+    the words are dealt over parts, and each part meets all of them, so no task has all pairs.
     """
-    sentences_ = _sentence_words(docs)
-    short = sentences_.where(F.size("words").between(2, SHORT)).select(_counted(F.col("words")).alias("d"))
-    short = short.select("d", F.posexplode("d").alias("i", "a")).select("a", F.explode(F.slice("d", F.col("i") + 2, F.size("d"))).alias("b"))
-    short = short.select(F.col("a.w").alias("w1"), F.col("b.w").alias("w2"), (F.col("a.c") * F.col("b.c")).alias("n"))
-    counted = _long_counted(sentences_)
+    sentences_ = _sentences(spread(docs))
+    words = counted_words(F.col("sentence"))
+    short = sentences_.select(F.when(F.size(words) <= SHORT, words).alias("words"))
+    short = short.select("words", F.explode_outer("words").alias("w1")).select("w1", F.explode_outer("words").alias("w2"))
+    short = short.where("w1 < w2").select("w1", "w2", F.lit(1).cast("long").alias("n"))
+    # each letter of a word stands for one character at least, so shorter sentences need no look
+    likely = sentences_.where(F.length("sentence") >= LEAST_LETTERS * (SHORT + 1))
+    long = likely.select("doc_id", "n", F.when(F.size(words) > SHORT, words).alias("words"))
+    long = long.select("doc_id", "n", F.explode_outer("words").alias("w")).where("w is not null")
+    counted = long.groupBy("doc_id", "n", "w").agg(F.count(F.lit(1)).alias("c"))
     parts = counted.groupBy("doc_id", "n").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     dealt = counted.join(parts, ["doc_id", "n"])
     left = dealt.select("doc_id", "n", F.pmod(F.xxhash64("w"), "parts").cast("int").alias("part"), F.col("w").alias("w1"), F.col("c").alias("c1"))
@@ -81,12 +86,20 @@ def word_pairs_top200(t) -> DataFrame:
 
 @query("A2", f"SELECT 'total' AS label, CAST(sum(n) AS BIGINT) AS n FROM ({_PAIRS_SQL}) p")
 def word_pairs_total(t) -> DataFrame:
-    """Without the pairs: a sentence with word counts c has ((sum c)^2 - sum c^2) / 2 of them."""
-    sentences_ = _sentence_words(t("documents"))
-    squares = F.aggregate(_counted(F.col("words")), F.lit(0).cast("long"), lambda q, x: q + x["c"] * x["c"])
-    short = sentences_.where(F.size("words").between(2, SHORT)).select(F.size("words").cast("long").alias("s"), squares.alias("q"))
-    long = _long_counted(sentences_).groupBy("doc_id", "n").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).select("s", "q")
-    sums = short.unionByName(long)
+    """Without the pairs: a sentence with word counts c has ((sum c)^2 - sum c^2) / 2 of them.
+
+    The squares are summed along the sorted words, the k-th of a run of equal ones giving 2k - 1;
+    nothing is shuffled but the last sum.
+    """
+
+    def step(s: Column, w: Column) -> Column:
+        run = F.when(s["w"] == w, s["run"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(w.alias("w"), run.alias("run"), (s["q"] + 2 * run - 1).alias("q"))
+
+    zero = F.lit(0).cast("long")
+    none = F.struct(F.lit("").alias("w"), zero.alias("run"), zero.alias("q"))
+    words = _sentences(t("documents")).select(F.sort_array(counted_words(F.col("sentence"))).alias("words"))
+    sums = words.select(F.size("words").cast("long").alias("s"), F.aggregate("words", none, step, lambda s: s["q"]).alias("q"))
     return sums.agg(F.sum(((F.col("s") * F.col("s") - F.col("q")) / 2).cast("long")).alias("n")).select(F.lit("total").alias("label"), "n")
 
 
