@@ -41,6 +41,11 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+def term_rows(docs: DataFrame, *columns: str) -> DataFrame:
+    """(columns, term) for each token of a text."""
+    return spread(docs).select(*columns, F.explode_outer(tokens(F.col("text"))).alias("term")).where("term is not null")
+
+
 def word_pairs(docs: DataFrame) -> DataFrame:
     """(w1, w2, n) with w1 < w2: how often the words stand in one sentence, by position pairs.
 
@@ -117,7 +122,7 @@ _WORD_ROWS_SQL = f"SELECT doc_id, lang, unnest({_TOKENS.format('text')}) AS w FR
 
 @query("A26", f"SELECT w AS word, CAST(count(*) AS BIGINT) AS n FROM ({_WORD_ROWS_SQL}) d GROUP BY w ORDER BY n DESC, word LIMIT 100")
 def word_frequency_top_n(t) -> DataFrame:
-    words = t("documents").select(F.explode(tokens(F.col("text"))).alias("word"))
+    words = term_rows(t("documents")).withColumnRenamed("term", "word")
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(100)
 
 
@@ -130,7 +135,7 @@ SELECT lang, term, round(tf * (ln((1.0 + (SELECT count(*) FROM documents)) / (1.
 def tfidf_top_terms(t) -> DataFrame:
     """The heaviest terms of each language, with the smoothed inverse document frequency."""
     docs = t("documents")
-    counted = docs.select("doc_id", "lang", F.explode(tokens(F.col("text"))).alias("term")).groupBy("doc_id", "lang", "term").agg(F.count(F.lit(1)).alias("c"))
+    counted = term_rows(docs, "doc_id", "lang").groupBy("doc_id", "lang", "term").agg(F.count(F.lit(1)).alias("c"))
     tf = counted.groupBy("lang", "term").agg(F.sum("c").alias("tf"), F.count(F.lit(1)).alias("d"))
     df = tf.groupBy("term").agg(F.sum("d").alias("df")).where("df >= 5")
     total = F.broadcast(docs.agg(F.count(F.lit(1)).alias("docs")))  # one row
@@ -145,7 +150,7 @@ JOIN (SELECT w AS term, CAST(count(DISTINCT doc_id) AS BIGINT) AS df FROM ({_WOR
 def bow_idf(t) -> DataFrame:
     """A bag of words over the 100 terms in most documents, and its weights, in long form."""
     docs = t("documents")
-    tf = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = term_rows(docs, "doc_id").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "term").limit(100)
     total = F.broadcast(docs.agg(F.count(F.lit(1)).alias("docs")))  # one row
     weighed = tf.join(F.broadcast(df), "term").join(total)  # 100 rows
