@@ -48,10 +48,10 @@ def corr_fare_class(t) -> DataFrame:
 
 @query("E8 J11", "SELECT p_partkey, CAST(i AS BIGINT) AS type_index, 1.0::DOUBLE AS value FROM part JOIN (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS i FROM (SELECT DISTINCT p_type FROM part) d) x USING (p_type)")
 def onehot_long(t) -> DataFrame:
-    """Labels by alphabetical index, one-hot in long form."""
+    """Labels by alphabetical index, one-hot in long form. Only the dictionary of labels is put in order."""
     kinds = t("part").select("p_type").distinct()
     indexed = kinds.select("p_type", (F.row_number().over(Window.orderBy("p_type")) - 1).cast("long").alias("type_index"))
-    return t("part").join(F.broadcast(indexed), "p_type").select("p_partkey", "type_index", F.lit(1.0).alias("value"))  # a row for each type
+    return t("part").join(indexed, "p_type").select("p_partkey", "type_index", F.lit(1.0).alias("value"))
 
 
 @query("E9 E11 E12 E13", f"""SELECT p_partkey, round((x - avg(x) OVER ()) / stddev_pop(x) OVER (), 4) AS scaled_size, round((p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER (), 4) AS scaled_price, round(x + p_retailprice, 4) AS total FROM
@@ -85,19 +85,22 @@ def normalise_vectors(t) -> DataFrame:
     return v.select("vec_id", r4(F.sqrt(total(F.transform("e", lambda x: x * x)))).alias("norm"), r4(gray).alias("gray"), r4(total(masked) / 32).alias("half_mean"))
 
 
-#: Queries of a block: each block meets all rows, and one block alone is small enough to send along.
-BLOCK_QUERIES = 1_000
+#: Queries of a block, and rows of a slice: each block meets each slice in a task, and one block alone is small enough to send along.
+BLOCK_QUERIES, SLICE_ROWS = 1_000, 20_000
 
 
-def _distances(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """(v1, v2, d) of every query and every other row, a block of queries at a time."""
-    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+def _distances(rows: DataFrame, queries: DataFrame, block_queries: int = BLOCK_QUERIES, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """(v1, v2, d) of every query and every other row, a block of queries and a slice of rows at a time."""
+    blocks = max(1, -(-queries.count() // block_queries))
     gap = F.aggregate(F.zip_with("e1", "e2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     if blocks == 1:
         met = rows.join(F.broadcast(queries))  # BLOCK_QUERIES rows at the most
     else:
-        dealt = queries.withColumn("block", F.pmod(F.xxhash64("v1"), F.lit(blocks)).cast("int"))
-        met = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "block")
+        parts = max(1, -(-rows.count() // slice_rows))
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        part = lambda n, *of: F.pmod(F.xxhash64(*of), F.lit(n)).cast("int")
+        dealt = queries.withColumn("block", part(blocks, "v1", "e1")).withColumn("slice", each(parts))
+        met = rows.withColumn("slice", part(parts, "v2", "e2")).withColumn("block", each(blocks)).join(dealt, ["block", "slice"])
     return met.where("v1 <> v2").select("v1", "v2", F.sqrt(gap).alias("d"))
 
 

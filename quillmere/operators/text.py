@@ -206,7 +206,7 @@ def coded_characters(t) -> DataFrame:
     """(item_id, pos, char_id, next_char_id): ids by code point, the target is the next character."""
     chars = F.filter(F.split("text", ""), lambda c: c != "")
     rows = t("benchmark").select("item_id", F.posexplode(chars).alias("pos", "ch")).select("item_id", (F.col("pos") + 1).cast("long").alias("pos"), "ch")
-    # the vocabulary is the alphabet: one row for each character that there is
+    # the vocabulary is the alphabet: one row for each character, 1,114,112 of them at the most
     vocabulary = rows.select("ch").distinct().select("ch", (F.row_number().over(Window.orderBy("ch")) - 1).cast("long").alias("id"))
     following = F.lead("id").over(Window.partitionBy("item_id").orderBy("pos"))
     return rows.join(F.broadcast(vocabulary), "ch").select("item_id", "pos", F.col("id").alias("char_id"), following.alias("next_char_id"))

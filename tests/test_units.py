@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillmere.components import components
+from quillmere.functions.hot import join_hot
 from quillmere.functions.text import counted_words, normalised, sentences
 from quillmere.functions.transformers import TagStripper, TokenJoiner, TokenTransformer
 from quillmere.operators import edges, models, summary, text, warehouse
@@ -126,17 +128,49 @@ def test_dates_of_parts(spark, sf_dir):
     assert isinstance(row.due, datetime.date) and 1 <= row.week <= 53
 
 
-def test_blocks_of_queries_meet_all_rows(spark, monkeypatch):
+def test_blocks_of_queries_meet_all_rows(spark):
     from quillmere.operators import features
 
     rows = spark.createDataFrame([(i, [float(i), float(i % 7)]) for i in range(60)], "v2 long, e2 array<double>")
     queries = rows.where("v2 % 5 = 0").withColumnsRenamed({"v2": "v1", "e2": "e1"})
     whole = sorted(map(tuple, features._distances(rows, queries).collect()))
-    monkeypatch.setattr(features, "BLOCK_QUERIES", 5)
-    assert sorted(map(tuple, features._distances(rows, queries).collect())) == whole
+    assert sorted(map(tuple, features._distances(rows, queries, 5, 16).collect())) == whole
     assert len(whole) == 12 * 59
 
 
+@pytest.mark.parametrize("values", [[1.5], [2.0, 2.0, None, 7.25], [float(i * i % 113) for i in range(500)], [1e9, *map(float, range(40))]])
+def test_quantiles_by_ranges(spark, values):
+    from quillmere.operators import analytics
+
+    rows = spark.createDataFrame([(v,) for v in values], "o_totalprice double")
+    found = analytics.describe_quantiles(lambda _: rows).first()
+    known = [v for v in values if v is not None]
+    assert (found.n, found.low, found.high) == (len(known), min(known), max(known))
+    for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("p99", 0.99)):
+        assert found[name] == pytest.approx(np.quantile(known, q), abs=0.006)
+
+
+def test_quantiles_of_no_rows(spark):
+    from quillmere.operators import analytics
+
+    found = analytics.describe_quantiles(lambda _: spark.createDataFrame([], "o_totalprice double")).collect()
+    assert [(r.n, r.median) for r in found] == [(0, None)]
+
+
+def test_hot_keys_join_as_others(spark):
+    rows = spark.createDataFrame([(1 if i % 3 else i % 7, i) for i in range(900)] + [(None, -1)], "k long, v long")
+    small = rows.groupBy("k").agg(F.min("v").alias("least"), F.count(F.lit(1)).alias("n"))
+    expected = sorted(map(tuple, rows.join(small.drop("n"), "k").collect()))
+    for total in (1, 200_000, 10**9):  # all keys are hot, one of them, none
+        assert sorted(map(tuple, join_hot(rows, small, "k", "n", total).select("k", "v", "least").collect())) == expected
+
+
+def test_components_with_hubs(spark):
+    pairs = [(5, i) for i in range(300)] + [(9_999, i) for i in range(400, 700)] + [(700 + i, 701 + i) for i in range(30)]
+    found = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert found == {**{i: 0 for i in range(300)}, **{i: 400 for i in [*range(400, 700), 9_999]}, **{i: 700 for i in range(700, 731)}}
+
+
 def brute_dbscan(ids, points, eps, min_points):
     near = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1)) <= eps
     core = near.sum(1) >= min_points
