@@ -8,7 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from quillmere.functions.hot import join_hot
+
+from .common import arrow_map, cut_lineage
 
 _MASK = (1 << 64) - 1
 #: Slots in a bucket of the filter, and moves tried before it counts as full.
@@ -152,10 +154,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     group. The largest id of a group stays. A null id is the smallest. Rows that repeat both id
     and text are one document listed again: each of them is marked kept if its id is, and
     group_size counts them all. Other columns of docs, whatever their names, are not read.
-    An empty table gives an empty result.
+    An empty table gives an empty result. Rows of a text that more than one row in 1000 has are
+    told what stays where they are, and are not shuffled.
     """
-    keyed = digests(docs, id_col, text_col)
-    joined = keyed.join(live_groups(keyed), "digest")
+    keyed = cut_lineage(digests(docs, id_col, text_col))
+    live = cut_lineage(live_groups(keyed))
+    total = live.agg(F.sum("group_size")).first()[0] or 0
+    joined = join_hot(keyed, live.withColumn("rows", F.col("group_size")), "digest", "rows", total)
     return joined.select(
         "doc_id", "keep_id", "group_size",
         F.coalesce(F.col("doc_id").eqNullSafe(F.col("keep_id")), F.lit(False)).alias("kept"),
