@@ -21,6 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmere.functions.hot import join_hot
+
 from .common import arrow_map, chunks, cut_lineage, doc_key, slices, text_bytes
 from .textscan import mix
 
@@ -566,8 +568,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = text_bytes(rows)
     buckets, suffix_buckets = -(-size // ANCHOR_BYTES) or 1, -(-size // SUFFIX_BYTES) or 1
     narrow = rows.select("doc", "key", "sha")
-    least = narrow.groupBy("sha").agg(F.min("doc").alias("least"), F.first("key").alias("key"))
-    info = narrow.distinct().join(least.select("sha", "least"), "sha").select("doc", "key", (F.col("least") < F.col("doc")).alias("copy"))
+    least = narrow.groupBy("sha").agg(F.min("doc").alias("least"), F.first("key").alias("key"), F.count(F.lit(1)).alias("n"))
+    info = join_hot(narrow.distinct(), least.select("sha", "least", "n"), "sha", "n", rows.count()).select("doc", "key", (F.col("least") < F.col("doc")).alias("copy"))
 
     dealt = arrow_map(rows.select("key", "text"), _anchor_rows(buckets, buckets), _ANCHORS)
     dealt = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket")
