@@ -1,10 +1,11 @@
 """N-gram Jaccard join with a count-vector R-tree (operator 6).
 
-Equal shingle sets are one node. Two sets that are similar enough share a shingle among the
-first fifth of each, in any order of the shingles that all sets agree on; the order used here
-puts frequent ones last. Sets that share such a shingle, directly or through others, form a
-block: no link leaves it. Sets meet in tasks of a bounded number of shingles, where an R-tree
-over their count vectors finds the pairs worth an exact comparison.
+Equal shingle sets are one node. Sets that are similar enough share one of the few marks that
+each has, see `prefix`: a small set's are pairs of shingles, a larger one's are small hashed
+groups of them. Sets that share a mark, directly or through others, form a block: no link leaves
+it. Single shingles would not do, since among enough texts most share one with some other: a
+growing part of them would be one block. Sets meet in tasks of a bounded number of shingles, where an R-tree over
+their count vectors finds the pairs worth an exact comparison.
 
 A block of up to UNIT shingles meets in one task. Of a larger one only the count vectors meet, in
 tiles by size class; sets whose bound allows a link, directly or through others, form the smaller
@@ -37,9 +38,11 @@ WORDS, OVER, UNDER = 5, 4, 5
 LEAST_BITS, MOST_BITS, PART_BITS, BITS_PER_ROW = 20, 27, 6, 64
 #: Log2 of the shingles that a task remembers to see which ones come again.
 SEEN_BITS = 20
-#: Bytes of text that are worked on, and whose rows go out, at once; and those whose prefix
-#: shingles make a bucket.
+#: Bytes of text that are worked on, and whose rows go out, at once; and those whose marks make
+#: a bucket.
 SLICE_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+#: Log2 of the least number of shingles of a set whose marks are groups, and of its groups.
+GROUPED_BITS = 6
 #: Shingles of the sets of a tile, and of a class's leaders, about.
 UNIT, LEADERS = 1 << 18, 1 << 15
 #: Shingles of the sets of a tile of count vectors, about.
@@ -132,17 +135,49 @@ def bitmap(df: DataFrame, places, rows: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def prefix(shingles: np.ndarray, repeated: np.ndarray) -> np.ndarray:
-    """The shingles, unrepeated ones first, one of which any similar set has among its own.
+def level(n: int) -> int:
+    """Which groups tell sets of n shingles: 2 ** (GROUPED_BITS + level), one for 1 to 2 of them; -1: pairs do."""
+    return max(-1, n.bit_length() - 1 - GROUPED_BITS)
+
 
-    A partner shares OVER / UNDER of this set at least, so it misses no more than the rest.
+def prefix(shingles: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+    """The set's marks, of which any similar set that isn't equal has one among its own.
+
+    Of two similar sets the level of the larger one counts, so a set has marks of its own level
+    and of that of its largest partner, if they differ. With pairs: a partner shares OVER / UNDER
+    of this set at least, so two of the first shingles, in an order that all agree on, are shared
+    if there are two more than a partner may miss. With groups: a set differs from a partner by
+    at most a quarter of its shingles, each of which changes one group; so the first groups will
+    do, one more than that. Groups without shingles don't count: a set has more others than it
+    needs but for a chance below 10 ** -20. Repeated shingles come last, as do groups of few others.
     """
     n = len(shingles)
-    size = n - -(-n * OVER // UNDER) + 1
-    if size >= n:
-        return shingles
-    key = _marks(repeated, shingles).astype(np.uint64) << np.uint64(63) | mix(shingles) >> np.uint64(1)
-    return shingles[np.argpartition(key, size - 1)[:size]]
+    own, up = level(n), level(n * UNDER // OVER)
+    if n * UNDER // OVER == n:
+        return np.zeros(0, np.uint64)  # similar to equal sets alone
+    mark = _marks(repeated, shingles).astype(np.uint64)
+    found = []
+    if own < 0:
+        size = n - -(-n * OVER // UNDER) + 2
+        key = mark << np.uint64(63) | mix(shingles) >> np.uint64(1)
+        first = np.sort(shingles[np.argpartition(key, size - 1)[:size]])
+        i, j = np.triu_indices(size, 1)
+        found.append(mix(first[i] * np.uint64(0xD6E8FEB86659FD93) + first[j]))
+    if up < 0:
+        return found[0]
+    # in order, so that groups of 2 ** bits are runs of equal first bits
+    order = np.sort(mix(shingles) & ~np.uint64(1) | mark)
+    weight = 4 - 3 * (order & np.uint64(1)).astype(np.int64)
+    size = (n * UNDER // OVER - n) + 1
+    for at in sorted({own, up} - {-1}):
+        group = order >> np.uint64(64 - GROUPED_BITS - at)
+        heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        marks = mix(np.add.reduceat(order, heads) + np.uint64(at))
+        if size < len(heads):
+            heavy = np.minimum(np.add.reduceat(weight, heads), 8).astype(np.uint64)
+            marks = marks[np.argpartition((np.uint64(8) - heavy) << np.uint64(61) | marks >> np.uint64(3), size - 1)[:size]]
+        found.append(marks)
+    return np.concatenate(found)
 
 
 def _digest(shingles: np.ndarray) -> tuple[int, int]:
@@ -154,15 +189,20 @@ def _digest(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(both.view(np.int64).tolist())
 
 
-_NARROW, _DEALT = -1, "bucket int, keys binary, counts binary, sizes binary, ids binary"
+_DEALT = "bucket int, keys binary, classes binary, ids binary"
+
+
+def _class_of(n: int) -> int:
+    """The size class: sets that link are of one or of neighbouring ones."""
+    return math.floor(math.log(n) / math.log(UNDER / OVER))
 
 
 def _prefix_rows(repeated: np.ndarray, buckets: int):
-    """(doc, text key, text) to rows for buckets of prefix shingles, and one row of the sets' digests."""
+    """(doc, text key, text) to rows for buckets of marks; those of negative buckets have the sets' digests as ids."""
 
     def some_rows(batch: pa.RecordBatch) -> Iterator[tuple]:
         narrow: list[tuple] = []
-        ids, owner, sizes, keys = [], [], [], []
+        ids, sizes, keys, classes = [], [], [], []
         docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         seen: set[int] = set()
         for row, _, data, bounds in chunks(batch.column(2)):
@@ -173,32 +213,28 @@ def _prefix_rows(repeated: np.ndarray, buckets: int):
                     seen.add(first)
                     some = prefix(shingles, repeated)
                     ids.append(some)
-                    owner.append(np.full(len(some), len(keys), np.int32))
+                    sizes.append(len(some))
                     keys.append(first)
-                    sizes.append(len(shingles))
+                    classes.append(_class_of(len(shingles)))
         if narrow:
-            yield _NARROW, b"", b"", b"", np.array(narrow, "<i8").tobytes()
-        if not keys:
+            yield -1 - (narrow[0][1] & 0x7FFFFFFF) % buckets, b"", b"", np.array(narrow, "<i8").tobytes()
+        if not sum(sizes):
             return
-        ids, owner = mix(np.concatenate(ids) + np.uint64(7)), np.concatenate(owner)
+        ids, owner = mix(np.concatenate(ids) + np.uint64(7)), np.repeat(np.arange(len(keys)), sizes)
         bucket = ((ids >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((owner, bucket))
-        ids, owner, bucket = ids[order], owner[order], bucket[order]
-        key_of, size_of = np.array(keys, "<i8"), np.array(sizes, "<u4")
+        order = np.argsort(bucket, kind="stable")
+        owner, bucket, low = owner[order], bucket[order], (ids[order] & np.uint64(0xFFFFFFFF)).astype("<u4")
+        key, kind = np.array(keys, "<i8")[owner], np.array(classes, np.uint8)[owner]
         edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
         for start, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            part = owner[start:end]
-            heads = np.flatnonzero(np.concatenate([[True], np.diff(part) != 0]))
-            counts = np.diff(np.concatenate([heads, [len(part)]])).astype("<u4")
-            low = (ids[start:end] & np.uint64(0xFFFFFFFF)).astype("<u4")
-            yield int(bucket[start]), key_of[part[heads]].tobytes(), counts.tobytes(), size_of[part[heads]].tobytes(), low.tobytes()
+            yield int(bucket[start]), key[start:end].tobytes(), kind[start:end].tobytes(), low[start:end].tobytes()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, 2, SLICE_BYTES):
-                columns = list(zip(*some_rows(some), strict=True)) or [()] * 5
-                types = [pa.int32(), *[pa.binary()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "keys", "counts", "sizes", "ids"])
+                columns = list(zip(*some_rows(some), strict=True)) or [()] * 4
+                types = [pa.int32(), *[pa.binary()] * 3]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "keys", "classes", "ids"])
 
     return rows
 
@@ -229,19 +265,24 @@ class Forest:
 
 
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) that tie together the sets of a bucket that share a shingle and could link.
+    """Edges (a, b) that tie together the sets of a bucket that share a mark and could link; digests go on as they are.
 
-    Of the sets with one shingle, ordered by size, neighbours are tied if their sizes allow it:
-    if two sets' sizes do, so do those of all neighbours between them.
+    Of the sets with one mark, ordered by size class, neighbours are tied if their classes allow
+    it: if two sets' classes do, so do those of all neighbours between them.
     """
-    for _, rows in by_bucket(batches):
-        counts = [np.frombuffer(r["counts"], "<u4") for r in rows]
-        keys = np.concatenate([np.repeat(np.frombuffer(r["keys"], "<i8"), c) for r, c in zip(rows, counts, strict=True)])
-        sizes = np.concatenate([np.repeat(np.frombuffer(r["sizes"], "<u4"), c) for r, c in zip(rows, counts, strict=True)]).astype(np.int64)
-        ids = np.concatenate([np.frombuffer(r["ids"], "<u4") for r in rows])
-        order = np.lexsort((keys, sizes, ids))
-        keys, sizes, ids = keys[order], sizes[order], ids[order]
-        tie = (ids[1:] == ids[:-1]) & (keys[1:] != keys[:-1]) & (UNDER * sizes[:-1] >= OVER * sizes[1:])
+    for bucket, rows in by_bucket(batches):
+        if bucket < 0:
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), pa.array([r["ids"] for r in rows], pa.binary())], ["a", "b", "ids"])
+            continue
+        keys, kinds, ids = (np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in (("keys", "<i8"), ("classes", np.uint8), ("ids", "<u4")))
+        # most marks are one set's alone
+        by_id = np.argsort(ids, kind="stable")
+        same = ids[by_id][1:] == ids[by_id][:-1]
+        kept = by_id[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+        keys, kinds, ids = keys[kept], kinds[kept].astype(np.int64), ids[kept]
+        order = np.lexsort((keys, kinds, ids))
+        keys, kinds, ids = keys[order], kinds[order], ids[order]
+        tie = (ids[1:] == ids[:-1]) & (keys[1:] != keys[:-1]) & (kinds[1:] - kinds[:-1] <= 1)
         pairs = np.unique(np.stack([keys[:-1][tie], keys[1:][tie]], axis=1), axis=0)
         nodes, index = np.unique(pairs, return_inverse=True)
         index = index.reshape(pairs.shape)
@@ -250,7 +291,7 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             forest.join(i, j)
         roots = np.array([forest.root(i) for i in range(len(nodes))], np.int64)
         other = roots != np.arange(len(nodes))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(nodes[roots[other]])], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(nodes[roots[other]]), pa.nulls(int(other.sum()), pa.binary())], ["a", "b", "ids"])
 
 
 def _packed_rows(wanted: np.ndarray):
@@ -586,13 +627,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_rows, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
     buckets = -(-size // BUCKET_BYTES) or 1
     repeated = bitmap(rows.select("text"), _repeated, n_rows)
-    dealt = cut_lineage(arrow_map(rows, _prefix_rows(repeated, buckets), _DEALT))
-    narrow_schema = "doc long, text_key long, node long, check long, n long"
-    narrow = arrow_map(dealt.where(F.col("bucket") == _NARROW).select("ids"), _narrow_rows, narrow_schema)
+    dealt = arrow_map(rows, _prefix_rows(repeated, buckets), _DEALT).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    met = cut_lineage(arrow_map(dealt, _block_rows, "a long, b long, ids binary"))
+    narrow = arrow_map(met.where("ids IS NOT NULL").select("ids"), _narrow_rows, "doc long, text_key long, node long, check long, n long")
     sets = narrow.where("n > 0").groupBy("node", "check").agg(F.min(F.struct("doc", "text_key")).alias("least"), F.min("n").alias("n"))
-
-    tied = dealt.where("bucket >= 0").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    blocks = components(arrow_map(tied, _block_rows, "a long, b long")).withColumnRenamed("root", "block")
+    blocks = components(met.where("ids IS NULL").select("a", "b")).withColumnRenamed("root", "block")
     members = cut_lineage(blocks.join(sets, "node").select("block", "node", "n", "least.doc", "least.text_key"))
     wanted = bitmap(members.select("doc", "text_key"), _wanted, members.count())
     packed = arrow_map(rows, _packed_rows(wanted), "doc long, text_key long, packed binary")

@@ -185,6 +185,35 @@ def test_jaccard_join_marks_one_text_of_each_component(frame):
     assert sorted(found, key=repr) == sorted([(1, 1, True), (5, 1, False), (5, 5, True), (None, None, True), (7, 7, True), (9, 1, False), (9, 1, False)], key=repr)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_similar_sets_share_a_mark(seed):
+    draw = np.random.default_rng(seed)
+    repeated = draw.integers(0, 256, 1 << 7).astype(np.uint8)
+    fresh = lambda n: draw.integers(0, 1 << 64, n, dtype=np.uint64)
+    for n in [*range(1, 140), 255, 256, 257, 1_000, 5_000]:
+        a = np.unique(fresh(n))
+        # as unlike as linked sets can be: `gone` shingles go, and as many come as the bound allows
+        for gone in {0, n // 9, n // 5, int(draw.integers(0, n // 5 + 1))}:
+            more = max(0, (n - gone) * 5 // 4 - n)
+            b = np.unique(np.concatenate([draw.permutation(a)[gone:], fresh(more)]))
+            assert linked(a, b)
+            if len(a) != len(b) or (a != b).any():
+                assert np.intersect1d(jaccard_join.prefix(a, repeated), jaccard_join.prefix(b, repeated)).size
+
+
+def test_jaccard_join_ties_no_long_texts_that_share_a_few_passages(frame, monkeypatch):
+    # neighbours share 20 of some 800 shingles, so single ones would tie them all
+    draw = random.Random(8)
+    passages = [" ".join(str(draw.random()) for _ in range(6)) for _ in range(400)]
+    rows = [(i, " ".join([*(str(draw.random()) for _ in range(700)), *passages[i * 10 : i * 10 + 20]])) for i in range(30)]
+    rows += [(100 + i, t + " end") for i, t in rows[:2]]
+    met = []
+    meet = jaccard_join._joined
+    monkeypatch.setattr(jaccard_join, "_joined", lambda members, *rest: met.append(members.count()) or meet(members, *rest))
+    assert groups_of(frame(rows)) == brute_groups(rows)
+    assert 4 <= met[0] <= 12  # of 32
+
+
 def test_sorter_holds_few_bytes_for_each_suffix():
     data = np.random.default_rng(0).integers(0, 3, 2_000_000).astype(np.uint8)
     stops = np.arange(99, 2_000_000, 100)
