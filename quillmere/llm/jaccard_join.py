@@ -53,6 +53,8 @@ TILES = 1 << 32
 FEW = 100_000
 #: Points in a leaf of the tree, and children of a node.
 FAN = 32
+#: Sets that a set is compared with at first; each time none of them joins it, twice as many are next.
+AT_FIRST = 64
 
 
 def _parts(places: np.ndarray, bits: int) -> pa.RecordBatch:
@@ -347,8 +349,8 @@ class CountTree:
         groups = min(512, groups_for(float(np.median(sizes))))
         return cls(sizes, np.stack([count_vector(x, groups) for x in sets]))
 
-    def partners(self, i: int, open_: np.ndarray | None = None) -> np.ndarray:
-        """The sets, i among them, that the bound allows to link with set i; of those that are open, if it is given."""
+    def near(self, i: int) -> np.ndarray:
+        """The sets, i among them, that are of a size to link with set i, in leaves that the bound allows to."""
         vector, n = self.vectors[i], self.sizes[i]
         nodes = np.zeros(1, np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
@@ -362,11 +364,16 @@ class CountTree:
             nodes = nodes[(OVER + UNDER) * bound >= OVER * (n + least)]
         points = (nodes[:, None] * FAN + np.arange(FAN)).reshape(-1) if self.levels else nodes
         points = self.order[points[points < len(self.order)]]
-        points = points[(OVER * self.sizes[points] <= UNDER * n) & (UNDER * self.sizes[points] >= OVER * n)]
-        if open_ is not None:
-            points = points[open_[points]]
-        shared = np.minimum(vector, self.vectors[points]).sum(axis=1, dtype=np.int64)
-        return points[(OVER + UNDER) * shared >= OVER * (n + self.sizes[points])]
+        return points[(OVER * self.sizes[points] <= UNDER * n) & (UNDER * self.sizes[points] >= OVER * n)]
+
+    def allowed(self, i: int, points: np.ndarray) -> np.ndarray:
+        """Those of the sets that the bound allows to link with set i."""
+        shared = np.minimum(self.vectors[i], self.vectors[points]).sum(axis=1, dtype=np.int64)
+        return points[(OVER + UNDER) * shared >= OVER * (self.sizes[i] + self.sizes[points])]
+
+    def partners(self, i: int) -> np.ndarray:
+        """The sets, i among them, that the bound allows to link with set i."""
+        return self.allowed(i, self.near(i))
 
 
 class Groups:
@@ -401,12 +408,37 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return UNDER * shared >= OVER * (len(a) + len(b) - shared)
 
 
+class Exact:
+    """Compares one set with many at once: which of them are similar enough.
+
+    Shingles are numbered from 0, so a table tells which of them the one set has.
+    """
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        sizes = np.array([len(x) for x in sets], np.int64)
+        found, number = np.unique(np.concatenate(sets), return_inverse=True)
+        self.sets = np.split(number.astype(np.int32), np.cumsum(sizes)[:-1])
+        self.sizes, self.has, self.of = sizes, np.zeros(len(found), bool), -1
+
+    def __call__(self, i: int, others: np.ndarray) -> np.ndarray:
+        if self.of != i:
+            if self.of >= 0:
+                self.has[self.sets[self.of]] = False
+            self.has[self.sets[i]] = True
+            self.of = i
+        sizes = self.sizes[others]
+        heads = np.cumsum(sizes) - sizes
+        shared = np.add.reduceat(self.has[np.concatenate([self.sets[j] for j in others.tolist()])], heads, dtype=np.int64)
+        return UNDER * shared >= OVER * (self.sizes[i] + sizes - shared)
+
+
 def link(tree: CountTree, verify, left: np.ndarray | None = None, roots: list[int] | None = None) -> Groups:
-    """Joins all sets that are linked, directly or through others; verify(i, j) decides on what the tree finds.
+    """Joins all sets that are linked, directly or through others; verify(i, sets) tells which of what the tree finds are.
 
     With `left`, only pairs of a left and another set count: the others meet elsewhere. Sets of
     equal `roots` are joined to begin with. Pairs that are joined already are not even looked
-    at, so a group of near copies takes few comparisons.
+    at, and a set meets a few others at first, so a group of near copies takes few comparisons.
+    Sets that are alike but not linked are compared many at once.
     """
     n = len(tree.sizes)
     groups = Groups(n)
@@ -419,9 +451,17 @@ def link(tree: CountTree, verify, left: np.ndarray | None = None, roots: list[in
         if left is not None:
             open_ &= left != left[i]
         if open_.any():
-            for j in tree.partners(i, open_).tolist():
-                if groups.label[i] != groups.label[j] and verify(i, j):
+            points, most = tree.near(i), AT_FIRST
+            points = points[open_[points]]
+            while len(points):
+                some, points = tree.allowed(i, points[:most]), points[most:]
+                found = some[verify(i, some)] if len(some) else some
+                for j in found.tolist():
                     groups.join(i, j)
+                if len(found):
+                    points = points[groups.label[points] != groups.label[i]]
+                else:
+                    most *= 2
         earlier[i] = True
     return groups
 
@@ -463,7 +503,7 @@ def _bound_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # two groups of a set are one of half as many groups
             vectors[i] = np.frombuffer(zstandard.decompress(r[7]), "<u4").reshape(-1, groups).sum(axis=0)
         left = None if rows[0][1] == rows[0][2] else np.array([r[3] == r[1] for r in rows])
-        least = link(CountTree(np.array([r[5] for r in rows]), vectors), lambda i, j: True, left).least()
+        least = link(CountTree(np.array([r[5] for r in rows]), vectors), lambda i, some: np.ones(len(some), bool), left).least()
         found = np.flatnonzero(least != np.arange(len(rows)))
         nodes = np.array([r[4] for r in rows], np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(nodes[found]), pa.array(nodes[least[found]])], ["a", "b"])
@@ -480,7 +520,7 @@ def _link_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [s for *_, data, bounds in chunks(texts) for s in shingle_sets(data, bounds, WORDS)]
         _, left, right = rows[0][:3]
         sides = None if left == right else np.array([r[4] == left for r in rows])
-        least = link(CountTree.of(sets), lambda i, j: linked(sets[i], sets[j]), sides, [r[5] for r in rows]).least()  # noqa: B023
+        least = link(CountTree.of(sets), Exact(sets), sides, [r[5] for r in rows]).least()
         found = {(rows[i][5], rows[j][5]) for i, j in enumerate(least.tolist())}
         found = [(a, b) for a, b in found if a != b]
         arrays = [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64()), pa.array([left == WHOLE] * len(found), pa.bool_())]

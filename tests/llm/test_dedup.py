@@ -231,6 +231,46 @@ def test_count_tree_misses_no_partner():
         assert {j for j, b in enumerate(sets * 3) if linked(a, b)} <= set(tree.partners(i).tolist())
 
 
+@pytest.mark.parametrize("two_tiles", [False, True])
+def test_alike_sets_are_linked_in_few_steps(two_tiles):
+    """A large group of near copies and as many texts that are alike but not linked, as in a growing cluster."""
+    draw = np.random.default_rng(7)
+    base = draw.integers(0, 1 << 63, 400, dtype=np.uint64)
+    sets = []
+    for i in range(600):
+        gone = draw.integers(0, 20) if i % 2 else draw.integers(50, 90)  # two of the latter have 6 to 7 of 10 shingles in common
+        sets.append(np.unique(np.concatenate([draw.permutation(base)[gone:], draw.integers(0, 1 << 63, gone, dtype=np.uint64)])))
+    left = np.arange(600) % 3 == 0 if two_tiles else None
+    roots = [i - i % 150 if i % 4 == 1 else i for i in range(600)]
+    expected = jaccard_join.Forest(600)
+    first = {}
+    for i, root in enumerate(roots):
+        expected.join(i, first.setdefault(root, i))
+    for i, j in itertools.combinations(range(600), 2):
+        if (left is None or left[i] != left[j]) and linked(sets[i], sets[j]):
+            expected.join(i, j)
+    tree, exact, asked, met = CountTree.of(sets), jaccard_join.Exact(sets), [], []
+
+    def verify(i, others):
+        asked.append(len(others))
+        found = exact(i, others)
+        assert found.tolist() == [linked(sets[i], sets[j]) for j in others.tolist()]
+        return found
+
+    found = jaccard_join.link(tree, verify, left, roots).least().tolist()
+    assert found == [expected.root(i) for i in range(600)]
+    assert 100 < len(set(found)) < 500
+    assert len(asked) <= 5 * 600 and max(asked) <= 600  # one pair at a time took tens of thousands of calls
+
+    def any_of(i, others):
+        met.append(len(others))
+        return np.ones(len(others), bool)
+
+    near = [sets[i] for i in range(1, 600, 2)]
+    assert set(jaccard_join.link(CountTree.of(near), any_of).least()) == {0}
+    assert sum(met) <= jaccard_join.AT_FIRST * len(near)  # the square of them before
+
+
 def test_components(spark):
     draw = random.Random(3)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(draw.randint(100, 160), draw.randint(100, 160)) for _ in range(40)] + [(500, 900 + i) for i in range(50)]
