@@ -489,3 +489,21 @@ def test_images_are_gray_whole_and_files_that_are_none_are_left_out(spark, tmp_p
     (row,) = images.gray_images(spark, str(tmp_path)).collect()
     assert (row.name, row.height, row.width) == ("a.bmp", 3, 5)
     assert row.gray == pytest.approx((pixels @ np.array([0.299, 0.587, 0.114])).ravel().tolist())
+
+
+def test_sentiment_of_odd_texts_equals_its_sql(spark):
+    import duckdb
+
+    from quillmere.plans import catalog
+
+    rows = [
+        (1, None), (2, ""), (3, "..."), (4, "\u00a0good . bad word hate."), (5, "good\u00a0\u00a0\u00a0\u00a0. stupid"), (6, "\u3000!"),
+        (7, "\n \n"), (8, "hate hate. good good good"), (10, "good good"), (10, "hate hate hate"), (None, "good"), (12, "abcd good. " + "x. " * 250_000 + "love good z"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    duck.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert {tuple(r) for r in text.lexicon_sentiment(lambda _: docs).collect()} == set(duck.sql(catalog.ORACLE_SQL["lexicon_sentiment"]).fetchall())
+    few, query = docs.where("coalesce(doc_id, 0) < 12"), catalog.ORACLE_SQL["sentence_split"]
+    assert {tuple(r) for r in text.sentence_split(lambda _: few).collect()} == {r for r in duck.sql(query).fetchall() if (r[0] or 0) < 12}
