@@ -524,3 +524,41 @@ def test_elbow_of_many_values_equals_its_sql(spark):
         duck.executemany("INSERT INTO customer SELECT unnest(?)", [[[r[0] for r in rows if r[0] is None or r[0] < most]]])
         found = analytics.elbow_jump(lambda _, most=most: customers.where(f"c_acctbal IS NULL OR c_acctbal < {most}")).collect()
         assert [tuple(r) for r in found] == duck.sql(catalog.ORACLE_SQL["elbow_jump"]).fetchall()
+
+
+def test_nearest_and_spread_equal_brute_force_with_ties_copies_and_nulls(spark):
+    from quillmere.operators import features
+
+    draw = np.random.default_rng(3)
+    points = np.concatenate([draw.normal(size=(150, 8)), np.repeat(draw.normal(size=(1, 8)), 30, 0), 1e4 + draw.normal(0, 1e-3, (20, 8))]).round(3)
+    data = [(i, p.tolist()) for i, p in enumerate(points)] + [(200, None), (201, None)]
+    rows = spark.createDataFrame(data, "v2 long, e2 array<double>")
+    queries = rows.where("v2 % 3 = 0").withColumnsRenamed({"v2": "v1", "e2": "e1"})
+
+    def gaps(a, skip):
+        known = [None if a is None or b is None else float(np.sqrt(((np.array(a) - np.array(b)) ** 2).sum())) for _, b in data]
+        return [(v, d) for (v, _), d in zip(data, known, strict=True) if v != skip]
+
+    def place(pair):
+        return (np.inf if pair[1] is None else np.floor(pair[1] * 1e6 + 0.5), pair[0])
+
+    want = {v: sorted(gaps(a, v), key=place)[:4] for v, a in data if v % 3 == 0}
+    for sizes in ((1000, 1000), (11, 40)):
+        found = {}
+        for r in features.nearest(rows, queries, 4, *sizes).orderBy("v1", "r").collect():
+            found.setdefault(r.v1, []).append((r.v2, r.d))
+        assert {k: [v for v, _ in x] for k, x in found.items()} == {k: [v for v, _ in x] for k, x in want.items()}
+        assert all(d is None and e is None or abs(d - e) < 1e-9 for k in found for (_, d), (_, e) in zip(found[k], want[k], strict=True))
+        for r in features.spread_of(rows, queries, *sizes).collect():
+            all_ = gaps(dict(data)[r.v1], r.v1)
+            d = [x for _, x in all_ if x is not None]
+            assert r.n == len(all_) and (r.nearest is None if not d else abs(r.nearest - min(d)) < 1e-4 and abs(r.farthest - max(d)) < 1e-4 and abs(r["mean"] - np.mean(d)) < 1e-4)
+
+
+def test_only_the_nearest_of_a_slice_are_shuffled(spark):
+    from quillmere.operators import features
+
+    rows = spark.createDataFrame([(i, [float(i * i % 101), float(i)]) for i in range(400)], "v2 long, e2 array<double>")
+    queries = rows.where("v2 % 100 = 0").withColumnsRenamed({"v2": "v1", "e2": "e1"})
+    met = features._meet(rows, queries, features._nearest(3), "v1 long, v2 long, key double, d double", 4, 100)
+    assert met.count() <= 4 * 3 * 4  # queries, nearest, slices
