@@ -562,3 +562,18 @@ def test_only_the_nearest_of_a_slice_are_shuffled(spark):
     queries = rows.where("v2 % 100 = 0").withColumnsRenamed({"v2": "v1", "e2": "e1"})
     met = features._meet(rows, queries, features._nearest(3), "v1 long, v2 long, key double, d double", 4, 100)
     assert met.count() <= 4 * 3 * 4  # queries, nearest, slices
+
+
+@pytest.mark.parametrize(("first", "most"), [(4, 1000), (100, 1000), (4, 2)])
+def test_top_pairs_are_those_of_all_pairs_but_few_words_meet(spark, monkeypatch, first, most):
+    draw = np.random.default_rng(5)
+    names = ["w" + "".join(chr(97 + int(c)) for c in f"{i:03d}") for i in range(300)]
+    made = [". ".join(" ".join(names[min(299, int(i))] for i in draw.zipf(1.3, 12) - 1) for _ in range(4)) for _ in range(60)]
+    docs = spark.createDataFrame([*enumerate(made), (900, None), (901, " ".join(names[:90])), (902, f"{names[7]} " * 30 + names[9])], "doc_id long, text string")
+    monkeypatch.setattr(text, "FIRST_WORDS", first)
+    monkeypatch.setattr(text, "MOST_WORDS", most)
+    lists, pairs = [], text.pairs_among
+    monkeypatch.setattr(text, "pairs_among", lambda bags, among: lists.append(among) or pairs(bags, among))
+    found = list(map(tuple, text.top_pairs(docs, 5).collect()))
+    assert found == sorted(map(tuple, text.word_pairs(docs).collect()), key=lambda r: (-r[2], r[0], r[1]))[:5]
+    assert (lists[-1] is None) == (most == 2) and (most == 2 or len(lists[-1]) < 100)
