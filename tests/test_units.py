@@ -560,7 +560,7 @@ def test_only_the_nearest_of_a_slice_are_shuffled(spark):
 
     rows = spark.createDataFrame([(i, [float(i * i % 101), float(i)]) for i in range(400)], "v2 long, e2 array<double>")
     queries = rows.where("v2 % 100 = 0").withColumnsRenamed({"v2": "v1", "e2": "e1"})
-    met = features._meet(rows, queries, features._nearest(3), "v1 long, v2 long, key double, d double", 4, 100)
+    met = features.meet(rows, queries, features._nearest(3), "v1 long, v2 long, key double, d double", 4, 100)
     assert met.count() <= 4 * 3 * 4  # queries, nearest, slices
 
 
@@ -594,3 +594,16 @@ def test_terms_of_documents_equal_sql_and_need_no_shuffle_by_document(spark, rep
         assert sorted(map(repr, map(tuple, getattr(text, name)(lambda _: docs).collect()))) == sorted(map(repr, duck.sql(catalog.ORACLE_SQL[name]).fetchall()))
     plan = text.document_counts(docs)._jdf.queryExecution().executedPlan().toString()
     assert ("hashpartitioning(doc_id" in plan) == repeated
+
+
+@pytest.mark.parametrize("sizes", [(1000, 1000), (7, 130)])
+def test_recommendations_are_the_highest_scores_and_ties_go_by_id(spark, monkeypatch, sizes):
+    monkeypatch.setattr(models, "GROUP_ITEMS", 10)
+    draw = np.random.default_rng(2)
+    users, items = (draw.normal(size=(n, 3)).round(2).astype(np.float32) for n in (20, 300))
+    items[40:60] = items[40]
+    rows = [spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, features array<float>") for x in (users, items)]
+    found = {(r.user_id, r.r): r.movie_id for r in models.recommend(*rows, 5, *sizes).collect()}
+    scores = users.astype(float) @ items.astype(float).T
+    want = {(u, r): sorted(range(300), key=lambda i: (-round(scores[u, i], 9), i))[r] for u in range(20) for r in range(5)}
+    assert found == want
